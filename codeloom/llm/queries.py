@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from codeloom.llm.encoding import encode_corpus, token_counts
+from codeloom.llm.handwritten import unwritten_files
 from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
 from codeloom.sources.tables import table
 from pyspark.sql import functions as F
 
 
+def p5_reasons(spark, d):
+    return unwritten_files(*(table(spark, d, n) for n in ("files", "file_contents", "vendor_catalog")))
+
+
+def p5_found(spark, d):
+    return p5_reasons(spark, d).select("file_id")
+
+
 def p6_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -25,5 +34,5 @@ def p8_forms(spark, d):
     return same_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE: dict[str, str] = {}
