@@ -5,10 +5,19 @@ from __future__ import annotations
 from codeloom.llm.encoding import encode_corpus, token_counts
 from codeloom.llm.handwritten import unwritten_files
 from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
+from codeloom.llm.splitting import oversized_items, split_oversized
 from codeloom.sources.tables import table
 from pyspark.sql import functions as F
 
 
+def p2_found(spark, d):
+    return oversized_items(table(spark, d, "file_contents"), table(spark, d, "symbols"))
+
+
+def p2_pieces(spark, d):
+    return split_oversized(table(spark, d, "file_contents"), table(spark, d, "symbols"))
+
+
 def p5_reasons(spark, d):
     return unwritten_files(*(table(spark, d, n) for n in ("files", "file_contents", "vendor_catalog")))
 
@@ -34,5 +43,14 @@ def p8_forms(spark, d):
     return same_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
+#: a symbol's own text by line feed, without its last line end
+_P2 = """
+WITH big AS (SELECT file_id, content, string_split(content, chr(10)) AS lines FROM file_contents WHERE octet_length(encode(content)) > 6000),
+own AS (
+  SELECT s.id, regexp_replace(array_to_string(lines[s.start_line:s.end_line], chr(10)), '\\r$', '') AS t
+  FROM symbols s JOIN big USING (file_id) WHERE s.status = 'active')
+SELECT 'file' AS item_kind, file_id AS item_id FROM big
+UNION ALL SELECT 'symbol', id FROM own WHERE octet_length(encode(t)) > 6000
+"""
+ORACLE: dict[str, str] = {"p2_found": _P2}
