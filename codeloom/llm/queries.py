@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.llm.docpairs import doc_pairs, documented_symbols
 from codeloom.llm.encoding import encode_corpus, token_counts
 from codeloom.llm.handwritten import unwritten_files
 from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
@@ -10,6 +11,18 @@ from codeloom.sources.tables import table
 from pyspark.sql import functions as F
 
 
+def p1_found(spark, d):
+    return documented_symbols(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")))
+
+
+def p1_pairs(spark, d):
+    return doc_pairs(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")))
+
+
+def p1_linked(spark, d):
+    return doc_pairs(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")), linked=True).groupBy("lang", "doc_source").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def p2_found(spark, d):
     return oversized_items(table(spark, d, "file_contents"), table(spark, d, "symbols"))
 
@@ -43,7 +56,7 @@ def p8_forms(spark, d):
     return same_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_linked": p1_linked, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
 #: a symbol's own text by line feed, without its last line end
 _P2 = """
 WITH big AS (SELECT file_id, content, string_split(content, chr(10)) AS lines FROM file_contents WHERE octet_length(encode(content)) > 6000),
