@@ -6,6 +6,7 @@ from codeloom.llm.docpairs import doc_pairs, documented_symbols
 from codeloom.llm.encoding import encode_corpus, token_counts
 from codeloom.llm.handwritten import unwritten_files
 from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
+from codeloom.llm.mixing import mix_sources
 from codeloom.llm.splitting import oversized_items, split_oversized
 from codeloom.sources.tables import table
 from pyspark.sql import functions as F
@@ -48,6 +49,14 @@ def p6_counts(spark, d):
     return counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def p7_mix(spark, d):
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
+
+
+def p7_report(spark, d):
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+
+
 def p8_found(spark, d):
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -56,7 +65,7 @@ def p8_forms(spark, d):
     return same_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_linked": p1_linked, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_linked": p1_linked, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms}
 #: a symbol's own text by line feed, without its last line end
 _P2 = """
 WITH big AS (SELECT file_id, content, string_split(content, chr(10)) AS lines FROM file_contents WHERE octet_length(encode(content)) > 6000),
