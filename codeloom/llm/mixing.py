@@ -170,6 +170,8 @@ def _soft_copies(start, caps, steps, names: list[str]):
             whole = np.minimum(np.floor(r + b["u"].to_numpy()[:, None]), caps[:, likely].T)
             for m, name in enumerate(names):
                 keep = (whole[:, m] > 0) & (b["n_tokens"].to_numpy() > 0)
+                if not keep.any():
+                    continue
                 yield pd.DataFrame({"mix_name": name, "id": b["id"].to_numpy()[keep], "source": None, "n_tokens": b["n_tokens"].to_numpy()[keep], "copies": whole[keep, m].astype("int32"), "p": list(p[keep])})
 
     return run
