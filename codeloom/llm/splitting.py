@@ -4,47 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_word
+from codeloom.llm.arrow import struct_lists
+from codeloom.llm.cutting import cut, line_starts
 
 SCHEMA = "item_kind string, item_id long, piece_no int, n_pieces int, start_byte long, end_byte long, start_line int, end_line int, piece string"
 LIMIT, OVERLAP = 6000, 300
 
 
+_ARROW = pa.schema(
+    [
+        ("item_kind", pa.string()), ("item_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start_byte", pa.int64()),
+        ("end_byte", pa.int64()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("piece", pa.string()),
+    ]
+)
+
+
 def _splitter(limit: int, overlap: int, with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        from codeloom.llm.cutting import cut, line_starts
-
-        for b in batches:
-            for file_id, content, symbols in zip(b["file_id"], b["content"], b["symbols"]):
-                data = content.encode("utf-8", "surrogatepass")
-                starts = line_starts(data)
-                n = len(starts) - 1
-                listed = [] if symbols is None else [(s["id"], s["start_line"], s["end_line"]) for s in symbols]
-                spans = sorted({(a, z) for _, a, z in listed if a is not None and z is not None})
-                items = [("file", int(file_id), 0, len(data))]
-                for sid, a, z in listed:
-                    if a is None or z is None or not 1 <= a <= z or a > n:
-                        continue
-                    first, last = int(starts[a - 1]), int(starts[min(z, n)])
-                    if last > first and data[last - 1 : last] == b"\n":
-                        last -= 2 if data[last - 2 : last] == b"\r\n" and last - 2 >= first else 1
-                    if last - first > limit:
-                        items.append(("symbol", int(sid), first, last))
-                rows = []
-                for kind, item, first, last in items:
-                    pieces = cut(data, starts, spans, limit, overlap, first, last)
-                    if len(pieces) < 2:
-                        continue
-                    for k, (s, e) in enumerate(pieces):
-                        sl, el = int(np.searchsorted(starts, s, "right")), int(np.searchsorted(starts, e, "left"))
-                        rows.append((kind, item, k + 1, len(pieces), s, e, sl, el, data[s:e].decode("utf-8", "replace") if with_text else None))
-                yield pd.DataFrame(rows, columns=["item_kind", "item_id", "piece_no", "n_pieces", "start_byte", "end_byte", "start_line", "end_line", "piece"])
+    def rows_of(file_id: int, content: str, listed: list[tuple]):
+        data = content.encode("utf-8", "surrogatepass")
+        starts = line_starts(data)
+        n = len(starts) - 1
+        spans = sorted({(a, z) for _, a, z in listed if a is not None and z is not None})
+        items = [("file", file_id, 0, len(data))]
+        for sid, a, z in listed:
+            if a is None or z is None or not 1 <= a <= z or a > n:
+                continue
+            first, last = int(starts[a - 1]), int(starts[min(z, n)])
+            if last > first and data[last - 1 : last] == b"\n":
+                last -= 2 if data[last - 2 : last] == b"\r\n" and last - 2 >= first else 1
+            if last - first > limit:
+                items.append(("symbol", sid, first, last))
+        for kind, item, first, last in items:
+            pieces = cut(data, starts, spans, limit, overlap, first, last)
+            for k, (s, e) in enumerate(pieces):
+                lines = int(np.searchsorted(starts, s, "right")), int(np.searchsorted(starts, e, "left"))
+                yield kind, item, k + 1, len(pieces), s, e, *lines, data[s:e].decode("utf-8", "replace") if with_text else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                b = batch.slice(at, 64)
+                symbols = struct_lists(b.column("symbols"), "id", "start_line", "end_line")
+                rows = [r for f, c, s in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist(), symbols) for r in rows_of(f, c, s)]
+                columns = list(zip(*rows)) if rows else [[] for _ in _ARROW]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     return run
 
@@ -68,7 +77,7 @@ def split_oversized(contents: DataFrame, symbols: DataFrame, limit: int = LIMIT,
     big = contents.select("file_id", "content").where(F.octet_length("content") > limit)
     live = symbols.where(normal_word(F.col("status")) == "active").select("file_id", F.struct("id", "start_line", "end_line").alias("s")).where("file_id is not null")
     spans = live.join(big.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.sort_array(F.collect_list("s")).alias("symbols"))
-    return big.join(spans, "file_id", "left").mapInPandas(_splitter(limit, overlap, with_text), SCHEMA)
+    return big.join(spans, "file_id", "left").select("file_id", "content", "symbols").mapInArrow(_splitter(limit, overlap, with_text), SCHEMA)
 
 
 def oversized_items(contents: DataFrame, symbols: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
