@@ -62,8 +62,8 @@ def _overlap_start(data: bytes, places: list[int], floor: int, cut: int, overlap
     want = cut - overlap
     if overlap <= 0:
         return cut
-    if want <= floor:
-        return max(_character(data, want), floor)
+    if _character(data, max(want, 0)) <= floor:
+        return cut  # the piece is no longer than the overlap
     i = bisect_right(places, want) - 1
     near = [p for p in (places[i] if i >= 0 else None, places[i + 1] if i + 1 < len(places) else None) if p is not None and floor < p < cut]
     near = [p for p in near if 0 < cut - p <= 2 * overlap and cut - p >= overlap // 2]

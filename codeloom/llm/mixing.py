@@ -138,7 +138,7 @@ def _targets(rows: list, hard: dict[str, float]) -> Targets:
 
 
 def _rates(p: np.ndarray, start: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates (document, mix) after the steps: each is a gradient step of every domain's error, then clipped to [0, cap]."""
+    """Rates (document, mix) after the steps: each goes down a document's share in the gradient, then is clipped to [0, cap]."""
     r = np.einsum("nd,md->nm", p, start)
     most = np.einsum("nd,md->nm", p, caps)
     r = np.clip(r, 0, most)
@@ -147,6 +147,16 @@ def _rates(p: np.ndarray, start: np.ndarray, caps: np.ndarray, steps: list[np.nd
     return r
 
 
+def _step(gram: np.ndarray, miss: np.ndarray, asked: np.ndarray, rate: float = 0.9) -> np.ndarray:
+    """The gradient of the squared error by mix, scaled by the sources' Gram matrix: what each source's posterior adds to a rate's step."""
+    out = np.zeros_like(miss)
+    for m in range(len(miss)):
+        k = np.flatnonzero(asked[m])
+        if len(k):
+            out[m, k] = rate * (np.linalg.pinv(gram[np.ix_(k, k)]) @ miss[m, k])
+    return out
+
+
 def _totals(start, caps, steps, mixes: int, domains: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros((mixes, domains))
@@ -282,6 +292,11 @@ def mix_sources(
     caps = np.where(t.weights > 0, t.caps, 0)
     wanted = t.total[:, None] * t.weights
     one = np.eye(len(t.domains))
+    gram = np.diag(have)
+    if soft is not None:
+        pairs = soft.select("n_tokens", F.posexplode("p").alias("i", "a"), "p").where("a > 0").select("i", (F.col("n_tokens") * F.col("a")).alias("w"), F.posexplode("p").alias("j", "b"))
+        for r in pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("b")).alias("g")).collect():  # a number for each two sources of the settings
+            gram[r["i"], r["j"]] += r["g"]
     steps: list[np.ndarray] = []
     for _ in range(STEPS):
         by_source = _rates(one, scale, caps, steps).T
@@ -293,7 +308,7 @@ def mix_sources(
         error = np.divide(totals - wanted, wanted, out=np.zeros_like(wanted), where=wanted > 0)
         if not error.size or np.abs(error).max() < TOLERANCE:
             break
-        steps.append(0.9 * error * scale)
+        steps.append(_step(gram, np.where(wanted > 0, totals - wanted, 0.0), wanted > 0))
 
     # rows without a source are rounded by a hash of their id; what they miss or exceed the labelled rows make up for
     picked, made = None, np.zeros_like(wanted)
