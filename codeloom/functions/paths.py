@@ -200,7 +200,8 @@ def page_group(wiki_path: Column) -> Column:
 def path_prefixes(path: Column) -> Column:
     """Every directory above a path, from the top, as an array."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))  # a sequence from 1 to 0 would count down
 
 
 def resolve_relative(page: Column, link: Column) -> Column:

@@ -29,7 +29,10 @@ def debt_by_role(debt: DataFrame, files: DataFrame, samples: int = 20) -> DataFr
     """Per role of the symbol's path: how many open debts, and the first keys. Keys without an active file are under no role; total counts all."""
     live = files.where("status = 'active'").select("path").distinct()
     d = debt.withColumn("path", key_path(F.col("symbol_key"))).join(live, "path", "left_semi").withColumn("role", path_role(F.col("path")))
-    top = d.select("role", "symbol_key").withColumn("rn", F.row_number().over(Window.partitionBy("role").orderBy("symbol_key"))).where(F.col("rn") <= samples)
+    # the first keys of each slice of a role, then of the role: a role may hold most of the rows
+    salted = d.select("role", "symbol_key", F.pmod(F.xxhash64("symbol_key"), F.lit(64)).alias("slice"))
+    part = salted.withColumn("rn", F.row_number().over(Window.partitionBy("role", "slice").orderBy("symbol_key"))).where(F.col("rn") <= samples)
+    top = part.withColumn("rn", F.row_number().over(Window.partitionBy("role").orderBy("symbol_key"))).where(F.col("rn") <= samples)
     lists = top.groupBy("role").agg(F.array_join(F.sort_array(F.collect_list("symbol_key")), ",").alias("samples"))
     total = debt.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
     return d.groupBy("role").agg(F.count(F.lit(1)).alias("n")).join(lists, "role").withColumn("one", F.lit(1)).join(total, "one").drop("one")
