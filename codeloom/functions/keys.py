@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: blanks that may surround a value, as a Java character class (fixed values)
 BLANKS = r"[\s\u0085   -​    　﻿]+"
 
+_ENDS = BLANKS.rstrip("+").replace("[", "[./", 1)
+
 
 def trimmed(c: Column) -> Column:
     """c without any kind of blank at its ends."""
@@ -33,14 +35,16 @@ def normal_key(key: Column) -> Column:
     """The spelling of a symbol key `path#name` that symbols.key uses; null for a null or blank key.
 
     Blanks around the key go, the path part gets its normal spelling. Letter case and all else stay.
-    A key in normal spelling is recognised by one pattern and passes unchanged.
+    A key in normal spelling is recognised by plain searches and passes unchanged.
     """
     k = trimmed(key)
     at = F.instr(k, "#")
     path = F.when(at > 0, F.substring_index(k, "#", 1)).otherwise(k)
     name = F.substring(k, at, F.length(k))
     respelled = F.when(at > 0, F.concat(normal_path(path), name)).otherwise(normal_path(path))
-    odd = key.rlike(r"^[\s./\u0085   -​    　﻿]|\\|//|/\.{1,2}(/|#|$)|[\s\u0085   -​    　﻿]$")
+    # plain searches tell the few keys that need work: a blank, dot or slash at an end, a backslash, an empty or dot segment
+    ends = F.concat(F.substring(key, 1, 1), F.substring(key, -1, 1))
+    odd = ends.rlike(_ENDS) | F.contains(key, F.lit("\\")) | F.contains(key, F.lit("//")) | F.contains(key, F.lit("/."))
     out = F.when(odd, respelled).otherwise(key)
     return F.when(out != "", out)
 
