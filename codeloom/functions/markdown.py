@@ -102,6 +102,31 @@ def front_matter(text: str) -> tuple[dict[str, list[str]], int, str | None]:
     return out, end.end(), None
 
 
+def split_sections(text: str, level: int = 2) -> list[tuple[str, int, int]]:
+    """(heading, start, end) of the sections of a level; headings in code don't count. What stands before the first is named ``."""
+    heads = [(m.start(), m[2]) for m in HEADING.finditer(mask_code(text)) if len(m[1]) == level]
+    marks = [(0, "")] * (not heads or heads[0][0] > 0) + heads
+    return [(name, at, marks[k + 1][0] if k + 1 < len(marks) else len(text)) for k, (at, name) in enumerate(marks)]
+
+
+def splice_section(text: str, heading: str, body: str) -> str:
+    """The text with the first section of that heading replaced; a heading that isn't there changes nothing."""
+    for name, a, z in split_sections(text):
+        if name == heading:
+            return text[:a] + body + text[z:]
+    return text
+
+
+def purpose(text: str) -> str | None:
+    """The first paragraph of prose of a page, None if there is none."""
+    body = text[front_matter(text)[1] :]
+    for block in re.split(r"\n\s*\n", mask_code(body)):
+        s = " ".join(block.split())
+        if s and not s.startswith(("#", ">", "<!--", "- ", "* ", "|", "![")):
+            return s
+    return None
+
+
 def parse(text: str) -> dict:
     """Everything the operators ask of a page."""
     head, at, error = front_matter(text)

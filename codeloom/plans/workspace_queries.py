@@ -8,9 +8,9 @@ from codeloom.functions import paths as P
 from codeloom.functions import text as X
 from codeloom.functions.keys import normal_key
 from codeloom.functions.markdown import parse_pages
-from codeloom.operators import activity, graph, ledger, planning, resolve, search, status, verify
+from codeloom.operators import activity, baseline_ops, graph, impact, ledger, planning, resolve, search, status, verify
 from codeloom.operators.snapshots import valid_rows
-from codeloom.sources import scan
+from codeloom.sources import scan, sinks
 from codeloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -513,6 +513,46 @@ def repository_digests(spark, d):
     return scan.snapshot_digest(files, contents)
 
 
+def _bootstrap(spark, d):
+    return baseline_ops.bootstrap(ledger.obligations(T(spark, d, "extracted_anchors")), _active(spark, d))
+
+
+_BOOT = f"""{_DUTY}, act AS (SELECT key, max(content_hash) AS h FROM symbols WHERE status = 'active' GROUP BY 1),
+boot AS (SELECT wiki_path, symbol_key, h AS hash, CASE {' '.join(f"WHEN {EXT.format(chr(34) + 'p' + chr(34))} = '{k}' THEN '{v}'" for k, v in P.EXTRACTIONS.items())} END AS extraction, 'inferred' AS provenance FROM (SELECT duty.*, h, string_split(symbol_key, '#')[1] AS p FROM duty JOIN act ON act.key = symbol_key))"""
+
+
+@query("baseline_bootstrap", f"WITH {_BOOT} SELECT * FROM boot")
+def baseline_bootstrap(spark, d):
+    return _bootstrap(spark, d)
+
+
+@query("baseline_accepted", f"WITH {_BOOT} SELECT wiki_path, symbol_key, hash, extraction, CASE WHEN length(symbol_key) % 2 = 0 THEN 'accepted' ELSE provenance END AS provenance FROM boot")
+def baseline_accepted(spark, d):
+    b = _bootstrap(spark, d)
+    return baseline_ops.accept(b, b.where(F.length("symbol_key") % 2 == 0).select("wiki_path", "symbol_key"), _active(spark, d))
+
+
+@query("baseline_issues", f"WITH {_BOOT} SELECT wiki_path, symbol_key, 'unknown_extraction' AS issue FROM boot WHERE extraction IS NULL AND false UNION ALL SELECT wiki_path, symbol_key, 'malformed_hash' FROM boot WHERE NOT regexp_full_match(hash, '[0-9a-f]{{64}}')")
+def baseline_issues(spark, d):
+    return baseline_ops.validate(_bootstrap(spark, d))
+
+
+@query("change_impact", f"""
+WITH {_EDGES}, {_DUTY}, changed AS (SELECT path FROM files WHERE id % 50 = 0),
+s AS (SELECT DISTINCT key AS name FROM symbols WHERE status = 'active' AND string_split(key, '#')[1] IN (SELECT path FROM changed)),
+p AS (SELECT DISTINCT wiki_path AS name FROM duty WHERE symbol_key IN (SELECT name FROM s)), i AS (SELECT DISTINCT from_file AS name FROM edges WHERE to_file IN (SELECT path FROM changed)),
+u AS (SELECT 'symbol' AS what, name, 50 AS most FROM s UNION ALL SELECT 'page', name, 20 FROM p UNION ALL SELECT 'importer', name, 25 FROM i)
+SELECT what, name, rn, total FROM (SELECT what, name, most, row_number() OVER (PARTITION BY what ORDER BY name) AS rn, count(*) OVER (PARTITION BY what) AS total FROM u) WHERE rn <= most""")
+def change_impact(spark, d):
+    files, symbols, anchors = T(spark, d, "files", "symbols", "extracted_anchors")
+    return impact.change_impact(files.where("id % 50 = 0").select("path"), symbols, ledger.obligations(anchors), _edges(spark, d))
+
+
+@query("search_records")
+def search_records(spark, d):
+    return sinks.search_records(parse_pages(_pages(spark, d)))
+
+
 # ---- status, risk and planning
 
 @query("symbol_kinds", "SELECT kind, status, count(*) AS n FROM symbols GROUP BY 1, 2")
