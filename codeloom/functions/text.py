@@ -7,13 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: words that tell what a topic is about (fixed values)
+#: signals of a topic, each with the pattern that its text in lower case shows (fixed values)
 TOPIC_SIGNALS = {
-    "security": r"(?i)\b(auth|token|secret|permission|encrypt|credential)",
-    "storage": r"(?i)\b(database|storage|persist|snapshot|cache|ledger)",
-    "concurrency": r"(?i)\b(lock|lease|concurren|race|worker|queue)",
-    "failure": r"(?i)\b(error|fail|retry|fallback|timeout|recover)",
-    "configuration": r"(?i)\b(config|setting|option|flag|environment)",
+    "configuration": r"config|preset|provider|setting|option|environment",
+    "persistence/state": r"database|\bdb\b|persist|storage|store|cache|checkpoint|state",
+    "validation/recovery": r"validat|verif|schema|guard|safety|rollback|recover|error",
+    "output": r"output|export|render|write|emit|response|artifact",
+    "entry/boundary": r"command|cli|route|handler|server|entry",
 }
 
 
@@ -122,8 +122,8 @@ def rationale_text(c: Column) -> Column:
 
 
 def topic_signals(c: Column) -> Column:
-    """The signals whose words a text has, as a sorted array."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), name) for name, p in sorted(TOPIC_SIGNALS.items())]))
+    """The signals that a text shows, as an array in their fixed order."""
+    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), name) for name, p in TOPIC_SIGNALS.items()]))
 
 
 def symbol_snippet(content: Column, start: Column, end: Column, around: int = 3) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import dir_name
+from codeloom.functions.paths import dir_name, matches_any, path_role
 
 #: which role wins a tie within a module (fixed values)
 ROLE_ORDER = {"product": 0, "docs": 1, "tooling": 2, "fixture": 3, "test": 4}
 
+#: paths that show that a module has to do with deployment (fixed values)
+DEPLOYMENT_PATTERNS = ["**/Dockerfile*", "**/docker-compose*", "**/*.bat", "**/*.ps1", "**/scripts/**", "**/deploy/**"]
+
 
 def module_roles(members: DataFrame) -> DataFrame:
     """module, role, n: the most frequent role of a module's files, ties by fixed order. members: module, path, role."""
@@ -68,3 +72,39 @@ def cluster_cap(members: DataFrame, most: int = 6, least_product: int = 2) -> Da
     """Of each cluster at most `most` members: auxiliary ones go first, products down to least_product. members: cluster, id, kind, weight."""
     w = Window.partitionBy("cluster").orderBy(F.when(F.col("kind") == "product", 0).otherwise(1), F.desc("weight"), "id")
     return members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(most, least_product)).drop("rn")
+
+
+def concern_groups(members: DataFrame) -> DataFrame:
+    """concern, module, surface, n_paths: modules with paths of deployment, or of tests and fixtures; surface is the first such path. members: module, path."""
+    rules = {"Deployment": matches_any(F.col("path"), DEPLOYMENT_PATTERNS), "Testing": path_role(F.col("path")).isin("fixture", "test")}
+    tagged = members.select("module", "path", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("concern"))
+    return tagged.groupBy("concern", "module").agg(F.min("path").alias("surface"), F.count(F.lit(1)).alias("n_paths"))
+
+
+def choose_anchors(items: DataFrame, most: int, budget: int, product_share: float = 0.75, look_at: int = 2000) -> DataFrame:
+    """cluster, position, id: of each cluster's items one of every group first, then groups in turn, as long as their sizes fit the budget
+    and, once chosen, at least product_share of them are products.
+
+    items: cluster, group, id, chars, is_product, weight. Each decision needs the ones before it, so a cluster is gone through in one
+    task; only the first `look_at` of each cluster by turn are, which are picked by windows over slices first.
+    """
+    order = [F.when(F.col("is_product"), 0).otherwise(1), F.desc("weight"), "chars", "id"]
+    sliced = items.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(32)))
+    first = sliced.withColumn("rn", F.row_number().over(Window.partitionBy("cluster", "group", "slice").orderBy(*order))).where(F.col("rn") <= look_at)
+    turns = first.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "group").orderBy(*order))).where(F.col("turn") <= look_at)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, used, products = [], 0, 0
+        for r in pdf.sort_values(["turn", "group", "id"]).itertuples():
+            if len(out) >= most:
+                break
+            if used + r.chars > budget:
+                continue
+            if not r.is_product and products < product_share * (len(out) + 1):
+                continue
+            used += r.chars
+            products += bool(r.is_product)
+            out.append((r.cluster, len(out) + 1, r.id))
+        return pd.DataFrame(out, columns=["cluster", "position", "id"])
+
+    return turns.groupBy("cluster").applyInPandas(run, "cluster string, position int, id string")

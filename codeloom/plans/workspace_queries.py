@@ -702,6 +702,23 @@ def folder_coverage(spark, d):
     return planning.folder_coverage(u)
 
 
+@query("concern_groups", f"""
+SELECT concern, {MOD.format('path')} AS module, min(path) AS surface, count(*) AS n_paths FROM (
+  SELECT 'Deployment' AS concern, path FROM files WHERE status = 'active' AND regexp_matches(path, '{_q(P.any_pattern_regex(planning.DEPLOYMENT_PATTERNS))}')
+  UNION ALL SELECT 'Testing', path FROM files WHERE status = 'active' AND {_role_sql('path')} IN ('fixture', 'test')) GROUP BY 1, 2""")
+def concern_groups(spark, d):
+    return planning.concern_groups(_members(spark, d))
+
+
+@query("chosen_anchors")
+def chosen_anchors(spark, d):
+    """Of each module's symbols those that fit a page's anchors: kinds in turn, products first, within a budget of lines."""
+    s, f = T(spark, d, "symbols", "files")
+    m = f.where("status = 'active'").select(F.col("id").alias("file_id"), resolve.module_of(F.col("path")).alias("cluster"), (P.path_role(F.col("path")) == "product").alias("is_product"))
+    items = s.where("status = 'active'").select("file_id", F.col("key").alias("id"), F.col("kind").alias("group"), (F.col("end_line") - F.col("start_line") + 1).alias("chars"), F.lit(0).alias("weight")).join(m, "file_id").drop("file_id")
+    return planning.choose_anchors(items, 12, 400)
+
+
 @query("round_robin_symbols", "SELECT id FROM (SELECT id, kind, file_id, row_number() OVER (PARTITION BY kind, file_id ORDER BY start_line, id) AS turn FROM symbols WHERE status = 'active') ORDER BY kind, turn, file_id LIMIT 200")
 def round_robin_symbols(spark, d):
     return planning.round_robin(T(spark, d, "symbols").where("status = 'active'").select("id", "kind", "file_id", "start_line"), "kind", "file_id", ["start_line", "id"], 200).select("id")
@@ -809,7 +826,7 @@ def symbol_snippets(spark, d):
     return s.where("status = 'active'").select("id", "file_id", "start_line", "end_line").join(c, "file_id").select("id", X.symbol_snippet(F.col("content"), F.col("start_line"), F.col("end_line")).alias("snippet"))
 
 
-@query("topic_signals", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_q(p)}') THEN '{n}' END" for n, p in sorted(X.TOPIC_SIGNALS.items())) + "], lambda x: x IS NOT NULL), ',') AS signals FROM documents WHERE text IS NOT NULL")
+@query("topic_signals", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{_q(p)}') THEN '{n}' END" for n, p in X.TOPIC_SIGNALS.items()) + "], lambda x: x IS NOT NULL), ',') AS signals FROM documents WHERE text IS NOT NULL")
 def topic_signals(spark, d):
     return T(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(X.topic_signals(F.col("text")), ",").alias("signals"))
 

@@ -290,3 +290,12 @@ def test_scan(spark, tmp_path):
     assert [tuple(s)[:5] for s in parsed["src/b.ts"]["symbols"]] == [("src/b.ts#h", "h", "function", 1, 3)]
     r = scan.rationales(walked.select(F.col("path").alias("file_id"), "content")).collect()
     assert [(x["kind"], x["line"], x["text"]) for x in r] == [("todo", 4, "explain why this is so slow")]
+
+
+def test_concerns_and_anchors(spark):
+    m = spark.createDataFrame([("m", "a/Dockerfile"), ("m", "a/x.test.ts"), ("n", "b/y.ts"), ("m", "a/scripts/z.sh")], "module string, path string")
+    assert {tuple(r) for r in planning.concern_groups(m).collect()} == {("Deployment", "m", "a/Dockerfile", 2), ("Testing", "m", "a/x.test.ts", 1)}
+    rows = [("c", "g1", "a", 10, True, 5), ("c", "g1", "b", 10, True, 4), ("c", "g2", "x", 10, False, 9), ("c", "g2", "d", 10, True, 1), ("c", "g3", "e", 99, True, 1), ("k", "g", "z", 10, False, 1)]
+    got = planning.choose_anchors(spark.createDataFrame(rows, "cluster string, group string, id string, chars int, is_product boolean, weight int"), 3, 40)
+    assert [tuple(r) for r in got.collect()] == [("c", 1, "a"), ("c", 2, "d"), ("c", 3, "b")]
+    assert column(spark, ["The config of a server", "nothing"], lambda c: F.array_join(X.topic_signals(c), "+")) == ["configuration+entry/boundary", ""]
