@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_key, normal_word, utc_month
@@ -101,31 +101,36 @@ def workspace_cascade(files: DataFrame, symbols: DataFrame, shared: DataFrame, c
     A record exists if it is active; rows of calls and anchors are taken by what they refer to, so equal ones count once.
     """
     live = normal_word(F.col("status")) == "active"
+
+    def short(c: Column) -> Column:
+        """16 bytes that stand for a key: only counts come out, so the keys themselves need not be shuffled."""
+        return F.unhex(F.md5(c.cast("string")))
+
     everything = symbols.select("key", "status", "file_id", "recorded_at").unionByName(shared.select("key", "status", "file_id", "recorded_at")).where(live)
-    symbol = everything.select(normal_key(F.col("key")).alias("key"), F.col("file_id").cast("string").alias("file_id"), utc_month(F.col("recorded_at")).alias("period"))
+    symbol = everything.select(short(normal_key(F.col("key"))).alias("key"), short(F.col("file_id")).alias("file_id"), utc_month(F.col("recorded_at")).alias("period"))
     records = (
-        files.where(live).select(F.lit("files").alias("table"), F.col("id").cast("string").alias("key"))
+        files.where(live).select(F.lit("files").alias("table"), short(F.col("id")).alias("key"))
         .unionByName(symbol.select(F.lit("symbols").alias("table"), "key"))
-        .unionByName(pages.select(F.lit("doc_pages").alias("table"), F.col("id").cast("string").alias("key")))
+        .unionByName(pages.select(F.lit("doc_pages").alias("table"), short(F.col("id")).alias("key")))
     )
 
     def refs(df: DataFrame, name: str, parent: str) -> DataFrame:
-        return df.select(F.lit(name).alias("table"), "key", F.lit(parent).alias("parent"), "parent_key", "period")
+        return df.select(F.lit(name).alias("table"), F.coalesce("key", "parent_key").alias("key"), F.lit(parent).alias("parent"), "parent_key", "period")
+
+    def rows(df: DataFrame, key: Column) -> DataFrame:
+        """What a table without keys of its own refers to: its rows are told apart by that."""
+        return df.select(utc_month(F.col("recorded_at")).alias("period"), short(key).alias("parent_key"), F.lit(None).cast("binary").alias("key"))
 
-    period = utc_month(F.col("recorded_at")).alias("period")
-    called = calls.select(period, normal_key(F.col("resolved_callee_key")).alias("parent_key")).distinct().withColumn("key", F.concat_ws(" ", F.lit("callee"), "parent_key"))
-    caller = calls.select(period, normal_key(F.col("caller_key")).alias("parent_key")).distinct().withColumn("key", F.concat_ws(" ", F.lit("caller"), "parent_key"))
-    anchored = anchor_references(anchors).select(F.col("ref_table").alias("t"), period, normal_key(F.col("raw")).alias("parent_key")).distinct()
-    paged = anchors.select(period, F.col("doc_page_id").cast("string").alias("parent_key")).distinct().withColumn("key", F.concat_ws(" ", F.lit("page"), "parent_key"))
+    anchored = anchor_references(anchors)
     references = reduce(
         DataFrame.unionByName,
         [
             refs(symbol.withColumn("parent_key", F.col("file_id")), "symbols", "files"),
-            refs(called, "calls", "symbols"),
-            refs(caller, "callers", "symbols"),
-            refs(anchored.where("t = 'page_anchors'").withColumn("key", F.concat_ws(" ", F.lit("page"), "parent_key")), "page_anchors", "symbols"),
-            refs(anchored.where("t = 'section_anchors'").withColumn("key", F.concat_ws(" ", F.lit("section"), "parent_key")), "section_anchors", "symbols"),
-            refs(paged, "extracted_anchors", "doc_pages"),
+            refs(rows(calls, normal_key(F.col("resolved_callee_key"))), "calls", "symbols"),
+            refs(rows(calls, normal_key(F.col("caller_key"))), "callers", "symbols"),
+            refs(rows(anchored.where("ref_table = 'page_anchors'"), normal_key(F.col("raw"))), "page_anchors", "symbols"),
+            refs(rows(anchored.where("ref_table = 'section_anchors'"), normal_key(F.col("raw"))), "section_anchors", "symbols"),
+            refs(rows(anchors, F.col("doc_page_id")), "extracted_anchors", "doc_pages"),
         ],
     )
     found = orphan_cascade(records, references)
