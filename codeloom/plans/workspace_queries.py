@@ -469,11 +469,17 @@ def debt_actions(spark, d):
     return ledger.debt_sync(want, stored).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("legacy_moves")
+@query("legacy_moves", """
+WITH live AS (SELECT * FROM symbols WHERE status = 'active'),
+gone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id DESC) AS rn FROM symbols WHERE status = 'deleted' AND key NOT IN (SELECT key FROM live)) WHERE rn = 1),
+bh AS (SELECT content_hash, max_by(key, id) AS hash_key FROM live GROUP BY 1), tw AS (SELECT name, kind, count(*) AS twins FROM live GROUP BY 1, 2),
+f AS (SELECT g.key, min_by(l.key, l.id) AS name_key FROM gone g JOIN live l ON l.name = g.name AND l.signature IS NOT DISTINCT FROM g.signature AND l.file_id IS DISTINCT FROM g.file_id WHERE g.content_hash NOT IN (SELECT content_hash FROM live) GROUP BY 1)
+SELECT old_key, new_key FROM (SELECT g.key AS old_key, coalesce(hash_key, CASE WHEN coalesce(twins, 0) <= 1 THEN name_key END) AS new_key FROM gone g LEFT JOIN bh ON bh.content_hash = g.content_hash LEFT JOIN f ON f.key = g.key LEFT JOIN tw ON tw.name = g.name AND tw.kind = g.kind)
+WHERE new_key IS NOT NULL AND new_key <> old_key""")
 def legacy_moves(spark, d):
     s = T(spark, d, "symbols")
     live = s.where("status = 'active'")
-    gone = s.where("status = 'deleted'").join(live.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    gone = resolve.latest(s.where("status = 'deleted'").join(live.select("key"), "key", "left_anti"), ["key"], [F.desc("id")])
     return ledger.legacy_moves(gone, live)
 
 
@@ -831,12 +837,20 @@ def topic_signals(spark, d):
     return T(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(X.topic_signals(F.col("text")), ",").alias("signals"))
 
 
-@query("rationales")
+_RAT = r"""
+rat AS (SELECT file_id, lower(regexp_extract(raw, '^[ \t]*(?://+|#+|/\*+|\*)[ \t]*(?i)(why|note|hack|todo|fixme)\b', 1)) AS kind, line,
+  regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s*(///|//!|//|#|/\*\*?)', ''), '\*/\s*$', ''), '^\s*\*+ ?', ''), '\s+', ' ', 'g')), '^(?i)(why|note|hack|todo|fixme)\b[:\s-]*', '') AS text
+  FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS raw, unnest(generate_series(1, len(string_split(content, chr(10)))))::INT AS line FROM file_contents))"""
+
+
+@query("rationales", f"WITH {_RAT} SELECT *, sha256(text) AS content_hash FROM rat WHERE kind <> '' AND length(text) >= 20")
 def rationales(spark, d):
     return scan.rationales(T(spark, d, "file_contents"))
 
 
-@query("rationale_owners")
+@query("rationale_owners", f"""WITH {_RAT}, r AS (SELECT * FROM rat WHERE kind <> '' AND length(text) >= 20)
+SELECT file_id, line, kind, text, symbol_key FROM (SELECT r.*, s.key AS symbol_key, row_number() OVER (PARTITION BY r.file_id, r.line ORDER BY s.start_line DESC NULLS LAST, s.end_line, s.key) AS rn
+FROM r LEFT JOIN symbols s ON s.file_id = r.file_id AND s.status = 'active' AND r.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1""")
 def rationale_owners(spark, d):
     contents, symbols = T(spark, d, "file_contents", "symbols")
     return resolve.innermost_symbol(scan.rationales(contents), symbols).select("file_id", "line", "kind", "text", "symbol_key")
