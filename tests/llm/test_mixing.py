@@ -85,3 +85,13 @@ def test_rates_stay_in_bounds_and_steps_lower_the_error():
         errors.append(np.abs(miss / wanted).max())
         steps.append(_step(gram, miss[None], np.ones((1, 3), dtype=bool)))
     assert errors[-1] < 0.02 < 0.3 < errors[0] and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:]))
+
+
+def test_nulls_in_any_column_and_repeated_rows(spark):
+    rows, _ = docs(60, 0)
+    rows += [(None, "page link", "wiki"), (None, "page link", "wiki"), (7, None, None), (8, "return value", "")]
+    m = mix(spark, rows + rows[:5], [("m", "wiki", 1.0, None), ("m", "code", None, 2), ("m", None, 1.0, 2), (None, "log", 1.0, 2), ("z", "wiki", 0.0, 2), ("y", "wiki", 1.0, 0)])
+    report = {(r["mix_name"], r["source"]): r for r in m.report.collect()}
+    assert report["m", "wiki"]["status"] == "reached" and abs(report["m", "wiki"]["reached_share"] - 1) < 0.05
+    assert report["y", "wiki"]["status"] == "no documents" and ("z", "wiki") not in report
+    assert all(r["copies"] == 1 for r in m.rows.collect() if r["mix_name"] == "m" and r["source"])
