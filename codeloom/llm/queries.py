@@ -21,7 +21,7 @@ def p1_pairs(spark, d):
 
 
 def p1_linked(spark, d):
-    return doc_pairs(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")), linked=True).groupBy("lang", "doc_source").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return doc_pairs(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")), linked=True, with_code=False).groupBy("lang", "doc_source").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def p2_found(spark, d):
