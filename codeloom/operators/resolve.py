@@ -153,17 +153,39 @@ def paired_tests(paths: DataFrame) -> DataFrame:
     return out.select("path", kind.alias("disposition"), F.coalesce("exact_path", "near_path").alias("product_path"))
 
 
+def blocked_pairs(rows: DataFrame, by: str, least: int = 1000) -> DataFrame:
+    """a, b: the pairs of ids (a < b) that share a group, once for each group they share. rows: id and the column `by`, distinct.
+
+    A group of more than `least` rows is dealt into blocks by a hash, and each pair of blocks meets under a key of its own, so
+    that no task makes all pairs of a hot group; a row is copied once for each block, and every pair is still made.
+    """
+    hot = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(by, F.ceil(F.col("n") / least).cast("int").alias("blocks"))
+    dealt = rows.join(hot, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = dealt.select(by, F.col("id").alias("a"), F.col("own").alias("at_a"), F.col("other").alias("at_b"))
+    b = dealt.select(by, F.col("id").alias("b"), F.col("other").alias("at_a"), F.col("own").alias("at_b"))
+    return a.join(b, [by, "at_a", "at_b"]).where("a < b").select("a", "b")
+
+
 def overlap_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
     """a, b, shared, overlap: pairs of ids (a < b) whose sets overlap by `least` of the smaller one. sets: id, item.
 
-    Pairs come from shared items, so sets with nothing in common are never paired. An item that is in very many sets makes
-    many pairs: leave such items out before, as they tell little.
+    Pairs come from shared items, so sets with nothing in common are never paired. Ids with equal sets make one class; classes
+    are paired by their smallest id, and pairs of classes are dealt to their members. Items that very many classes have go in blocks.
     """
     s = sets.select("id", "item").where("id is not null and item is not null").distinct()
-    n = s.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    both = s.select(F.col("id").alias("a"), "item").join(s.select(F.col("id").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = both.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+    whole = s.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    classes = whole.groupBy("items").agg(F.min("id").alias("cls"))
+    members = whole.join(classes, "items").select("id", "cls", F.size("items").alias("n"))
+    rows = classes.select(F.col("cls").alias("id"), F.explode("items").alias("item"))
+    n = classes.select("cls", F.size("items").alias("n"))
+    both = blocked_pairs(rows, "item").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    near = both.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+    near = near.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least)
+    x, y = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    across = near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "overlap")
+    alike = blocked_pairs(members.select("id", "cls"), "cls").join(members.select(F.col("id").alias("a"), F.col("n").cast("long").alias("shared")), "a")
+    return across.unionByName(alike.select("a", "b", "shared", F.lit(1.0).alias("overlap")).where(F.lit(1.0) >= least))
 
 
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -9,6 +9,7 @@ from codeloom.functions import text as X
 from codeloom.functions.keys import normal_hash, normal_key
 from codeloom.functions.markdown import front_matter, mask_code, open_fence, parse, parse_pages
 from codeloom.operators import activity, graph, ledger, planning, resolve, search, status, verify
+from codeloom.plans import workspace_queries
 from codeloom.sources import scan
 from pyspark.sql import functions as F
 
@@ -299,3 +300,20 @@ def test_concerns_and_anchors(spark):
     got = planning.choose_anchors(spark.createDataFrame(rows, "cluster string, group string, id string, chars int, is_product boolean, weight int"), 3, 40)
     assert [tuple(r) for r in got.collect()] == [("c", 1, "a"), ("c", 2, "d"), ("c", 3, "b")]
     assert column(spark, ["The config of a server", "nothing"], lambda c: F.array_join(X.topic_signals(c), "+")) == ["configuration+entry/boundary", ""]
+
+
+def test_page_overlaps_of_hot_items(spark, tmp_path):
+    rng = random.Random(5)
+    sets = {f"p{i:02d}": {f"a/d{rng.randrange(6)}/f.py#x" for _ in range(3)} | {"a/hot/f.py#x"} for i in range(40)}
+    rows = [(k, sorted(v)) for k, v in sets.items()]
+    spark.createDataFrame(rows, "wiki_path string, page_anchors array<string>").write.parquet(str(tmp_path / "extracted_anchors.parquet"))
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))}
+    got = [tuple(r) for r in workspace_queries.page_overlaps(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 300
+
+
+def test_blocked_pairs(spark):
+    rows = [(f"n{i:02d}", "hot") for i in range(30)] + [("n01", "cold"), ("n02", "cold"), ("n99", "cold")]
+    got = [tuple(r) for r in resolve.blocked_pairs(spark.createDataFrame(rows, "id string, g string"), "g", 4).collect()]
+    want = [(f"n{i:02d}", f"n{j:02d}") for i in range(30) for j in range(i + 1, 30)] + [("n01", "n02"), ("n01", "n99"), ("n02", "n99")]
+    assert sorted(got) == sorted(want)
