@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.rules import judge
+from codeloom.operators.graph import components
 
 #: directories that hold what others wrote (fixed values, compared without case)
 VENDOR_DIRS = ("vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "jspm_packages", "external", "externals", "site-packages", "pods", "godeps")
@@ -38,14 +39,32 @@ def line_hashes(content: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= LEAST_LINE), lambda x: F.xxhash64(x)))
 
 
+def reference_families(refs: DataFrame, rare: int, alike: float = 0.6) -> DataFrame:
+    """ref, family: references that are variants of each other, found from the lines that more than `rare` references have.
+
+    Two references are variants if the lines that they share are at least `alike` of each. A line's references are
+    compared with the first and the last of them, not in all pairs, and variants of variants are one family. References without
+    variants have no row. refs: ref, hs.
+    """
+    lines = refs.select("ref", F.explode("hs").alias("h"))
+    hot = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("ref").alias("a"), F.max("ref").alias("z")).where(F.col("df") > rare)
+    met = lines.join(hot, "h").select("ref", F.explode(F.array("a", "z")).alias("to")).where(F.col("ref") != F.col("to")).distinct()
+    met = met.join(refs.select("ref", "hs"), "ref").join(refs.select(F.col("ref").alias("to"), F.col("hs").alias("theirs")), "to")
+    near = met.where(F.size(F.array_intersect("hs", "theirs")) >= alike * F.greatest(F.size("hs"), F.size("theirs")))
+    return components(near.select(F.col("ref").alias("src"), F.col("to").alias("dst"))).select(F.col("node").alias("ref"), F.col("component").alias("family"))
+
+
 def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame, rare: int = 8, contained: float = 0.6, shared: int = 2) -> DataFrame:
     """file_id and containment of files that are copies, also edited ones, of third-party files.
 
-    References are the files of the catalog and those that lie in vendor directories of any repository. An inverted index
-    holds their rare lines: hashes that at most `rare` distinct references have, a count over references, so that a file
-    that was copied into a third of all repositories stays rare. A file outside vendor directories that shares at least
-    `shared` rare lines and a twentieth of its lines with a reference of the catalog or of another repository is a candidate, and
-    the exact share of its lines that the reference has is computed over all lines, rare or not.
+    References are the files of the catalog and those that lie in vendor directories of any repository. A line is rare if at
+    most `rare` families of references have it, a family being the variants of one file, so that a file that lies, edited or
+    not, in a third of all repositories stays rare. A file outside vendor directories is a copy if a reference of the catalog or
+    of another repository has `contained` of its lines, and of these at least `shared` and a twentieth of its lines are rare.
+
+    A file can be such a copy only if it shares one of its rarest lines with the reference, as many as may differ and one more;
+    only these are looked up in the index, and the exact share is computed for what they hit. The least common lines go first,
+    and lines that no reference has count among them.
 
     contents: file_id, content. places: file_id, repo, vendor (whether it lies in a vendor directory). catalog: content and any
     other columns. Lines of a reference are taken as a set, equal references count once. Only line hashes are shuffled.
@@ -55,16 +74,24 @@ def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame,
     own = sets.where(~F.col("vendor"))
     known = catalog.where("content is not null").select(F.lit("").alias("home"), line_hashes(F.col("content")).alias("hs")).where(F.size("hs") > 0)
     taken = sets.where("vendor").select(F.col("repo").alias("home"), "hs")
-    refs = known.unionByName(taken).groupBy(F.xxhash64("hs").alias("ref")).agg(F.min("home").alias("home"), F.max("home").alias("far"), F.first("hs").alias("hs"))
+    refs = known.unionByName(taken).withColumn("hs", F.array_sort("hs")).groupBy(F.xxhash64("hs").alias("ref")).agg(F.min("home").alias("home"), F.max("home").alias("far"), F.first("hs").alias("hs"))
+    refs = refs.persist(StorageLevel.MEMORY_AND_DISK)
     lines = refs.select("ref", F.explode("hs").alias("h"))
-    rarest = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= rare).select("h")
-    index = lines.join(rarest, "h", "left_semi")
-    hits = own.select("file_id", F.explode("hs").alias("h")).join(index.hint("shuffle_hash"), "h")
-    candidates = hits.groupBy("file_id", "ref").agg(F.count(F.lit(1)).alias("rare_shared"))
-    pairs = own.join(candidates, "file_id").where((F.col("rare_shared") >= F.least(F.lit(shared), F.size("hs"))) & (F.col("rare_shared") >= 0.05 * F.size("hs")))
+    held = refs.join(reference_families(refs, rare), "ref", "left").select(F.coalesce("family", "ref").alias("family"), F.explode("hs").alias("h"))
+    held = held.groupBy("h", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("df"), (F.count(F.lit(1)) <= rare).alias("tells"))
+    hits = own.select("file_id", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(held.hint("shuffle_hash"), "h")
+    hits = hits.groupBy("file_id", "n").agg(F.count(F.lit(1)).alias("known"), F.sort_array(F.collect_list(F.when(F.col("tells"), F.struct("df", "h")))).alias("told"))
+    # how many of the known lines may be missed, and one more; the little that is taken off is for rounding
+    hits = hits.withColumn("k", (F.col("known") - F.ceil(contained * F.col("n") - 1e-9) + 1).cast("int"))
+    hits = hits.where((F.col("k") > 0) & (F.size("told") >= F.least(F.lit(shared), F.col("n"))) & (F.size("told") >= 0.05 * F.col("n")))
+    hits = hits.select("file_id", "k", F.col("told.h").alias("told")).persist(StorageLevel.MEMORY_AND_DISK)
+    index = lines.join(held.where("tells").select("h"), "h", "left_semi")
+    candidates = hits.select("file_id", F.explode(F.slice("told", F.lit(1), F.col("k"))).alias("h")).join(index, "h").select("file_id", "ref").distinct()
     # exact containment of the candidates, over all lines
-    pairs = pairs.join(refs.select("ref", "home", "far", F.col("hs").alias("theirs")), "ref")
+    pairs = candidates.join(refs.select("ref", "home", "far", F.col("hs").alias("theirs")), "ref").join(hits.select("file_id", "told"), "file_id").join(own, "file_id")
     pairs = pairs.where((F.col("home") == "") | (F.col("home") != F.col("repo")) | (F.col("far") != F.col("repo")))
+    telling = F.size(F.array_intersect("told", "theirs"))
+    pairs = pairs.where((telling >= F.least(F.lit(shared), F.size("hs"))) & (telling >= 0.05 * F.size("hs")))
     share = F.size(F.array_intersect("hs", "theirs")) / F.size("hs")
     return pairs.groupBy("file_id").agg(F.max(share).alias("containment")).where(F.col("containment") >= contained)
 

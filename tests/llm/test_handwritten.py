@@ -57,3 +57,33 @@ def test_copies_edited_copies_and_hot_groups(spark):
     got = {r["file_id"]: r["reason"] for r in unwritten_files(f, c, v).collect()}
     assert got == {**{i: "vendored" for i in range(60)}, 300: "vendored", 301: "vendored", 304: "vendored"}
     assert unwritten_files(f.limit(0), c.limit(0), v.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("in_catalog", [True, False])
+def test_package_in_twenty_edited_vendor_copies(spark, in_catalog):
+    rng = random.Random(7)
+    package = source(rng).split("\n")
+    common = [f"from __future__ import feature_{k}" for k in range(3)]
+    files, rows = [], []
+
+    def add(i, path, lines):
+        files.append((i, path))
+        rows.append((i, "\n".join(lines)))
+
+    def edited(i):
+        lines = package[:]
+        lines[rng.randrange(len(lines))] = f"edited_{i} = changed_line_number(x)"
+        return lines if i % 2 else lines[::-1]
+
+    for i in range(20):
+        add(i, f"apps/r{i}/vendor/lib/a.py", edited(i))
+    for i in range(100, 105):
+        add(i, f"apps/s{i}/src/a.py", edited(i))
+    for i in range(200, 220):  # unrelated packages that have nothing but common lines with each other
+        add(i, f"apps/r{i}/vendor/lib/b.py", common + source(rng).split("\n"))
+    add(300, "apps/t/src/c.py", common + ["one_line_of_my_own = 1"])
+    f = spark.createDataFrame(files, "id long, path string")
+    c = spark.createDataFrame(rows, "file_id long, content string")
+    v = spark.createDataFrame([("p", "\n".join(package))] if in_catalog else [], "package_name string, content string")
+    got = {r["file_id"] for r in unwritten_files(f, c, v).where("reason = 'vendored'").collect()}
+    assert got == {*range(20), *range(100, 105), *range(200, 220)}
