@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 #: marks that generators leave in the head of a file (fixed values); each names the file itself as the product
 HEAD_MARKS = [
@@ -29,13 +30,27 @@ _COMMENT_START = {"py": ("#",), "pyi": ("#",)}
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _ACCESSOR = re.compile(r"(?m)^\s*return\s+[\w$.]+(?:\.[A-Za-z_]{1,8}\d+|\[\d+\]);?\s*$")
+#: the statement by which a transpiler marks a module (fixed value)
+_BOILERPLATE = re.compile(r"(?m)(?:^|[;{},)])[ \t]*Object\.defineProperty\(\s*exports\s*,\s*[\"']__esModule[\"']")
+_STRICT = re.compile(r"[\"']use strict[\"']")
+_TEMPLATE = re.compile(r"`(?:[^`\\]|\\.)*`", re.S)
 _FUNCTION = re.compile(r"(?m)^\s*(?:export\s+|pub(?:\([a-z]+\))?\s+|public\s+|private\s+|static\s+|async\s+|final\s+)*(?:def|function|func|fn|[A-Za-z_][\w<>\[\]]*\s+[A-Za-z_]\w*)\s*[\w$]*\s*\(")
 
 
+def _each_line(text: str) -> Iterator[str]:
+    """The lines one by one, so that a long text isn't split for its head."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
+
+
 def head_lines(text: str, ext: str) -> list[str]:
     """The comment lines before a file's first line of code."""
     got, inside = [], ""
-    for line in text[:8000].split("\n"):
+    for line in _each_line(text):
         s = line.strip().lstrip("﻿")
         if inside:
             got.append(s)
@@ -115,10 +130,14 @@ def accessors_only(code: str) -> bool:
 
 
 def compiled(text: str) -> bool:
-    """Whether a transpiler wrote it: module boilerplate at the start, a source map's name at the end."""
-    start = text[:400]
-    boiler = "Object.defineProperty(exports," in start and "__esModule" in start
-    return (boiler and "use strict" in start) or (boiler and bool(re.search(r"//# sourceMappingURL=\S+\s*$", text[-300:])))
+    """Whether a transpiler wrote it: module boilerplate as a statement, wherever the comments and helpers before it end, in
+    strict mode or with a source map's name at the end."""
+    if "__esModule" not in text:
+        return False
+    code = _TEMPLATE.sub("``", _code(text, "js"))
+    if not _BOILERPLATE.search(code):
+        return False
+    return bool(_STRICT.search(code)) or bool(re.search(r"//# sourceMappingURL=\S+\s*$", text[-300:]))
 
 
 def judge(path: str, ext: str, text: str | None) -> str | None:

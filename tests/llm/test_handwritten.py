@@ -87,3 +87,20 @@ def test_package_in_twenty_edited_vendor_copies(spark, in_catalog):
     v = spark.createDataFrame([("p", "\n".join(package))] if in_catalog else [], "package_name string, content string")
     got = {r["file_id"] for r in unwritten_files(f, c, v).where("reason = 'vendored'").collect()}
     assert got == {*range(20), *range(100, 105), *range(200, 220)}
+
+
+BANNER = "/*!\n" + " * Permission is granted to use, copy and change this software for any purpose.\n" * 120 + " */\n"
+MODULE = '"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\n'
+HELPER = "var __importDefault = (this && this.__importDefault) || function (mod) {\n" + "    // keeps the default\n" * 30 + "    return mod;\n};\n"
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        (BANNER + MODULE + PERSON, "compiled"), (BANNER.replace("/*!", "//").replace(" */", "//").replace(" *", "//") + MODULE + PERSON, "compiled"), (MODULE.replace("\n", "\n" + HELPER, 1) + PERSON, "compiled"),
+        (BANNER + "// Code generated by tool. DO NOT EDIT.\n" + PERSON, "generated"), (BANNER + PERSON, None), (BANNER + '"use strict";\n' + PERSON, None), (BANNER + "const MODULE = `\n" + MODULE + "`;\n" + PERSON, None),
+        (BANNER + "/*\n" + MODULE + "*/\n" + PERSON, None), (BANNER + PERSON + "// Code generated by tool. DO NOT EDIT.\n", None),
+    ],
+)
+def test_marks_below_long_heads(text, kind):
+    assert judge("src/a.js", "js", text) == kind
