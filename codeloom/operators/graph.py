@@ -104,8 +104,10 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, passes: int =
     """node, community, sequential: label propagation in sorted order with labels changed in place, ties to the smallest label.
 
     Labels never leave a connected component, so the sequential pass runs once per component, in one task each. A component of
-    more than `largest` nodes doesn't go into one task: its nodes take their neighbours' most frequent label all at once, pass
-    by pass, by joins; sequential is then false.
+    more than `largest` nodes doesn't go into one task: its passes are made by joins, with the same labels; sequential is then
+    false. In a pass a node sees the new labels of smaller neighbours and the old ones of greater neighbours; all nodes are
+    voted on again until no new label moves, which is where the sequential pass ends, as the smallest node that isn't settled
+    depends on settled ones only.
     """
     parts = components(edges, nodes)
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -125,11 +127,20 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, passes: int =
     if big.isEmpty():
         return out
     big_edges = cut(both.join(big.select(F.col("node").alias("src")), "src", "left_semi"))
-    labels = cut(big.withColumn("community", F.col("node")))
+    # old: the labels before the pass, new: those of the pass so far
+    state = cut(big.select("node", F.col("node").alias("old"), F.col("node").alias("new")))
     for _ in range(passes):
-        votes = big_edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("node", F.col("m.community").alias("community")))
-    return out.unionByName(labels.withColumn("sequential", F.lit(False)))
+        while True:
+            seen = big_edges.join(state.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")).alias("vote"))
+            votes = seen.groupBy("node", "vote").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "vote")).alias("m"))
+            voted = cut(state.join(votes, "node").select("node", "old", F.col("m.vote").alias("new"), F.col("new").alias("was")))
+            state = voted.select("node", "old", "new")
+            if voted.where("new <> was").isEmpty():
+                break
+        if state.where("new <> old").isEmpty():
+            break
+        state = state.select("node", F.col("new").alias("old"), "new")
+    return out.unionByName(state.select("node", F.col("new").alias("community"), F.lit(False).alias("sequential")))
 
 
 def partition_agreement(members: DataFrame, found: DataFrame) -> DataFrame:

@@ -317,3 +317,13 @@ def test_blocked_pairs(spark):
     got = [tuple(r) for r in resolve.blocked_pairs(spark.createDataFrame(rows, "id string, g string"), "g", 4).collect()]
     want = [(f"n{i:02d}", f"n{j:02d}") for i in range(30) for j in range(i + 1, 30)] + [("n01", "n02"), ("n01", "n99"), ("n02", "n99")]
     assert sorted(got) == sorted(want)
+
+
+def test_communities_of_large_components(spark):
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(110)] + [(f"b{i}", f"c{j}") for i in range(4) for j in range(5)]
+    in_one_task = {r["node"]: r["community"] for r in graph.communities(edges(spark, pairs)).collect()}
+    by_joins = graph.communities(edges(spark, pairs), largest=0).collect()
+    assert {r["node"]: r["community"] for r in by_joins} == in_one_task and not any(r["sequential"] for r in by_joins)
+    once = {r["node"]: r["community"] for r in graph.communities(edges(spark, pairs), passes=1).collect()}
+    assert {r["node"]: r["community"] for r in graph.communities(edges(spark, pairs), passes=1, largest=0).collect()} == once != in_one_task
