@@ -1,4 +1,8 @@
-"""References to records that do not exist, direct and inherited, per table and period."""
+"""References to records that do not exist, direct and inherited, per table and period.
+
+One cascade serves every query: references whose record is missing, deleted or late are direct orphans; records that hold such
+a reference to a missing or deleted one are orphaned records, and whatever refers to them is an orphan by inheritance.
+"""
 
 from __future__ import annotations
 
@@ -35,9 +39,12 @@ def symbol_references(calls: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def known_keys(*tables: DataFrame) -> DataFrame:
-    """One row per symbol key of the tables: is_active, and active_at, from when on an active row has it (null if always)."""
-    live = normal_word(F.col("status")) == "active"
-    rows = reduce(DataFrame.unionByName, [t.select(normal_key(F.col("key")).alias("symbol_key"), F.coalesce(live, F.lit(False)).alias("live"), F.col("recorded_at")) for t in tables])
+    """One row per symbol key of the tables: is_active, active_at (from when on an active row has it, null if always), and the file and
+    time of its active row, or else of its last row by id: file_id, recorded_at."""
+    live = F.coalesce(normal_word(F.col("status")) == "active", F.lit(False))
+    columns = [normal_key(F.col("key")).alias("symbol_key"), live.alias("live"), "recorded_at", "file_id", "id"]
+    rows = reduce(DataFrame.unionByName, [t.select(*columns) for t in tables])
+    last = F.max(F.struct("live", "id", "file_id", "recorded_at"))
     return (
         rows.where(F.col("symbol_key").isNotNull())
         .groupBy("symbol_key")
@@ -45,95 +52,128 @@ def known_keys(*tables: DataFrame) -> DataFrame:
             F.max("live").alias("is_active"),
             F.min(F.when(F.col("live"), F.col("recorded_at"))).alias("active_at"),
             F.max(F.col("live") & F.col("recorded_at").isNull()).alias("always"),
+            last.alias("last"),
         )
-        .select("symbol_key", "is_active", F.when(~F.col("always"), F.col("active_at")).alias("active_at"))
-    )
-
-
-def direct_orphans(references: DataFrame, keys: DataFrame) -> DataFrame:
-    """The references that no record answers, with the reason `missing`, `deleted` or `late`.
-
-    references: ref_table, ref_month, symbol_key, first_at, n_refs, as symbol_references gives them; keys: as known_keys gives them.
-    """
-    reason = (
-        F.when(F.col("is_active").isNull(), "missing")
-        .when(~F.col("is_active"), "deleted")
-        .when(F.col("active_at") > F.col("first_at"), "late")
+        .select("symbol_key", "is_active", F.when(~F.col("always"), F.col("active_at")).alias("active_at"), "last.file_id", "last.recorded_at")
     )
-    return references.join(keys, "symbol_key", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select("ref_table", "ref_month", "symbol_key", "reason", "n_refs")
 
 
 def orphan_cascade(records: DataFrame, references: DataFrame, depth: int | None = None) -> DataFrame:
-    """Orphans of a foreign-key graph by fixpoint: a record is an orphan directly if its reference has no
-    record, and by inheritance if its reference leads to an orphan.
-
-    records: table, key - the records that exist. references: table, key (the referring record), parent, parent_key, period.
-    A null parent_key is no reference. Returns each orphaned reference once, with kind `direct` or `inherited` and the depth
-    at which it was found. Cycles end, as a record becomes an orphan once only. depth: levels of inheritance at most; None:
-    to the fixpoint. Each level is one semi-join of the references with the orphans found last, written to the shared folder.
+    """Orphaned references of a foreign-key graph, found by a fixpoint of semi-joins down the graph.
+
+    records: table, key (unique), is_active, active_at - the records that exist, and from when on (null if always).
+    references: table, key, parent, parent_key, period, first_at, n_refs - that records of `table` refer to (parent, parent_key)
+    n_refs times in `period`, first at first_at (null: can't be too early). key is the referring record's own, null where nothing refers to
+    records of that table, so that its rows may be summed up. A null parent_key is no reference.
+
+    A reference is `direct`, level 0, if its record is `missing`, `deleted` (there, but not active) or `late` (active from after
+    first_at on). A record with a missing or deleted reference is an orphan, and so, level by level, is each record that refers to
+    an orphan; a record becomes one once only, so cycles end. References to orphaned records that aren't direct are `inherited`,
+    with the reason `orphaned` and one level more than the record's. A late reference orphans nobody, as its record is there now.
+
+    Returns the references' columns but first_at, with kind, reason, level and above: for each reference, direct ones too, whose record
+    is an orphan itself, one level more than the record's (a symbol that went with its file), else null. depth: levels of inheritance
+    at most; None: to the fixpoint. records are read several times, so hand over written ones. Only references with a key take part in the iteration, one semi-join with the orphans found last per level, and each
+    level is written to the shared folder once; the others are joined once, with the result.
     """
-    refs = references.where(F.col("parent_key").isNotNull()).distinct()
-    there = records.select(F.col("table").alias("parent"), F.col("key").alias("parent_key")).distinct()
-    out = [cut(refs.join(there, ["parent", "parent_key"], "left_anti").withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0)))]
-    if depth == 0:
-        return out[0]
-    known = out[0].select("table", "key").distinct()
-    last, level = known, 0
-    while depth is None or level < depth:
-        level += 1
+    records = records.select(F.col("table").alias("parent"), F.col("key").alias("parent_key"), "is_active", "active_at")
+    at = ["parent", "parent_key"]
+    refs = references.where(F.col("parent_key").isNotNull())
+    inner = refs.where(F.col("key").isNotNull()).select("table", "key", *at)
+    lost = inner.join(records.where("is_active"), at, "left_anti")
+    last = cut(lost.select("table", "key").distinct().withColumn("level", F.lit(0)))
+    levels = [last]
+    while not last.isEmpty() and (depth is None or len(levels) < depth):
         above = last.select(F.col("table").alias("parent"), F.col("key").alias("parent_key"))
-        step = refs.join(above, ["parent", "parent_key"], "left_semi").withColumn("kind", F.lit("inherited")).withColumn("depth", F.lit(level))
-        step = cut(step)
-        if step.isEmpty():
-            break
-        out.append(step)
-        last = cut(step.select("table", "key").distinct().join(known, ["table", "key"], "left_anti"))
-        if last.isEmpty():
-            break
-        known = cut(known.unionByName(last))
-    return reduce(DataFrame.unionByName, out)
-
-
-def workspace_cascade(files: DataFrame, symbols: DataFrame, shared: DataFrame, calls: DataFrame, pages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Per referring table, parent table, month and kind: how many distinct references are orphaned, and how deep the cascade went.
-
-    The graph: symbols refer to files, calls to the symbols that they call and come from, page anchors to symbols and to their page.
-    A record exists if it is active; rows of calls and anchors are taken by what they refer to, so equal ones count once.
-    """
-    live = normal_word(F.col("status")) == "active"
-
-    def short(c: Column) -> Column:
-        """16 bytes that stand for a key: only counts come out, so the keys themselves need not be shuffled."""
-        return F.unhex(F.md5(c.cast("string")))
-
-    everything = symbols.select("key", "status", "file_id", "recorded_at").unionByName(shared.select("key", "status", "file_id", "recorded_at")).where(live)
-    symbol = everything.select(short(normal_key(F.col("key"))).alias("key"), short(F.col("file_id")).alias("file_id"), utc_month(F.col("recorded_at")).alias("period"))
-    records = (
-        files.where(live).select(F.lit("files").alias("table"), short(F.col("id")).alias("key"))
-        .unionByName(symbol.select(F.lit("symbols").alias("table"), "key"))
-        .unionByName(pages.select(F.lit("doc_pages").alias("table"), short(F.col("id")).alias("key")))
+        known = reduce(DataFrame.unionByName, levels).select("table", "key")  # each level was written once and isn't written again
+        step = inner.join(above, at, "left_semi").select("table", "key").distinct().join(known, ["table", "key"], "left_anti")
+        last = cut(step.withColumn("level", F.lit(len(levels))))
+        levels.append(last)
+    orphans = reduce(DataFrame.unionByName, levels).select(F.col("table").alias("parent"), F.col("key").alias("parent_key"), "level")
+    states = records.join(orphans, at, "left")
+    direct = F.when(F.col("is_active").isNull(), "missing").when(~F.col("is_active"), "deleted").when(F.col("active_at") > F.col("first_at"), "late")
+    inherited = F.col("level").isNotNull() & F.lit(depth is None or depth > 0)
+    found = refs.join(states, at, "left").withColumn("direct", direct).where(F.col("direct").isNotNull() | inherited)
+    return found.select(
+        "table", "key", *at, "period", "n_refs",
+        F.when(F.col("direct").isNotNull(), "direct").otherwise("inherited").alias("kind"),
+        F.coalesce("direct", F.lit("orphaned")).alias("reason"),
+        F.when(F.col("direct").isNotNull(), 0).otherwise(F.col("level") + 1).alias("level"),
+        (F.col("level") + 1).alias("above"),
     )
 
-    def refs(df: DataFrame, name: str, parent: str) -> DataFrame:
-        return df.select(F.lit(name).alias("table"), F.coalesce("key", "parent_key").alias("key"), F.lit(parent).alias("parent"), "parent_key", "period")
 
-    def rows(df: DataFrame, key: Column) -> DataFrame:
-        """What a table without keys of its own refers to: its rows are told apart by that."""
-        return df.select(utc_month(F.col("recorded_at")).alias("period"), short(key).alias("parent_key"), F.lit(None).cast("binary").alias("key"))
+def workspace_records(files: DataFrame, symbols: DataFrame, shared: DataFrame, pages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The records of the workspace as orphan_cascade takes them: files and pages by id, symbols by key, extractions by their page's id.
+    Symbols have their file_id and their period too."""
+
+    def always(df: DataFrame, name: str, key: Column, live: Column) -> DataFrame:
+        there = df.where(key.isNotNull()).groupBy(key.cast("string").alias("key")).agg(F.max(live).alias("is_active"))
+        return there.select(F.lit(name).alias("table"), "key", "is_active", *[F.lit(None).cast(t).alias(n) for n, t in (("active_at", "timestamp"), ("file_id", "string"), ("period", "string"))])
 
-    anchored = anchor_references(anchors)
-    references = reduce(
+    live = F.coalesce(normal_word(F.col("status")) == "active", F.lit(False))
+    symbol = known_keys(symbols, shared).select(F.lit("symbols").alias("table"), F.col("symbol_key").alias("key"), "is_active", "active_at", F.col("file_id").cast("string").alias("file_id"), utc_month(F.col("recorded_at")).alias("period"))
+    return (
+        symbol.unionByName(always(files, "files", F.col("id"), live))
+        .unionByName(always(pages, "doc_pages", F.col("id"), F.lit(True)))
+        .unionByName(always(anchors, "extracted_anchors", F.col("doc_page_id"), F.lit(True)))
+    )
+
+
+def workspace_references(records: DataFrame, calls: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What refers to what: calls, their callers and anchors to symbols, anchors to the extraction that holds them, extractions to pages,
+    symbols to their file and, where the key names one (`path#Class.method`), to their class. Sums per month and key.
+
+    records: as workspace_records gives them; a deleted symbol refers to its file and class as well.
+    """
+    none = F.lit(None)
+
+    def refs(df: DataFrame, table: Column, key: Column, parent: str, parent_key: Column, first: Column, n: Column) -> DataFrame:
+        return df.select(table.alias("table"), key.cast("string").alias("key"), F.lit(parent).alias("parent"), parent_key.cast("string").alias("parent_key"), "period", first.cast("timestamp").alias("first_at"), n.cast("long").alias("n_refs"))
+
+    def keys_in(array: Column) -> Column:
+        return F.size(F.filter(F.coalesce(array, F.array().cast("array<string>")), lambda k: normal_key(k).isNotNull()))
+
+    month = utc_month(F.col("recorded_at")).alias("period")
+    keyed = symbol_references(calls, anchors).withColumnRenamed("ref_month", "period")
+    callers = calls.where("caller_key is not null").groupBy(month, "caller_key").agg(F.count(F.lit(1)).alias("n"))  # summed up before the keys are respelled
+    callers = callers.groupBy("period", normal_key(F.col("caller_key")).alias("k")).agg(F.sum("n").alias("n"))
+    paged = anchors.where("doc_page_id is not null")
+    sections = F.coalesce(F.aggregate("section_anchors", F.lit(0), lambda n, s: n + keys_in(s["symbol_keys"])), F.lit(0))
+    held = paged.select(month, "doc_page_id", F.explode(F.create_map(F.lit("page_anchors"), keys_in(F.col("page_anchors")), F.lit("section_anchors"), sections)).alias("t", "n"))
+    held = held.where("n > 0").groupBy("period", "doc_page_id", "t").agg(F.sum("n").alias("n"))
+    pages = paged.groupBy(month, "doc_page_id").agg(F.count(F.lit(1)).alias("n"))
+    own = records.where(F.col("table") == "symbols").select("period", F.col("key").alias("k"), "file_id")
+    holder = F.when(F.instr(F.substring_index("k", "#", -1), ".") > 0, F.regexp_replace("k", r"\.[^.]*$", ""))
+    one = F.lit(1)
+    return reduce(
         DataFrame.unionByName,
         [
-            refs(symbol.withColumn("parent_key", F.col("file_id")), "symbols", "files"),
-            refs(rows(calls, normal_key(F.col("resolved_callee_key"))), "calls", "symbols"),
-            refs(rows(calls, normal_key(F.col("caller_key"))), "callers", "symbols"),
-            refs(rows(anchored.where("ref_table = 'page_anchors'"), normal_key(F.col("raw"))), "page_anchors", "symbols"),
-            refs(rows(anchored.where("ref_table = 'section_anchors'"), normal_key(F.col("raw"))), "section_anchors", "symbols"),
-            refs(rows(anchors, F.col("doc_page_id")), "extracted_anchors", "doc_pages"),
+            refs(keyed, F.col("ref_table"), none, "symbols", F.col("symbol_key"), F.col("first_at"), F.col("n_refs")),
+            refs(callers, F.lit("callers"), none, "symbols", F.col("k"), none, F.col("n")),
+            refs(held, F.col("t"), none, "extracted_anchors", F.col("doc_page_id"), none, F.col("n")),
+            refs(pages, F.lit("extracted_anchors"), F.col("doc_page_id"), "doc_pages", F.col("doc_page_id"), none, F.col("n")),
+            refs(own, F.lit("symbols"), F.col("k"), "files", F.col("file_id"), none, one),
+            refs(own, F.lit("symbols"), F.col("k"), "symbols", holder, none, one),
         ],
     )
-    found = orphan_cascade(records, references)
-    return found.groupBy(F.col("table").alias("ref_table"), F.col("parent").alias("parent_table"), F.col("period").alias("ref_month"), "kind").agg(
-        F.count(F.lit(1)).alias("n_keys"), F.max("depth").alias("max_depth")
+
+
+def workspace_orphans(files: DataFrame, symbols: DataFrame, shared: DataFrame, calls: DataFrame, pages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every orphaned reference of the workspace, direct or inherited, as orphan_cascade gives them: what the queries of this problem read."""
+    records = cut(workspace_records(files, symbols, shared, pages, anchors))
+    return orphan_cascade(records, workspace_references(records, calls, anchors))
+
+
+def direct_symbol_orphans(found: DataFrame) -> DataFrame:
+    """ref_table, ref_month, symbol_key, reason, n_refs of the cascade's level 0: symbol keys held by calls and anchors that no record answers."""
+    mine = found.where((F.col("kind") == "direct") & (F.col("parent") == "symbols") & F.col("table").isin("calls", "page_anchors", "section_anchors"))
+    return mine.select(F.col("table").alias("ref_table"), F.col("period").alias("ref_month"), F.col("parent_key").alias("symbol_key"), "reason", "n_refs")
+
+
+def orphan_report(found: DataFrame) -> DataFrame:
+    """Per referring table, parent table, month, kind and reason: n_keys (distinct orphaned references), n_refs, n_above (keys whose record is
+    an orphan itself) and the deepest level."""
+    return found.groupBy(F.col("table").alias("ref_table"), F.col("parent").alias("parent_table"), F.col("period").alias("ref_month"), "kind", "reason").agg(
+        F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").alias("n_refs"), F.count("above").alias("n_above"), F.max(F.coalesce("above", "level")).alias("max_level")
     )

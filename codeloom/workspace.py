@@ -81,8 +81,8 @@ class Workspace:
         return snapshots.snapshot_changes(self.table("symbol_snapshots"))
 
     def orphans(self) -> DataFrame:
-        refs = orphans.symbol_references(self.table("calls"), self.table("extracted_anchors"))
-        return orphans.direct_orphans(refs, orphans.known_keys(self.table("symbols"), self.table("shared_symbols")))
+        """Orphaned references, direct and inherited."""
+        return orphans.workspace_orphans(*(self.table(n) for n in ("files", "symbols", "shared_symbols", "calls", "doc_pages", "extracted_anchors")))
 
     def communities(self) -> DataFrame:
         return graph.communities(self.edges.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")))

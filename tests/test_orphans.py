@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from codeloom.operators.orphans import direct_orphans, known_keys, orphan_cascade, symbol_references, workspace_cascade
+from codeloom.operators.orphans import direct_symbol_orphans, orphan_cascade, orphan_report, symbol_references, workspace_orphans
 
 CALLS = "file_id long, caller_key string, callee_name string, resolved_callee_key string, line int, confidence string, recorded_at timestamp, symbol_key string"
 ANCHORS = "doc_page_id long, wiki_path string, owner string, page_anchors array<string>, section_anchors array<struct<section_slug:string,heading_text:string,symbol_keys:array<string>,anchor_marker_offset:int,in_manual_block:boolean>>, recorded_at timestamp"
@@ -12,8 +12,15 @@ def day(m, d=1):
 
 
 def found(spark, calls, anchors, symbols):
-    refs = symbol_references(spark.createDataFrame(calls, CALLS), spark.createDataFrame(anchors, ANCHORS))
-    return {tuple(r)[:4] for r in direct_orphans(refs, known_keys(spark.createDataFrame(symbols, SYMBOLS))).collect()}
+    got = cascade(spark, [(1, "a", "active")], symbols, [(1, "w")], calls, anchors)
+    return {tuple(r)[:4] for r in direct_symbol_orphans(got).collect()}
+
+
+def cascade(spark, files, symbols, pages, calls, anchors):
+    return workspace_orphans(
+        spark.createDataFrame(files, "id long, path string, status string"), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame([], SYMBOLS),
+        spark.createDataFrame(calls, CALLS), spark.createDataFrame(pages, "id long, wiki_path string"), spark.createDataFrame(anchors, ANCHORS),
+    )
 
 
 def call(key, at, caller="c#c"):
@@ -47,21 +54,43 @@ def test_empty_tables(spark):
     assert found(spark, [], [], []) == set()
 
 
+RECORDS = "table string, key string, is_active boolean, active_at timestamp"
+REFERENCES = "table string, key string, parent string, parent_key string, period string, first_at timestamp, n_refs long"
+
+
+def ref(key, parent_key, table="t", first=None):
+    return (table, key, "t", parent_key, "p", first, 1)
+
+
 def test_cascade_reaches_the_fixpoint_and_ends_on_cycles(spark):
-    records = spark.createDataFrame([("t", k) for k in "bcdexy"], "table string, key string")
-    refs = [("t", "b", "t", "missing", "p"), ("t", "c", "t", "b", "p"), ("t", "d", "t", "c", "p"), ("t", "d", "t", "e", "p"), ("t", "x", "t", "y", "p"), ("t", "y", "t", "x", "p"), ("t", "b", "t", "d", "p"), ("t", "e", "t", None, "p")]
-    df = spark.createDataFrame(refs, "table string, key string, parent string, parent_key string, period string")
-    got = {(r["key"], r["parent_key"], r["kind"], r["depth"]) for r in orphan_cascade(records, df).collect()}
-    assert got == {("b", "missing", "direct", 0), ("c", "b", "inherited", 1), ("d", "c", "inherited", 2), ("b", "d", "inherited", 3)}
+    records = spark.createDataFrame([("t", k, k != "z", day(5) if k == "y" else None) for k in "bcdexyz"], RECORDS)
+    refs = [ref("b", "missing"), ref("c", "b"), ref("d", "c"), ref("d", "e"), ref("x", "y", first=day(1)), ref("y", "x"), ref("b", "d"), ref("e", None), ref("e", "z"), ref(None, "d", "leaf"), ref(None, "y", "leaf", day(1)), ref(None, "y", "leaf", day(9))]
+    df = spark.createDataFrame(refs, REFERENCES)
+    got = {(r["table"], r["key"], r["parent_key"], r["kind"], r["reason"], r["level"]) for r in orphan_cascade(records, df).collect()}
+    assert got == {
+        ("t", "b", "missing", "direct", "missing", 0), ("t", "e", "z", "direct", "deleted", 0), ("t", "x", "y", "direct", "late", 0), ("leaf", None, "y", "direct", "late", 0),
+        ("t", "c", "b", "inherited", "orphaned", 1), ("t", "d", "c", "inherited", "orphaned", 2), ("t", "d", "e", "inherited", "orphaned", 1), ("t", "b", "d", "inherited", "orphaned", 2), ("leaf", None, "d", "inherited", "orphaned", 2),
+    }
     assert {r["kind"] for r in orphan_cascade(records, df, depth=0).collect()} == {"direct"}
+    assert {r["level"] for r in orphan_cascade(records, df, depth=1).collect()} == {0, 1}
+    assert orphan_cascade(records.limit(0), df.limit(0)).collect() == []
 
 
 def test_workspace_cascade(spark):
-    files = spark.createDataFrame([(1, "a", "active"), (2, "b", "deleted")], "id long, path string, status string")
-    symbols = spark.createDataFrame([(1, 1, "a#x", "active", day(1), None), (2, 2, "b#y", "active", day(1), None)], SYMBOLS)
-    shared = spark.createDataFrame([], SYMBOLS)
-    calls = spark.createDataFrame([call("b#y", day(2), "a#x"), call("c#z", day(2), "a#x")], CALLS)
-    pages = spark.createDataFrame([(1, "w")], "id long, wiki_path string")
-    anchors = spark.createDataFrame([(9, "w", None, ["a#x"], None, day(2))], ANCHORS)
-    got = {tuple(r) for r in workspace_cascade(files, symbols, shared, calls, pages, anchors).collect()}
-    assert got == {("symbols", "files", "2026-01", "direct", 1, 0), ("calls", "symbols", "2026-02", "direct", 1, 0), ("calls", "symbols", "2026-02", "inherited", 1, 1), ("extracted_anchors", "doc_pages", "2026-02", "direct", 1, 0)}
+    """A deleted file's symbol and a deleted class's methods pass their state on to what refers to them; so does a missing page."""
+    files = [(1, "a", "active"), (2, "b", "deleted")]
+    symbols = [
+        (1, 1, "a#x", "active", day(1), None), (2, 2, "b#y", "active", day(1), None), (3, 1, "a#C", "deleted", day(1), None), (4, 1, "a#C.m", "active", day(1), None), (5, 1, "a#C.m.n", "active", day(1), None), (6, None, "s#s", "active", day(1), None),
+    ]
+    calls = [call("b#y", day(2), "a#x"), call("c#z", day(2), "a#x"), call("a#C.m.n", day(2), "a#x"), call("a#x", day(2), "a#C.m"), call("s#s", day(2), None)]
+    anchors = [(1, "w", None, ["a#x"], None, day(2)), (9, "v", None, ["a#x", None, " "], [("s", "h", ["a#x", ""], 1, False), None], day(3)), (None, "u", None, ["a#x"], None, day(3))]
+    found = cascade(spark, files, symbols, [(1, "w")], calls, anchors)
+    got = {(r["table"], r["key"], r["parent_key"], r["period"], r["n_refs"], r["kind"], r["reason"], r["level"]) for r in found.collect()}
+    assert got == {
+        ("symbols", "b#y", "2", "2026-01", 1, "direct", "deleted", 0), ("symbols", "a#C.m", "a#C", "2026-01", 1, "direct", "deleted", 0), ("symbols", "a#C.m.n", "a#C.m", "2026-01", 1, "inherited", "orphaned", 1),
+        ("calls", None, "b#y", "2026-02", 1, "inherited", "orphaned", 1), ("calls", None, "c#z", "2026-02", 1, "direct", "missing", 0), ("calls", None, "a#C.m.n", "2026-02", 1, "inherited", "orphaned", 2),
+        ("callers", None, "a#C.m", "2026-02", 1, "inherited", "orphaned", 1), ("extracted_anchors", "9", "9", "2026-03", 1, "direct", "missing", 0),
+        ("page_anchors", None, "9", "2026-03", 1, "inherited", "orphaned", 1), ("section_anchors", None, "9", "2026-03", 1, "inherited", "orphaned", 1),
+    }
+    report = {tuple(r) for r in orphan_report(found).collect()}
+    assert ("calls", "symbols", "2026-02", "inherited", "orphaned", 2, 2, 2, 2) in report and len(report) == 9
