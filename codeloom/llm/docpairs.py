@@ -2,151 +2,134 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_word
 from codeloom.llm.arrow import struct_lists
-from codeloom.llm.docpairs_text import documentation, language, lines_of, worthwhile
+from codeloom.llm.docpairs_text import FILLER, LEAST, PLACEHOLDERS, documentation, language, lines_of, worthwhile
+from codeloom.llm.signatures import has_body, header, module_of, normal_signature
 
 KINDS = ("function", "method")
-FOUND = "symbol_id long, file_id long, key string, name string, kind string, lang string, signature string, norm_signature string, doc string, doc_line int, code string, has_body boolean, worth boolean"
-
-
-def normal_signature(text: str | None) -> str:
-    """The parameter list of a signature without names, defaults, blanks and modifiers: what tells overloads apart."""
-    if not text:
-        return ""
-    i = text.find("(")
-    if i < 0:
-        return ""
-    depth, parts, part = 0, [], ""
-    for c in text[i:]:
-        if c in "([{<":
-            depth += 1
-            if depth == 1:
-                continue
-        elif c in ")]}>":
-            depth -= 1
-            if depth == 0:
-                break
-        if c == "," and depth == 1:
-            parts.append(part)
-            part = ""
-        else:
-            part += c
-    if part.strip():
-        parts.append(part)
-    kinds = []
-    for p in parts:
-        p = re.split(r"(?<![=!<>])=(?!=)", p)[0].strip()
-        if p in ("self", "cls", "&self", "&mut self", "mut self"):
-            continue
-        if ":" in p:
-            kinds.append(re.sub(r"\s+", "", p.split(":", 1)[1]))
-        else:
-            words = re.sub(r"\b(?:final|const|mut|readonly)\b|@\w+", "", p).split()
-            kinds.append("".join(words[:-1]) if len(words) > 1 and "*" not in words[0] else "*")
-    return ",".join(kinds)
-
-
-def _header(lines: list[str], start: int, end: int) -> str:
-    """The declaration as the file has it: from the first line that is no decorator to the opening of the body."""
-    got = []
-    for line in lines[start - 1 : min(end, start + 40)]:
-        s = line.strip()
-        if not got and (not s or s.startswith(("@", "#["))):
-            continue
-        got.append(s)
-        if s.endswith(("{", ":", ";")) or "{" in s or s.endswith("=>"):
-            break
-    return re.sub(r"\s+", " ", " ".join(got))[:2000]
-
-
+TABLE = "symbol_id long, file_id long, key string, lang string, module string, name string, signature string, norm_signature string, n_parameters int, typed boolean, has_body boolean, doc string, doc_line int, worth boolean, code string"
 SCHEMA = pa.schema(
     [
-        ("symbol_id", pa.int64()), ("file_id", pa.int64()), ("key", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("lang", pa.string()), ("signature", pa.string()),
-        ("norm_signature", pa.string()), ("doc", pa.string()), ("doc_line", pa.int32()), ("code", pa.string()), ("has_body", pa.bool_()), ("worth", pa.bool_()),
+        ("symbol_id", pa.int64()), ("file_id", pa.int64()), ("key", pa.string()), ("lang", pa.string()), ("module", pa.string()), ("name", pa.string()), ("signature", pa.string()), ("norm_signature", pa.string()),
+        ("n_parameters", pa.int32()), ("typed", pa.bool_()), ("has_body", pa.bool_()), ("doc", pa.string()), ("doc_line", pa.int32()), ("worth", pa.bool_()), ("code", pa.string()),
     ]
 )
 
 
-def _extractor(detail: str):
-    def rows_of(file_id, lines, family, symbols):
-        for sid, key, name, kind, given, a, z in symbols:
+def _extractor(with_text: bool, least: int, placeholders: set[str], filler: set[str]):
+    def rows_of(file_id, path, lines, family, symbols):
+        module = module_of(path, family)
+        for sid, key, name, given, a, z in symbols:
             if a is None or z is None or not 1 <= a <= len(lines) or z < a:
                 continue
+            head = header(lines, a, z, family)
+            body = has_body(head, path or "", family)
+            norm = normal_signature(head, name, family)
+            if norm is None:  # the lines hold no whole declaration, so the table's signature is asked
+                norm = normal_signature(given, name, family)
             doc, at = documentation(lines, a, z, family)
-            worth = worthwhile(doc, name)
-            if detail == "found":
-                if worth:
-                    yield sid, file_id, None, None, None, family, None, None, None, at, None, None, True
-                continue
-            header = _header(lines, a, z)
-            signature = given if given and given.strip() and ")" in given else header
-            code = "\n".join(lines[a - 1 : z]) if detail == "code" else None
-            body = (z > a or "{" in lines[a - 1] or family == "python") and not header.endswith(";")
-            yield sid, file_id, key, name, kind, family, signature, normal_signature(header or signature), doc, at, code, body, worth
+            worth = worthwhile(doc, name, least, placeholders, filler)
+            kinds = norm.split(",") if norm else []
+            signature, code = None, None
+            if with_text:
+                signature = given if given and given.strip() and ")" in given else head
+                code = "\n".join(lines[a - 1 : z])
+            elif body or not family:
+                doc = None  # a definition lends its documentation to nobody
+            yield sid, file_id, key if with_text else None, family, module, name, signature, norm, len(kinds), any(k.strip("*.") for k in kinds), body, doc, at, worth, code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                symbols = struct_lists(b.column("symbols"), "id", "key", "name", "kind", "signature", "start_line", "end_line")
+                symbols = struct_lists(b.column("symbols"), "id", "key", "name", "signature", "start_line", "end_line")
                 rows = []
                 for file_id, path, lang, content, own in zip(*(b.column(c).to_pylist() for c in ("file_id", "path", "lang", "content")), symbols):
-                    rows.extend(rows_of(file_id, lines_of(content), language(path, lang), own))
+                    rows.extend(rows_of(file_id, path, lines_of(content), language(path, lang), own))
                 columns = list(zip(*rows)) if rows else [[] for _ in SCHEMA]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
     return run
 
 
-def symbol_table(files: DataFrame, contents: DataFrame, symbols: DataFrame, detail: str = "code") -> DataFrame:
-    """One row per active function or method with what its file says of it: qualified key and name, language, signature
-    (the file's own where the column is null or cut short), normalised signature, its own documentation, whether that is
-    worth keeping, and its code. detail: `code`, `table` (no code), or `found` (only symbol_id of rows whose documentation is worth keeping).
+def symbol_table(files: DataFrame, contents: DataFrame, symbols: DataFrame, with_text: bool = True, least: int = LEAST, placeholders: set[str] = PLACEHOLDERS, filler: set[str] = FILLER) -> DataFrame:
+    """The qualified table of symbols across files: one row per active function or method with what its file says of it.
+
+    module and name qualify it: module is the file without its ending (the directory for Go and Java, whose packages are
+    directories), name that of the table (`Class.method`). norm_signature holds the types of its parameters, n_parameters their
+    number, typed whether any has a type; has_body tells a definition from a declaration. doc is its own documentation, worth
+    whether that says something, see docpairs_text.worthwhile for least, placeholders and filler. key, signature (the file's own where the
+    column is null or cut short) and code are null without with_text, and so is the doc of definitions.
 
     Symbols without usable lines, or of files without content, have no row. The symbols of a file are brought to its content,
     so that each text is read and split once.
     """
     live = symbols.where((normal_word(F.col("status")) == "active") & normal_word(F.col("kind")).isin(*KINDS) & F.col("file_id").isNotNull())
-    per_file = live.groupBy("file_id").agg(F.collect_list(F.struct("id", "key", "name", "kind", "signature", "start_line", "end_line")).alias("symbols"))
+    text = F.col("key") if with_text else F.lit(None).cast("string")
+    per_file = live.groupBy("file_id").agg(F.collect_list(F.struct("id", text.alias("key"), "name", "signature", "start_line", "end_line")).alias("symbols"))
     named = files.select(F.col("id").alias("file_id"), "path", "lang")
     texts = contents.select("file_id", "content").where("content is not null")
-    return texts.join(per_file, "file_id").join(named, "file_id", "left").select("file_id", "path", "lang", "content", "symbols").mapInArrow(_extractor(detail), FOUND)
+    return texts.join(per_file, "file_id").join(named, "file_id", "left").select("file_id", "path", "lang", "content", "symbols").mapInArrow(_extractor(with_text, least, set(placeholders), set(filler)), TABLE)
 
 
-def documented_symbols(files: DataFrame, contents: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol_id of each active function or method that has documentation of its own that is worth keeping."""
-    lean = symbols.withColumns({"signature": F.lit(None).cast("string"), "key": F.lit(None).cast("string")})
-    return symbol_table(files, contents, lean, "found").select("symbol_id")
+def _place(*more: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a qualified name and what is added to it, so that no strings are shuffled."""
+    family = F.when(F.col("lang").isin("typescript", "javascript"), "script").otherwise(F.coalesce("lang", F.lit("")))
+    parts = [family, F.coalesce("module", F.lit("")), F.coalesce("name", F.lit("")), *more]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2")]
 
 
-def doc_pairs(files: DataFrame, contents: DataFrame, symbols: DataFrame, linked: bool = False, with_code: bool = True) -> DataFrame:
+def resolved(table: DataFrame) -> DataFrame:
+    """symbol_id, lang, doc_source, declared_doc of every row of a symbol table, before any filtering.
+
+    Documented declarations - symbols without a body, or in a file that only declares - are joined with the definitions of
+    the same language, module, qualified name and overload. An overload is told by its normalised signature; a definition whose
+    parameters have no types takes the declaration with as many parameters, if all those have one signature. Of several declarations of one
+    overload one that says something goes first, then the one of the smallest id. doc_source is `own` where the symbol's own documentation says something,
+    else `declaration` where the declared one does, else null. Declarations are reduced to one row per overload first, so that each
+    definition meets one row, and only hashes are shuffled besides declared documentation.
+    """
+    exact, loose = F.concat(F.lit("="), F.coalesce("norm_signature", F.lit("?"))), F.concat(F.lit("#"), F.col("n_parameters").cast("string"))
+    declared = table.where("doc is not null and not has_body and norm_signature is not null")
+    best = F.min(F.struct((~F.col("worth")).alias("empty"), "symbol_id", "doc")).alias("best")
+    offers = declared.select("*", F.explode(F.array(exact, loose)).alias("overload"))
+    offers = offers.select(*_place(F.col("overload")), "norm_signature", "worth", "symbol_id", "doc").groupBy("k1", "k2").agg(F.min("norm_signature").alias("a"), F.max("norm_signature").alias("z"), best)
+    offers = offers.where("a = z").select("k1", "k2", "best")  # one signature among as many parameters
+    wanted = F.when(F.col("typed") | ~F.col("has_body"), exact).otherwise(loose)
+    asked = table.select("symbol_id", "lang", *_place(wanted), "has_body", "worth")
+    met = asked.join(offers, ["k1", "k2"], "left")
+    lent = F.col("has_body") & F.col("best").isNotNull() & ~F.col("best.empty")
+    return met.select("symbol_id", "lang", F.when(F.col("worth"), "own").when(lent, "declaration").alias("doc_source"), F.when(~F.col("worth") & lent, F.col("best.doc")).alias("declared_doc"))
+
+
+def documented_symbols(files: DataFrame, contents: DataFrame, symbols: DataFrame, own: bool = True) -> DataFrame:
+    """symbol_id of each active function or method whose resolved documentation says something; own: only its own, not a declaration's."""
+    found = resolved(symbol_table(files, contents, symbols, with_text=False))
+    return found.where("doc_source = 'own'" if own else "doc_source is not null").select("symbol_id")
+
+
+def doc_pairs(files: DataFrame, contents: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol_id, key, lang, signature, code, doc, doc_source of functions and methods with documentation worth keeping.
 
-    doc_source is `own` where the documentation stands at the function itself. With linked, a definition without any gets the
-    documentation of a declaration in another place - a symbol without a body, or in a file that only declares - that has the
-    same language, qualified name and normalised signature, if exactly one text of documentation answers; doc_source is then
-    `declaration`. Declarations and definitions are joined after reduction to their names, so no group of equal names meets
-    in one task. Linking reads the texts again, without code, and those of linked definitions. with_code = False leaves code null.
+    doc_source is `own` where the documentation stands at the function itself, `declaration` where it stands at its separate
+    declaration, see resolved. Own pairs come straight from the texts; the table without texts is resolved beside it, and only the
+    code of definitions that take a declaration's documentation is brought to it. A null name or path counts as an empty one.
     """
     columns = ["symbol_id", "key", "lang", "signature", "code"]
-    table = symbol_table(files, contents, symbols, "code" if with_code else "table")
-    if not linked:
-        return table.where("worth").select(*columns, "doc", F.lit("own").alias("doc_source"))
-    lean = symbol_table(files, contents, symbols, "table").where("worth or doc is null").persist(StorageLevel.MEMORY_AND_DISK)
-    table = table if with_code else lean
-    at = ["lang", "name", "norm_signature"]
-    declared = lean.where("worth and not has_body").groupBy(*at).agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("declared_doc")).where("n = 1")
-    taken = lean.where("doc is null and has_body").select("symbol_id", *at).join(declared.drop("n"), at).select("symbol_id", "declared_doc")
-    own = table.where("worth").select(*columns, "doc", F.lit("own").alias("doc_source"))
-    # the code of linked definitions only
-    theirs = symbol_table(files, contents, symbols.join(taken.select(F.col("symbol_id").alias("id")), "id", "left_semi"), "code" if with_code else "table")
-    return own.unionByName(theirs.join(taken, "symbol_id").select(*columns, F.col("declared_doc").alias("doc"), F.lit("declaration").alias("doc_source")))
+    own = symbol_table(files, contents, symbols).where("worth").select(*columns, "doc", F.lit("own").alias("doc_source"))
+    lent = resolved(symbol_table(files, contents, symbols, with_text=False)).where("doc_source = 'declaration'").select("symbol_id", "declared_doc")
+    theirs = symbol_table(files, contents, symbols.join(lent.select(F.col("symbol_id").alias("id")), "id", "left_semi"))
+    return own.unionByName(theirs.join(lent, "symbol_id").select(*columns, F.col("declared_doc").alias("doc"), F.lit("declaration").alias("doc_source")))
+
+
+def linked_counts(files: DataFrame, contents: DataFrame, symbols: DataFrame) -> DataFrame:
+    """lang, doc_source, n_pairs: how many documented functions have their own documentation and how many a declaration's."""
+    found = resolved(symbol_table(files, contents, symbols, with_text=False))
+    return found.where("doc_source is not null").groupBy("lang", "doc_source").agg(F.count(F.lit(1)).alias("n_pairs"))

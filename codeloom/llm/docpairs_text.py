@@ -54,9 +54,7 @@ _STRING = re.compile(r"([A-Za-z]{0,2})(\"\"\"|'''|\"|')")
 
 def python_doc(lines: list[str], start: int, end: int) -> tuple[str | None, int]:
     """Docstring of the def whose lines are start..end (from 1), and the line after the header; None if there is none."""
-    text = "\n".join(lines[start - 1 : min(end, start + 39)])
-    if end >= start + 40 and not _whole(text):
-        text = "\n".join(lines[start - 1 : end])  # a header or a docstring of more lines
+    text = "\n".join(lines[start - 1 : end])
     m = re.search(r"^[ \t]*(?:async[ \t]+)?(?:def|class)\b", text, re.M)
     if not m:
         return None, start
@@ -115,11 +113,6 @@ def python_doc(lines: list[str], start: int, end: int) -> tuple[str | None, int]
     return "".join(parts), start + text.count("\n", 0, i)
 
 
-def _whole(text: str) -> bool:
-    """Whether no bracket, string or comment can be open at the text's end, as far as quick counts tell."""
-    return text.count('"""') % 2 == 0 and text.count("'''") % 2 == 0 and text.count("(") <= text.count(")") and text.count("[") <= text.count("]") and bool(re.search(r"\n[ \t]+[^\s#\"'rRuU]", text))
-
-
 def _close(text: str, i: int, q: str, raw: bool = False) -> int:
     """Index of the closing quote from i on, -1 if there is none."""
     while True:
@@ -255,24 +248,25 @@ def prose(doc: str) -> str:
     return " ".join(" ".join(kept).split())
 
 
-def worthwhile(doc: str | None, name: str | None) -> bool:
-    """Whether a documentation text says something: long enough, no placeholder, more than the name, more than bare tags."""
+def worthwhile(doc: str | None, name: str | None, least: int = LEAST, placeholders: set[str] = PLACEHOLDERS, filler: set[str] = FILLER) -> bool:
+    """Whether a documentation text says something: `least` characters without mark-up, no placeholder, more than the name with
+    filler, more than bare tags. placeholders: whole texts in lower case without punctuation; filler: words in lower case."""
     if doc is None:
         return False
     text = prose(doc)
-    if len(text) < LEAST:
+    if len(text) < least:
         return False
     said = words(text)
     if not said:
         return False
-    if " ".join(said) in PLACEHOLDERS:
+    if " ".join(said) in placeholders:
         return False
     bare = re.sub(r"(?i)^(?:todo|fixme|xxx|tbd|hack)\b[\s:(\w)-]*?[:\s-]\s*", "", text)
-    if re.match(r"(?i)(?:todo|fixme|xxx|tbd)\b", text) and (len(bare) < LEAST or " ".join(words(bare)) in PLACEHOLDERS or re.match(r"(?i)(?:document|describe|write|add|explain|fill)\b", bare)):
+    if re.match(r"(?i)(?:todo|fixme|xxx|tbd)\b", text) and (len(bare) < least or " ".join(words(bare)) in placeholders or re.match(r"(?i)(?:document|describe|write|add|explain|fill)\b", bare)):
         return False
     own = set(words((name or "").replace("#", "."))) | {"".join(words((name or "").rpartition(".")[2])), "".join(words(name or ""))}
     last = set(words((name or "").rpartition(".")[2]))
-    rest = [w for w in said if w not in own and w not in FILLER]
+    rest = [w for w in said if w not in own and w not in filler]
     stems = {x.rstrip("s") for x in last} | {x.removesuffix("e") for x in last}
     rest = [w for w in rest if w.rstrip("s") not in stems and w.removesuffix("s").removesuffix("e") not in stems]
     return bool(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm.docpairs import doc_pairs, documented_symbols
+from codeloom.llm.docpairs import doc_pairs, documented_symbols, linked_counts
 from codeloom.llm.encoding import encode_corpus, token_counts
 from codeloom.llm.handwritten import unwritten_files
 from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
@@ -21,7 +21,7 @@ def p1_pairs(spark, d):
 
 
 def p1_linked(spark, d):
-    return doc_pairs(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")), linked=True, with_code=False).groupBy("lang", "doc_source").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return linked_counts(*(table(spark, d, n) for n in ("files", "file_contents", "symbols")))
 
 
 def p2_found(spark, d):

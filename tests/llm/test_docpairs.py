@@ -1,7 +1,8 @@
 import pytest
 
-from codeloom.llm.docpairs import doc_pairs, documented_symbols, normal_signature, symbol_table
+from codeloom.llm.docpairs import doc_pairs, documented_symbols, linked_counts, symbol_table
 from codeloom.llm.docpairs_text import documentation, lines_of, prose, worthwhile
+from codeloom.llm.signatures import has_body, header, module_of, normal_signature
 
 LONG = "Collects the open records of a page."
 
@@ -76,11 +77,38 @@ def test_worthwhile(text, name, worth):
     assert worthwhile(text, name) == worth
 
 
-def test_prose_and_signatures():
+def test_prose():
     assert prose("A {@link Foo} of `x`.\n@return the answer") == "A Foo of x. the answer"
-    assert normal_signature("public int f(final Map<String, List<A>> m, int n)") == "Map<String,List<A>>,int"
-    assert normal_signature("def f(self, a: str = '', b: int = 3) -> int:") == "str,int"
-    assert normal_signature(None) == normal_signature("no brackets") == ""
+    assert worthwhile("Short one.", "f", least=5) and not worthwhile("Nothing to say about this.", "f", placeholders={"nothing to say about this"})
+    assert not worthwhile("Loads records from the long queue.", "load_records", filler={"from", "the", "long", "queue"})
+
+
+@pytest.mark.parametrize(
+    "text,name,lang,kinds",
+    [
+        ("func f(a, b int) {", "f", "go", "int,int"), ("func f(a int, b int) (x, y error) {", "f", "go", "int,int"), ("func (s *Server) Get(id string) error {", "Server.Get", "go", "string"), ("func (s *Server) Put(n int)", "Server.Put", "go", "int"),
+        ("func f(int, string)", "f", "go", "int,string"), ("func f(ch chan int, g func(a int) string, xs ...string) {", "f", "go", "chan int,func(a int)string,...string"), ("func F[T any](m map[K]T) T {", "F", "go", "map[K]T"),
+        ("public int f(final Map<String, List<A>> m, int n) throws X {", "C.f", "java", "Map<String,List<A>>,int"), ("int f(int a[], String... b) {", "C.f", "java", "int[],String..."), ("@A(v = \")\") public <T extends Comparable<T>> void f(@NotNull T t, int[] x);", "C.f", "java", "T,int[]"),
+        ("@Override\n@A(\n x = 1\n)\npublic void f(\n int a, // one (\n int b\n) {", "C.f", "java", "int,int"), ("def f(self, a: str = '(', b: int = 3, *args, k: 'Foo' = (1, 2), **kw) -> int:", "C.f", "python", "str,int,**,Foo,***"),
+        ("@deco(\n  '('\n)\nasync def f(\n  a, # x\n  b=[1, 2],\n):\n    return", "f", "python", "*,*"), ("def f(self, a):", "f", "python", "*,*"), ("fn f<T: Into<(A, B)>>(&self, a: i64, mut b: Vec<(u8, i64)>) -> R<()> {", "X.f", "rust", "i64,Vec<(u8,i64)>"),
+        ("export function f<T extends (a: X) => Y>(a: number, b?: string[], ...r: any[]): void;", "f", "typescript", "number,string[],...any[]"), ("export const f = async (a: number, {b}: {b: string}) => {", "f", "typescript", "number,{b:string}"), ("const f = x => x + 1", "f", "javascript", "*"),
+        ("f(a, b = {x: ')'}, [c, d]) {", "C.f", "javascript", "*,*,*"), ("declare function f(cb: (e: Error) => void): { a: number };", "f", "typescript", "(e:Error)=>void"), ("", "f", "go", None), ("x", "x", "java", None), ("f()", None, None, ""),
+    ],
+)
+def test_normal_signatures(text, name, lang, kinds):
+    lines = lines_of(text)
+    assert normal_signature(header(lines, 1, len(lines), lang), name, lang) == kinds
+
+
+def test_headers_have_no_length_limit():
+    lines = ["def f("] + [f"    parameter_{i}: int{i}," for i in range(500)] + ["):", "    return 1"]
+    assert normal_signature(header(lines, 1, len(lines), "python"), "f", "python") == ",".join(f"int{i}" for i in range(500))
+
+
+def test_bodies_and_modules():
+    assert has_body("void f() {", "a.java", "java") and not has_body("void f();", "a.java", "java") and not has_body("func f(a int)", "a.go", "go") and not has_body("def f(a):", "a.pyi", "python")
+    got = [module_of(p, x) for p, x in (("a/b.d.ts", "typescript"), ("a/b.js", "javascript"), ("a/b.pyi", "python"), ("a-stubs/b/__init__.py", "python"), ("a/b.go", "go"), ("a/mod.rs", "rust"), (None, None))]
+    assert got == ["a/b", "a/b", "a/b", "a/b", "a", "a", ""]
 
 
 def tables(spark):
@@ -102,17 +130,59 @@ def test_tables(spark):
     files, contents, symbols = tables(spark)
     assert sorted(r[0] for r in documented_symbols(files, contents, symbols).collect()) == [10, 12]
     pairs = {r["symbol_id"]: r for r in doc_pairs(files, contents, symbols).collect()}
-    assert set(pairs) == {10, 12} and pairs[12]["signature"] == "def p(x):" and pairs[12]["code"].startswith("def p") and pairs[12]["lang"] == "python"
+    assert set(pairs) == {10, 12} and {r["doc_source"] for r in pairs.values()} == {"own"} and pairs[12]["signature"] == "def p(x):" and pairs[12]["code"].startswith("def p") and pairs[12]["lang"] == "python"
     assert {r["symbol_id"] for r in symbol_table(files, contents, symbols).collect()} == {10, 11, 12}
     assert documented_symbols(files, contents.limit(0), symbols).collect() == []
 
 
-def test_definitions_take_a_declarations_documentation(spark):
-    files = spark.createDataFrame([(1, "a.d.ts", None), (2, "b.ts", None)], "id long, path string, lang string")
-    contents = spark.createDataFrame([(1, f"/** {LONG} */\nfunction f(a: number): void;\n/** {LONG} Other. */\nfunction f(a: string): void;\n"), (2, "function f(x: string) {\n  return 1;\n}\nfunction h() {\n}\n")], "file_id long, content string")
-    symbols = spark.createDataFrame(
-        [(1, 1, "a.d.ts#f", "f", "function", None, 2, 2, "active"), (2, 1, "a.d.ts#f2", "f", "function", None, 4, 4, "active"), (3, 2, "b.ts#f", "f", "function", None, 1, 3, "active"), (4, 2, "b.ts#h", "h", "function", None, 4, 5, "active")],
-        "id long, file_id long, key string, name string, kind string, signature string, start_line int, end_line int, status string",
-    )
-    got = {r["symbol_id"]: (r["doc_source"], r["doc"].strip()) for r in doc_pairs(files, contents, symbols, linked=True).collect()}
-    assert got[3] == ("declaration", LONG + " Other.") and set(got) == {1, 2, 3}
+OTHER = "Waits until the queue has room for one more."
+
+
+def linked(spark, sources):
+    """doc_source and doc by key; sources: path -> (text, [(name, first line, last line)])."""
+    files, contents, symbols = [], [], []
+    for f, (path, (text, own)) in enumerate(sources.items(), 1):
+        files.append((f, path, None))
+        contents.append((f, text))
+        symbols += [(100 * f + k, f, f"{path}#{name}", name, "method" if "." in name else "function", None, a, z, "active", "x") for k, (name, a, z) in enumerate(own)]
+    args = [
+        spark.createDataFrame(files, "id long, path string, lang string"), spark.createDataFrame(contents, "file_id long, content string"),
+        spark.createDataFrame(symbols, "id long, file_id long, key string, name string, kind string, signature string, start_line int, end_line int, status string, doc string"),
+    ]
+    ids = {s[0]: s[2] for s in symbols}
+    pairs = doc_pairs(*args).collect()
+    found = {ids[r[0]] for r in documented_symbols(*args).collect()}
+    either = {ids[r[0]] for r in documented_symbols(*args, own=False).collect()}
+    got = {r["key"]: (r["doc_source"], " ".join(prose(r["doc"]).split())) for r in pairs}
+    assert set(got) == either and {k for k, v in got.items() if v[0] == "own"} == found
+    counts = {r["doc_source"]: r["n"] for r in linked_counts(*args).groupBy("doc_source").agg({"n_pairs": "sum"}).withColumnRenamed("sum(n_pairs)", "n").collect()}
+    sources = [r["doc_source"] for r in pairs]
+    assert counts == {x: sources.count(x) for x in sources}
+    return got
+
+
+def test_overloads_in_typescript(spark):
+    declared = f"/** {LONG} */\nfunction f(a: number): void;\n/** {OTHER} */\nfunction f(a: string): void;\n"
+    got = linked(spark, {"p/a.d.ts": (declared, [("f", 2, 2), ("f", 4, 4)]), "p/a.ts": ("function f(x: string) {\n  return 1;\n}\nfunction h() {\n}\n", [("f", 1, 3), ("h", 4, 5)]), "q/a.ts": ("function f(x: string) {\n}\n", [("f", 1, 2)])})
+    assert got == {"p/a.d.ts#f": got["p/a.d.ts#f"], "p/a.ts#f": ("declaration", OTHER)}
+
+
+def test_untyped_definitions_go_by_the_number_of_parameters(spark):
+    stub = f'def f(a: int, b: str) -> int:\n    """{LONG}"""\ndef g(a: int) -> int:\n    """{OTHER}"""\ndef g(a: str) -> int:\n    """{LONG}"""\nclass C:\n    def m(self, x: int) -> None:\n        """{OTHER}"""\n'
+    code = f'def f(a, b=""):\n    """TODO"""\n    return 1\ndef g(a):\n    return 2\nclass C:\n    def m(self, x):\n        return 3\ndef k(a):\n    """{LONG}"""\n    return 4\n'
+    got = linked(spark, {"p/a.pyi": (stub, [("f", 1, 2), ("g", 3, 4), ("g", 5, 6), ("C.m", 8, 9)]), "p/a.py": (code, [("f", 1, 3), ("g", 4, 5), ("C.m", 7, 8), ("k", 9, 11)])})
+    assert {k: v for k, v in got.items() if k.startswith("p/a.py#")} == {"p/a.py#f": ("declaration", LONG), "p/a.py#C.m": ("declaration", OTHER), "p/a.py#k": ("own", LONG)}
+
+
+def test_go_declarations_of_the_package_and_receivers(spark):
+    declared = f"package p\n// {LONG}\nfunc Sum(a, b int) int\n// {OTHER}\nfunc (s *Server) Get(id string) error\n"
+    code = "package p\nfunc Sum(x int, y int) int {\n\treturn 1\n}\nfunc (s *Server) Get(n int) error {\n}\n"
+    got = linked(spark, {"p/decl.go": (declared, [("Sum", 3, 3), ("Server.Get", 5, 5)]), "p/body_amd64.go": (code, [("Sum", 2, 4), ("Server.Get", 5, 6)]), "q/body.go": (code, [("Sum", 2, 4)])})
+    assert {k: v for k, v in got.items() if "decl" not in k} == {"p/body_amd64.go#Sum": ("declaration", LONG)}
+
+
+def test_a_trivial_declaration_lends_nothing_and_own_documentation_goes_first(spark):
+    declared = f"/** TODO */\nfunction f(a: number): void;\n/** {LONG} */\nfunction g(a: number): void;\n"
+    code = f"function f(a: number) {{\n}}\n/** {OTHER} */\nfunction g(a: number) {{\n}}\n"
+    got = linked(spark, {"a.d.ts": (declared, [("f", 2, 2), ("g", 4, 4)]), "a.ts": (code, [("f", 1, 2), ("g", 4, 5)])})
+    assert got == {"a.d.ts#g": ("own", LONG), "a.ts#g": ("own", OTHER)}
