@@ -16,6 +16,9 @@ _CHARACTER = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'")
 #: a string that may stand for a type, as annotations of Python have them
 _NAMED = re.compile(r"(['\"])[\w. |]*(?:\[[\w., |\[\]]*\])?\1")
 _COMMENTS = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
+_PLAIN = re.compile(r"[A-Za-z_$][\w$]*")
+_LETTER = re.compile(r"[\w$]")
+_NESTED = re.compile(r"[(\[{<]")
 #: an arrow function of one parameter without brackets
 _LONE = re.compile(r"=\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*=>$")
 _OPEN, _SHUT = "([{", ")]}"
@@ -129,8 +132,9 @@ def parameters(head: str, name: str | None, lang: str | None) -> list[str] | Non
         at = _after(head, m.end() - 1)  # the receiver is no parameter
         if at < 0:
             return None
-    if last and (m := re.search(rf"(?<![\w$]){re.escape(last)}(?![\w$])", head[at:])):
-        at += m.end()
+    at = _after_name(head, last, at)
+    if head[at : at + 1] == "(" and (end := head.find(")", at)) > 0 and not _NESTED.search(inner := head[at + 1 : end]):
+        return [p for x in inner.split(",") if (p := x.strip())]  # nothing nested in it
     depth = 0
     for i in range(at, len(head)):
         c = head[i]
@@ -142,6 +146,17 @@ def parameters(head: str, name: str | None, lang: str | None) -> list[str] | Non
     return [m[1]] if m and lang in ("typescript", "javascript") else None
 
 
+def _after_name(head: str, name: str, at: int) -> int:
+    """Index after the whole word `name` from `at` on; at if it isn't there."""
+    i = head.find(name, at) if name else -1
+    while i >= 0:
+        end = i + len(name)
+        if not _LETTER.match(head, end) and not (i and _LETTER.match(head, i - 1)):
+            return end
+        i = head.find(name, end)
+    return at
+
+
 def _after(text: str, at: int) -> int:
     """Index after the bracket that closes the one at `at`; -1 if none does."""
     depth = 0
@@ -185,6 +200,8 @@ def normal_signature(head: str | None, name: str | None = None, lang: str | None
     if got is None:
         return None
     out = []
+    if not got:
+        return ""
     if lang == "go":
         named = [re.match(r"([A-Za-z_]\w*)\s+(\S.*)$", p) for p in got]
         named = [m if m and m[1] not in GO_TYPES else None for m in named]
@@ -196,6 +213,9 @@ def normal_signature(head: str | None, name: str | None = None, lang: str | None
             return ",".join(reversed(out))
         return ",".join(_tight(p) for p in got)
     for k, p in enumerate(got):
+        if _PLAIN.fullmatch(p) and lang != "java" and not (k == 0 and p in ("self", "cls")):
+            out.append("*")
+            continue
         p = re.sub(r"^(?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*|#\[[^\]]*\]\s*)+", "", _unassigned(p))
         words = p.split()
         while words and words[0] in MODIFIERS and len(words) > 1:
