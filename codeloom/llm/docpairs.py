@@ -12,6 +12,7 @@ from codeloom.functions.keys import normal_word
 from codeloom.llm.arrow import struct_lists
 from codeloom.llm.docpairs_text import FILLER, LEAST, PLACEHOLDERS, documentation, language, lines_of, worthwhile
 from codeloom.llm.signatures import has_body, header, module_of, normal_signature
+from codeloom.plans.lineage import cut
 
 KINDS = ("function", "method")
 TABLE = "symbol_id long, file_id long, key string, lang string, module string, name string, signature string, norm_signature string, n_parameters int, typed boolean, has_body boolean, doc string, doc_line int, worth boolean, code string"
@@ -79,11 +80,9 @@ def symbol_table(files: DataFrame, contents: DataFrame, symbols: DataFrame, with
     return texts.join(per_file, "file_id").join(named, "file_id", "left").select("file_id", "path", "lang", "content", "symbols").mapInArrow(_extractor(with_text, least, set(placeholders), set(filler)), TABLE)
 
 
-def _place(*more: Column) -> list[Column]:
-    """Two 64-bit hashes that stand for a qualified name and what is added to it, so that no strings are shuffled."""
-    family = F.when(F.col("lang").isin("typescript", "javascript"), "script").otherwise(F.coalesce("lang", F.lit("")))
-    parts = [family, F.coalesce("module", F.lit("")), F.coalesce("name", F.lit("")), *more]
-    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2")]
+def _twice(*parts: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for the parts, so that no strings are shuffled."""
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
 
 
 def resolved(table: DataFrame) -> DataFrame:
@@ -93,17 +92,23 @@ def resolved(table: DataFrame) -> DataFrame:
     the same language, module, qualified name and overload. An overload is told by its normalised signature; a definition whose
     parameters have no types takes the declaration with as many parameters, if all those have one signature. Of several declarations of one
     overload one that says something goes first, then the one of the smallest id. doc_source is `own` where the symbol's own documentation says something,
-    else `declaration` where the declared one does, else null. Declarations are reduced to one row per overload first, so that each
-    definition meets one row, and only hashes are shuffled besides declared documentation.
+    else `declaration` where the declared one does, else null. The table is written once without its strings but declared documentation, as two sides read
+    it; declarations are reduced to one row per overload first, so that each definition meets one row.
     """
-    exact, loose = F.concat(F.lit("="), F.coalesce("norm_signature", F.lit("?"))), F.concat(F.lit("#"), F.col("n_parameters").cast("string"))
-    declared = table.where("doc is not null and not has_body and norm_signature is not null")
+    family = F.when(F.col("lang").isin("typescript", "javascript"), "script").otherwise(F.coalesce("lang", F.lit("")))
+    names = _twice(family, F.coalesce("module", F.lit("")), F.coalesce("name", F.lit("")))
+    lean = table.select("symbol_id", "lang", names[0].alias("n1"), names[1].alias("n2"), F.xxhash64("norm_signature").alias("sig"), F.col("norm_signature").isNotNull().alias("whole"), "n_parameters", "typed", "has_body", "worth", "doc")
+    lean = cut(lean)
+
+    def place(overload: Column) -> list[Column]:
+        return [h.alias(k) for h, k in zip(_twice(F.col("n1"), F.col("n2"), overload), ("k1", "k2"))]
+
+    exact, loose = F.struct(F.lit("=").alias("by"), F.col("sig").alias("x")), F.struct(F.lit("#").alias("by"), F.col("n_parameters").cast("long").alias("x"))
+    offers = lean.where("doc is not null and not has_body and whole").withColumn("overload", F.explode(F.array(exact, loose)))
     best = F.min(F.struct((~F.col("worth")).alias("empty"), "symbol_id", "doc")).alias("best")
-    offers = declared.select("*", F.explode(F.array(exact, loose)).alias("overload"))
-    offers = offers.select(*_place(F.col("overload")), "norm_signature", "worth", "symbol_id", "doc").groupBy("k1", "k2").agg(F.min("norm_signature").alias("a"), F.max("norm_signature").alias("z"), best)
+    offers = offers.select(*place(F.col("overload")), "sig", "worth", "symbol_id", "doc").groupBy("k1", "k2").agg(F.min("sig").alias("a"), F.max("sig").alias("z"), best)
     offers = offers.where("a = z").select("k1", "k2", "best")  # one signature among as many parameters
-    wanted = F.when(F.col("typed") | ~F.col("has_body"), exact).otherwise(loose)
-    asked = table.select("symbol_id", "lang", *_place(wanted), "has_body", "worth")
+    asked = lean.select("symbol_id", "lang", *place(F.when(F.col("typed") | ~F.col("has_body"), exact).otherwise(loose)), "has_body", "worth")
     met = asked.join(offers, ["k1", "k2"], "left")
     lent = F.col("has_body") & F.col("best").isNotNull() & ~F.col("best.empty")
     return met.select("symbol_id", "lang", F.when(F.col("worth"), "own").when(lent, "declaration").alias("doc_source"), F.when(~F.col("worth") & lent, F.col("best.doc")).alias("declared_doc"))
