@@ -5,19 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-#: marks that generators leave in the head of a file (fixed values); each names the file itself as the product
+_FILE = r"(?:(?:this|the)\s+)?(?:source\s+)?(?:file|code|class|module|script)?\s*(?:is|was|has been)?\s*"
+#: clauses by which a head says that a tool made the file (fixed values); each is looked for at the start of a clause, so that a
+#: comment that only speaks of generated files doesn't count
 HEAD_MARKS = [
-    r"\bcode generated by\b", r"\bgenerated (?:from|by|with|using)\b", r"@generated\b", r"<auto-?generated\b", r"\bauto-?generated (?:by|from|file|code)\b",
-    r"\bautomatically generated\b", r"\bthis (?:file|code|class|module) (?:was|is|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|created|written) by\b",
-    r"\bdo not (?:edit|modify)\b.*\boutput of\b", r"\boutput of `", r"\bmachine[- ]generated\b", r"\bedits will be overwritten\b", r"\bchanges (?:are|will be) lost\b",
-    r"\bautomatisch (?:erzeugt|generiert|erstellt)\b", r"\bgerado automaticamente\b", r"\bgenerado autom[áa]ticamente\b", r"\bg[ée]n[ée]r[ée] automatiquement\b",
-    r"\bgenerato automaticamente\b", r"сгенерирован\w* автоматически", r"автоматически (?:сгенерирован|создан)", r"自動生成", r"自动生成", r"αυτόματα",
+    r"@generated\b", r"<auto-?generated\b", _FILE + r"(?:auto(?:matically)?[- ]?|machine[- ])generated\b(?!\s+(?:\w+s|output)\b)", _FILE + r"generated\s+(?:automatically\s+)?(?:by|from|with|using|on|at)\b",
+    r"(?:this\s+)?(?:file|code|class|module|script)\s+(?:is|was|has been)\s+(?:automatically\s+)?(?:produced|emitted|created automatically|written automatically)\s+(?:by|from)\b",
+    r"(?:please\s+)?(?:do not|don't|never)\s+(?:edit|modify|change)(?:\s+(?:this|it|file|by hand|manually|directly|here))*\s*(?:[.;:,!*/]|$)",
+    r"(?:(?:manual|all|any|your|hand)\s+)*(?:edits|changes|modifications)(?:\s+(?:to this file|made here))?\s+(?:are|will be|get)\s+(?:overwritten|lost|discarded)\b",
+    r"(?:diese datei|dieser code)\s+(?:wurde|ist)\s+automatisch\b", r"automatisch (?:erzeugt|generiert|erstellt)\b", r"(?:(?:este|esta)\s+)?(?:arquivo|archivo|c[óo]digo)?\s*(?:foi\s+|fue\s+)?(?:gerado|generado)\s+autom[áa]ticamente\b",
+    r"(?:ce\s+)?(?:fichier|code)?\s*(?:a été\s+)?g[ée]n[ée]r[ée]\s+automatiquement\b", r"(?:questo\s+)?(?:file|codice)?\s*(?:è stato\s+)?generato\s+automaticamente\b", r"(?:этот\s+)?(?:файл|код)?\s*(?:был\s+)?(?:автоматически\s+)?(?:сгенерирован|создан)\w*(?:\s+автоматически)?\b", r"\W*自動生成", r"\W*自动生成", r"αυτόματα\b",
 ]
-#: what shows that a head speaks of other files or of work by hand (fixed values)
-NOT_ITSELF = re.compile(
-    r"(?i)\b(?:detects?|compares?|writes?|reads?|checks?|finds?|skips?|ignores?|removes?|parses?|collects?|tests?)\b[^.]*\bgenerated|written by hand|by hand while|hand-?written|not generated|ends up in"
-)
-_HEAD = re.compile("(?i)" + "|".join(HEAD_MARKS))
+_HEAD = re.compile("(?i)(?:" + "|".join(HEAD_MARKS) + ")")
+_MARKER = re.compile(r"(?:/{2,}!?|/\*+!?|\*+/?|#+!?|--+|;+|<!--|\"{3}|'{3})\s*")
+_CLAUSE = re.compile(r"(?<=[.;:!?])\s+|,\s+|\s+[-–—]+\s+")
 #: names of files that tools write (fixed values)
 MADE_NAME = re.compile(
     r"(?:\.(?:gen|generated|g|pb|pb\.gw|designer|autogen)\.[A-Za-z]+|_(?:pb2|pb2_grpc|generated|gen)\.[A-Za-z]+|(?:_string|_enumer)(?:\.gen)?\.go|Grpc(?:\.gen)?\.java|\.min\.(?:js|css)|[-_]min\.(?:js|css)|\.bundle\.js|\.chunk\.js)$"
@@ -29,7 +30,8 @@ BUILT_DIR = re.compile(r"(?:^|/)(?:dist|build/out|out|target/classes)/")
 _COMMENT_START = {"py": ("#",), "pyi": ("#",)}
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
-_ACCESSOR = re.compile(r"(?m)^\s*return\s+[\w$.]+(?:\.[A-Za-z_]{1,8}\d+|\[\d+\]);?\s*$")
+_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
+_DIGITS = re.compile(r"\d+")
 #: the statement by which a transpiler marks a module (fixed value)
 _BOILERPLATE = re.compile(r"(?m)(?:^|[;{},)])[ \t]*Object\.defineProperty\(\s*exports\s*,\s*[\"']__esModule[\"']")
 _STRICT = re.compile(r"[\"']use strict[\"']")
@@ -82,7 +84,17 @@ def head_lines(text: str, ext: str) -> list[str]:
 
 
 def generated_head(text: str, ext: str) -> bool:
-    return any(_HEAD.search(x) and not NOT_ITSELF.search(x) for x in head_lines(text, ext))
+    """Whether a clause of the head, at its start, says that a tool made the file."""
+    ended = True
+    for line in head_lines(text, ext):
+        while m := _MARKER.match(line):
+            line = line[m.end() :]
+        # a line goes on with the sentence of the line before unless that one ended
+        clauses = _CLAUSE.split(line)
+        if any((k or ended or x[:1].isupper() or x[:1] in "@<") and _HEAD.match(x) for k, x in enumerate(clauses)):
+            return True
+        ended = not line.strip() or line.rstrip()[-1] in ".:;!?>/*"
+    return False
 
 
 def _code(text: str, ext: str) -> str:
@@ -121,12 +133,28 @@ def data_body(code: str) -> bool:
     return len(names) <= 12 + size // 2000 and sum(map(len, names)) < 0.05 * size
 
 
-def accessors_only(code: str) -> bool:
-    """Whether a file is made of numbered accessors that differ in nothing but name and number."""
-    got = len(_ACCESSOR.findall(code))
-    made = len(re.findall(r"(?m)^(?:[A-Za-z].*\b)?[Gg]et_?[A-Za-z]\w*?_?\d+\(", code))
-    lines = sum(bool(x.strip(" \t\r;})]")) for x in code.split("\n"))
-    return got >= 3 and made >= 3 and got + made >= 0.8 * lines
+def repetitive(code: str, share: float = 0.8) -> bool:
+    """Whether a file is made of a few statements repeated with a counter: `share` of its lines, without mere brackets, have the tokens
+    of at least two others but for names and numbers, and a number that rises from one of these lines to the next, nine times of ten."""
+    shapes: dict[str, list[list[int]]] = {}
+    lines = [x for x in code.split("\n") if x.strip(" \t\r;})](")]
+    numbered = [x for x in lines if _DIGITS.search(x)]
+    if len(lines) < 6 or len(numbered) < share * len(lines):
+        return False
+    for line in numbered:
+        shape, numbers = [], []
+        for x in _TOKEN.findall(line):
+            digits = _DIGITS.findall(x) if x[0] not in "\"'" else []
+            numbers += digits
+            shape.append("s" if x[0] in "\"'" else "9" if x[0].isdigit() else ("n" if digits else "w") if x[0].isalpha() or x[0] in "_$" else x)
+        if numbers:
+            shapes.setdefault("".join(shape), []).append([int(x[:18]) for x in numbers])
+    counted = sum(len(v) for v in shapes.values() if len(v) >= 3 and any(sum(b > a for a, b in zip(c, c[1:])) >= 0.9 * (len(c) - 1) for c in zip(*v)))
+    return counted >= share * len(lines)
+
+
+def _last_line(text: str) -> str:
+    return text.rstrip().rpartition("\n")[2]
 
 
 def compiled(text: str) -> bool:
@@ -137,7 +165,7 @@ def compiled(text: str) -> bool:
     code = _TEMPLATE.sub("``", _code(text, "js"))
     if not _BOILERPLATE.search(code):
         return False
-    return bool(_STRICT.search(code)) or bool(re.search(r"//# sourceMappingURL=\S+\s*$", text[-300:]))
+    return bool(_STRICT.search(code)) or bool(re.match(r"//# sourceMappingURL=\S+$", _last_line(text).strip()))
 
 
 def judge(path: str, ext: str, text: str | None) -> str | None:
@@ -150,14 +178,16 @@ def judge(path: str, ext: str, text: str | None) -> str | None:
         return "compiled"
     if minified(code, ext):
         return "minified"
-    if generated_head(text, ext) or accessors_only(code):
+    if generated_head(text, ext):
         return "generated"
     if data_body(code):
         return "data"
+    if repetitive(code):
+        return "generated"
     name = path.rsplit("/", 1)[-1]
     # a telling name or place alone is not enough where the text is prose-like source with its own documentation
     if MADE_NAME.search(name) or MADE_DIR.search(path):
         return "generated"
-    if BUILT_DIR.search(path) and ext in ("js", "mjs", "cjs", "css") and re.search(r"//# sourceMappingURL=", text[-300:]):
+    if BUILT_DIR.search(path) and ext in ("js", "mjs", "cjs", "css") and _last_line(text).lstrip().startswith("//# sourceMappingURL="):
         return "compiled"
     return None
