@@ -5,7 +5,7 @@ from __future__ import annotations
 from codeloom.llm.docpairs import doc_pairs, documented_symbols, linked_counts
 from codeloom.llm.encoding import encode_corpus, token_counts
 from codeloom.llm.handwritten import LEAST_LINE, PROSE, VENDOR_DIRS, unwritten_files
-from codeloom.llm.lookalike import lookalike_groups, lookalike_pairs, same_form
+from codeloom.llm.lookalike import group_members, lookalike_pairs, same_form
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.splitting import oversized_items, split_oversized
 from codeloom.sources.tables import table
@@ -65,11 +65,15 @@ def p8_found(spark, d):
     return lookalike_pairs(table(spark, d, "documents"))
 
 
+def p8_groups(spark, d):
+    return group_members(table(spark, d, "documents"))
+
+
 def p8_forms(spark, d):
     return same_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_linked": p1_linked, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_copies": p5_copies, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_linked": p1_linked, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_copies": p5_copies, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_groups": p8_groups, "p8_forms": p8_forms}
 #: a symbol's own text by line feed, without its last line end
 _P2 = """
 WITH big AS (SELECT file_id, content, string_split(content, chr(10)) AS lines FROM file_contents WHERE octet_length(encode(content)) > 6000),
@@ -87,7 +91,7 @@ _P5 = f"""
 WITH f AS (
   SELECT c.file_id, array_to_string(string_split(path, '/')[1:2], '/') AS repo, string_split(lower(replace(path, '\\', '/')), '/') AS dirs, {_LINES} AS ls
   FROM file_contents c JOIN files f ON f.id = c.file_id
-  WHERE lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\.([^.]*)$', 1)) NOT IN ({_PROSE})),
+  WHERE lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1)) NOT IN ({_PROSE})),
 refs AS (SELECT row_number() OVER () AS ref, home, ls FROM (SELECT '' AS home, {_LINES} AS ls FROM vendor_catalog UNION ALL SELECT repo, ls FROM f WHERE {_VENDOR})),
 held AS (SELECT ref, home, unnest(ls) AS l FROM refs),
 met AS (SELECT file_id, ref, len(any_value(ls)) AS n, count(*) AS shared FROM (SELECT file_id, repo, ls, unnest(ls) AS l FROM f) JOIN held USING (l) WHERE home <> repo GROUP BY file_id, ref)

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from codeloom.llm.lookalike import lookalike_pairs, mappings, same_form
+from codeloom.llm.lookalike import canonical_texts, confusables, group_members, lookalike_pairs, mappings, same_form
 
 SAME = [
     ("café", "café"), ("ＡＢＣ１２", "ABC12"), ("ﬁne ﬂow", "fine flow"), ("a b", "a b"), ("a　b c d", "a b c d"), ("zero​width­", "zerowidth"),
@@ -54,9 +54,38 @@ def test_a_hot_group_gives_every_pair_of_different_strings(spark):
     assert len(got) == 60 * 30 and all(r[0] < 60 <= r[1] < 90 for r in got) and len(set(got)) == len(got)
 
 
-def test_mapping_is_small_and_ends():
-    table = dict(mappings())
-    assert len(table) < 8000
+def test_letters_of_the_table_of_confusables(spark):
+    alike = confusables(spark)
+    pairs = ["УY", "ҮY", "ѴV", "ѵv", "νv", "ՍU", "ՏS", "ᎪA", "ᏟC", "ⲞO", "ⲢP", "ꓐB", "АA", "οo"]
+    assert {p: chr(alike[ord(p[0])]) for p in pairs} == {p: p[1] for p in pairs}
+    assert not set(map(ord, "гαγρиЯΩж0l1ıſß")) & set(alike) and len(alike) > 120
+    assert all(chr(to).isascii() and chr(to).isalpha() for to in alike.values())
+    got = forms(spark, ["𝐀𝗯ℝℓ", "AbRl", "Ү", "Y"])
+    assert got[0] == got[1] and got[2] == got[3]
+
+
+def test_broadcast_and_shuffle_give_the_same(spark):
+    df = spark.createDataFrame([(i, t) for i, p in enumerate(SAME + DIFFERENT) for t in p], "doc_id long, text string")
+    one, two = (sorted(map(tuple, canonical_texts(df, "text", n).collect())) for n in (0, 10**6))
+    assert one == two and len(one) > 20
+
+
+def test_groups(spark):
+    rows = [(1, "abc"), (2, "аbc"), (3, "abc"), (4, "abc​"), (5, "​"), (6, ""), (7, None), (8, "Abc"), (None, "аbc"), (9, "xyz"), (9, "xyz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, group_members(df).collect())) == [(1, 1, 1, 3), (2, 1, 2, 3), (3, 1, 1, 3), (4, 1, 4, 3)]
+    assert group_members(df.limit(0)).collect() == []
+
+
+def test_a_form_with_many_spellings_goes_by_blocks(spark):
+    rows = [(i, "a" * 8 if i == 0 else "".join("а" if i >> k & 1 else "a" for k in range(8))) for i in range(200)]
+    got = lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string"), block=9).collect()
+    assert len(got) == len(set(got)) == 200 * 199 // 2
+
+
+def test_mapping_is_small_and_ends(spark):
+    table = dict(mappings(confusables(spark)))
+    assert len(table) < 9000
     for to in table.values():
         for cp, ccc in to:
             assert ccc == unicodedata.combining(chr(cp))
