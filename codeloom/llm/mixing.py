@@ -1,8 +1,9 @@
 """Mixing documents of several sources so that each source has its target share of the tokens.
 
 Documents whose source is unknown belong to every source to some degree: a classifier, fitted on a bounded sample of the
-labelled rows, gives their posteriors. Document rates are then fitted by projected-gradient least squares so that the
-expected token totals of the sources match the targets, and turned into whole copies.
+labelled rows, gives their posteriors. Rows of the same source, or of nearly the same posteriors, form cells, whose expected token
+totals are summed up over all rows; nonnegative rates of the cells are fitted by projected-gradient least squares so that the
+expected totals match the targets, and turned into whole copies.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from codeloom.plans.lineage import cut
 OTHER = ""
 FEATURES = 1024
 SAMPLE_PER_SOURCE = 600
-STEPS = 40
-TOLERANCE = 1e-6
-BUCKETS = 512
+STEPS = 50_000
+TOLERANCE = 1e-9
+SHARE_TOLERANCE = 0.01
+BUCKETS = 64
+EDGE_ROWS = 50_000
+LEVELS = 5
 
 
 @dataclass
@@ -71,25 +75,23 @@ def fit(features: np.ndarray, labels: list[str], rounds: int = 300, rate: float
     return Model(names, w)
 
 
-def _featurizer(shared, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                rows = [features_of(encoder.encode(t), size) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "source": part["source"].to_numpy(), "f": rows})
-
-    return run
+def sample_threshold(wanted: int, rows: int) -> int:
+    """The 64-bit hash up to which a row belongs to a sample of about `wanted` of `rows`, whatever their number."""
+    return -(1 << 63) + min(1 << 64, (wanted << 64) // max(1, rows)) - 1
 
 
-def _sized(shared):
+def _sized(shared, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared)
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "source": part["source"].to_numpy(), "n_tokens": [encoder.count(t) for t in part["text"]]})
+                counts, rows = [], []
+                for text, sampled in zip(part["text"], part["sampled"]):
+                    ids = encoder.encode(text) if sampled else None
+                    counts.append(len(ids) if sampled else encoder.count(text))
+                    rows.append(features_of(ids, size) if ids else None)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "source": part["source"].to_numpy(), "n_tokens": counts, "f": rows})
 
     return run
 
@@ -137,77 +139,62 @@ def _targets(rows: list, hard: dict[str, float]) -> Targets:
     return Targets(mixes, domains, shares, weights, caps, np.where(np.isfinite(room), room, 0.0))
 
 
-def _rates(p: np.ndarray, start: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates (document, mix) after the steps: each goes down a document's share in the gradient, then is clipped to [0, cap]."""
-    r = np.einsum("nd,md->nm", p, start)
-    most = np.einsum("nd,md->nm", p, caps)
-    r = np.clip(r, 0, most)
-    for s in steps:
-        r = np.clip(r - np.einsum("nd,md->nm", p, s), 0, most)
-    return r
-
-
-def _step(gram: np.ndarray, miss: np.ndarray, asked: np.ndarray, rate: float = 0.9) -> np.ndarray:
-    """The gradient of the squared error by mix, scaled by the sources' Gram matrix: what each source's posterior adds to a rate's step."""
-    out = np.zeros_like(miss)
-    for m in range(len(miss)):
-        k = np.flatnonzero(asked[m])
-        if len(k):
-            out[m, k] = rate * (np.linalg.pinv(gram[np.ix_(k, k)]) @ miss[m, k])
-    return out
-
-
-def _totals(start, caps, steps, mixes: int, domains: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((mixes, domains))
-        for b in batches:
-            if len(b):
-                p = np.stack(b["p"].to_numpy())
-                acc += np.einsum("nm,nd->md", _rates(p, start, caps, steps) * b["n_tokens"].to_numpy()[:, None], p)
-        yield pd.DataFrame([(m, d, acc[m, d]) for m in range(mixes) for d in range(domains)], columns=["m", "d", "t"])
-
-    return run
-
-
-def _soft_copies(start, caps, steps, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            p = np.stack(b["p"].to_numpy())
-            r = _rates(p, start, caps, steps)
-            likely = p.argmax(axis=1)
-            whole = np.minimum(np.floor(r + b["u"].to_numpy()[:, None]), caps[:, likely].T)
-            for m, name in enumerate(names):
-                keep = (whole[:, m] > 0) & (b["n_tokens"].to_numpy() > 0)
-                if not keep.any():
-                    continue
-                yield pd.DataFrame({"mix_name": name, "id": b["id"].to_numpy()[keep], "source": None, "n_tokens": b["n_tokens"].to_numpy()[keep], "copies": whole[keep, m].astype("int32"), "p": list(p[keep])})
-
-    return run
+def fit_rates(totals: np.ndarray, wanted: np.ndarray, caps: np.ndarray, start: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
+    """Rates r of cells, 0 <= r <= caps, that make r @ totals match `wanted` in least squares, and whether the steps converged.
 
-
-def _cuts(t: Targets, rates: np.ndarray, sizes: pd.DataFrame, buckets: int) -> list[tuple]:
-    """(mix, source, size class, base, at, left): rows of buckets below `at` get base + 1 copies, of the bucket `at` as long as
-    their running total is within left, others base. Size classes are cut at whole buckets, and what a class misses or
+    totals[c, d]: expected tokens of cell c in source d; wanted[d]. Errors count relative to what is wanted, sources that nobody wants
+    don't count; rates count relative to their start, which sets the scale of each cell. Accelerated projected gradient with the step 1 / L, L the greatest
+    eigenvalue; it has converged when a step of the plain projected gradient moves no relative rate by more than `tolerance`.
+    """
+    asked = np.flatnonzero(wanted > 0)
+    scale = np.where(start > 0, start, 1.0)
+    most = caps / scale
+    x = np.clip(np.where(start > 0, 1.0, 0.0), 0, most)
+    if not len(asked) or not len(x):
+        return x * scale, True
+    a = (totals[:, asked] * scale[:, None] / wanted[asked]).T
+    lipschitz = np.linalg.norm(a, 2) ** 2 or 1.0
+
+    def ahead(z: np.ndarray) -> np.ndarray:
+        return np.clip(z - a.T @ (a @ z - 1.0) / lipschitz, 0, most)
+
+    y, speed = x, 1.0
+    for _ in range(steps):
+        new = ahead(y)
+        if np.abs(new - x).max() <= tolerance and np.abs(ahead(new) - new).max() <= tolerance:
+            return new * scale, True
+        if (y - new) @ (new - x) > 0:  # the momentum points uphill: start it anew
+            speed, y = 1.0, x
+            new = ahead(x)
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        y, speed, x = new + (speed - 1) / faster * (new - x), faster, new
+    return x * scale, False
+
+
+def _cuts(mixes: list[str], rates: dict[tuple[int, str], tuple[float, float]], likely: dict[str, int], sizes: pd.DataFrame, buckets: int) -> list[tuple]:
+    """(mix, cell, size class, base, at, left): rows of buckets below `at` get base + 1 copies, of the bucket `at` as long as
+    the middle of each lies within a running total of left, others base. Size classes are cut at whole buckets, and what a class misses or
     exceeds is carried to the next, so that a few very long texts don't spoil a share; the class with the most rows comes last and
-    is cut within a bucket."""
+    is cut within a bucket. What is left over of a cell is carried to the next one of the same likely source, the source's own last.
+    rates: by (mix, cell) the rate and its cap; likely: the number of the most likely source of a cell."""
     out = []
-    for s, of_source in sizes.groupby("source"):
-        d = t.domains.index(s)
-        rows = of_source.groupby("size_class")["n"].sum()
+    left_over: dict[tuple[int, int], float] = {}
+    parted = dict(list(sizes.groupby("cell")))
+    for cell in sorted(parted, key=lambda c: (not c.startswith("|"), c)):
+        of_cell = parted[cell]
+        rows = of_cell.groupby("size_class")["n"].sum()
         order = [c for c in sorted(rows.index, reverse=True) if c != rows.idxmax()] + [rows.idxmax()]
-        steps = {c: g.sort_values("bucket") for c, g in of_source.groupby("size_class")}
-        for m, mix in enumerate(t.mixes):
-            if rates[m, d] <= 0:
+        steps = {c: g.sort_values("bucket") for c, g in of_cell.groupby("size_class")}
+        steps = {c: (g["t"].to_numpy().astype(float), g["bucket"].to_numpy(), np.concatenate(([0.0], np.cumsum(g["t"].to_numpy().astype(float))))) for c, g in steps.items()}
+        for m, mix in enumerate(mixes):
+            rate, cap = rates.get((m, cell), (0.0, 0.0))
+            if rate <= 0:
                 continue
-            base, carry = int(np.floor(rates[m, d] + 1e-9)), 0.0
+            base, carry = int(np.floor(rate + 1e-9)), left_over.get((m, likely[cell]), 0.0)
             for c in order:
-                tokens, numbers = steps[c]["t"].to_numpy().astype(float), steps[c]["bucket"].to_numpy()
-                more = max(0.0, rates[m, d] - base) * tokens.sum() + carry
-                until = np.concatenate(([0.0], np.cumsum(tokens)))
-                room = until[-1] if base < t.caps[m, d] else 0.0
-                more_here = min(max(more, 0.0), room)
+                tokens, numbers, until = steps[c]
+                more = max(0.0, rate - base) * until[-1] + carry
+                more_here = min(max(more, 0.0), until[-1] if base < cap else 0.0)
                 if c != order[-1]:
                     k = int(np.abs(until - more_here).argmin())
                     left, got = 0.0, until[k]
@@ -216,10 +203,26 @@ def _cuts(t: Targets, rates: np.ndarray, sizes: pd.DataFrame, buckets: int) -> l
                     left, got = more_here - until[k], more_here
                 carry = more - got
                 at = int(numbers[k]) if k < len(numbers) else buckets
-                out.append((mix, s, int(c), base, at, float(left)))
+                out.append((mix, cell, int(c), base, at, float(left)))
+            left_over[m, likely[cell]] = carry
     return out
 
 
+def _edge(each: DataFrame, edge_rows: int) -> DataFrame:
+    """The rows of the buckets that are cut within, with their copies. A bucket is parted by a second hash into parts of about edge_rows rows;
+    the parts are summed up and put in order, and each finds its own rows' running totals, so that no bucket is sorted in one task."""
+    by = ["mix_name", "cell", "size_class"]
+    edge = each.where("bucket = at").withColumn("place", F.xxhash64("id", F.lit("edge")))
+    sized = edge.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(edge_rows)).alias("parts"))
+    edge = edge.join(sized, by).withColumn("part", F.floor((F.col("place") / F.lit(float(1 << 64)) + 0.5) * F.col("parts")).cast("int"))
+    sums = edge.groupBy(*by, "part").agg(F.sum("n_tokens").alias("s"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    inside = Window.partitionBy(*by, "part").orderBy("place", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.join(sums, [*by, "part"]).withColumn("so_far", F.col("before") + F.sum("n_tokens").over(inside))
+    return edge.withColumn("copies", F.col("base") + F.when(F.col("so_far") - F.col("n_tokens") / 2 < F.col("left"), 1).otherwise(0))
+
+
 @dataclass
 class Mixed:
     rows: DataFrame
@@ -235,22 +238,27 @@ def mix_sources(
     vocabulary: str = VOCABULARY,
     sample_per_source: int = SAMPLE_PER_SOURCE,
     features: int = FEATURES,
+    share_tolerance: float = SHARE_TOLERANCE,
     buckets: int = BUCKETS,
+    edge_rows: int = EDGE_ROWS,
 ) -> Mixed:
     """Rows chosen for every mix, and the shares reached.
 
     targets: mix_name, source, target_share (a weight within its mix), max_repeats; a small table of settings, read by the
     driver. Sources are compared without blanks and letter case. The size of a mix is the greatest at which every source that
-    has documents reaches its share within its cap: the scarcest source sets it. rows: mix_name, id, source, n_tokens, copies
-    (1 to max_repeats; other documents are not chosen). report: mix_name, source, target_share (within the mix), wanted_share
-    (after leaving out what can't be reached), reached_share, tokens, docs, rate, status: `reached`, `no documents` or `not asked`.
+    has documents reaches its share within its cap by labelled rows: the scarcest source sets it. rows: mix_name, id, source, n_tokens,
+    copies (1 to max_repeats; other documents are not chosen). report: mix_name, source, target_share (within the mix), wanted_share
+    (after leaving out sources without documents), reached_share, tokens, docs, rate (fitted, of the labelled rows), status: `reached` if
+    reached_share is within share_tolerance of wanted_share, `missed` if not, `no documents`, or `not asked` (of a source that only another mix names).
 
     A document without a source counts by its posteriors, so its tokens are shared among the sources in the report; its
     cap is that of its most likely source. The classifier is fitted on at most about sample_per_source labelled rows of each
-    source, picked by a hash of the id; everything else covers all rows. A document of a source that a mix doesn't name, or
-    without tokens (null and empty texts), is not chosen. A null id is an id like others. Documents of one source have one
-    rate r; each gets floor(r) copies, and those that get one more are cut off at a token total per size class, bucket by bucket
-    of a hash of the id, so that no source is sorted in one task.
+    source, picked by a hash of the id; everything else covers all rows. A document of a source that no mix names, or
+    without tokens (null and empty texts), is not chosen. A null id is an id like others.
+
+    Cells are the sources and, for rows without one, the most likely source, the next one and LEVELS steps of its probability: their number follows
+    from the settings. The rate r of a cell holds for its rows: each gets floor(r) copies, and those that get one more are cut off at
+    a token total per size class, bucket by bucket of a hash of the id, and part by part in the bucket that is cut, so no cell is sorted in one task. Each text is tokenised once.
     """
     spark = documents.sparkSession
     with open(vocabulary, "rb") as f:
@@ -258,100 +266,94 @@ def mix_sources(
     asked = [r.asDict() for r in targets.select("mix_name", normal_word(F.col("source")).alias("source"), "target_share", "max_repeats").where("mix_name is not null and source is not null").collect()]
     docs = documents.select(F.col(id).alias("id"), F.coalesce(normal_word(F.col(source)), F.lit("")).alias("source"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    labelled = docs.where("source <> ''")
-    bucket = F.pmod(F.xxhash64("id", F.lit("bucket")), F.lit(buckets)).cast("int")
-    sized = cut(labelled.mapInPandas(_sized(shared), f"id {kind}, source string, n_tokens long").where("n_tokens > 0").withColumns({"bucket": bucket, "size_class": F.floor(F.log2("n_tokens")).cast("int")}))
-    per_bucket = sized.groupBy("source", "size_class", "bucket").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    names = {r["source"] for r in asked}
-    known = per_bucket.where(F.col("source").isin(*names)) if names else per_bucket.limit(0)
-    sizes = known.toPandas()  # sources that the settings name, times size classes (about 30), times buckets, at most
-    hard = sizes.groupby("source")["t"].sum().to_dict()
-    count = sizes.groupby("source")["n"].sum().to_dict()
+    names = sorted({r["source"] for r in asked})
+    labelled = docs.where(F.col("source").isin(*names)) if names else docs.limit(0)
+    # how many rows each source has sets who is in its sample; no text is read for it
+    count = {r["source"]: r["count"] for r in labelled.groupBy("source").count().collect()}  # a row for each source of the settings
+    limit = F.lit(None).cast("long")
+    for s, n in count.items():
+        limit = F.when(F.col("source") == s, F.lit(sample_threshold(sample_per_source, n))).otherwise(limit)
+    sampled = F.coalesce(F.xxhash64("id", F.lit("sample")) <= limit, F.lit(False))
+    sized = cut(labelled.withColumn("sampled", sampled).mapInPandas(_sized(shared, features), f"id {kind}, source string, n_tokens long, f array<float>").where("n_tokens > 0"))
+    domains = [*names, OTHER]
+    wide = len(domains)
+    hard = {r["source"]: float(r["t"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     t = _targets(asked, hard)
-    have = np.array([hard.get(d, 0.0) for d in t.domains])
 
     # posteriors of the rows without a source
-    soft_docs = docs.where("source = ''")
     soft = None
-    if count:
-        part = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000))
-        most = F.create_map(*[x for s, n in count.items() for x in (F.lit(s), F.lit(int(1_000_000 * min(1.0, sample_per_source / n))))])
-        sample = labelled.where(F.col("source").isin(*count) & (part < most[F.col("source")])).mapInPandas(_featurizer(shared, features), f"id {kind}, source string, f array<float>")
-        got = sample.select("source", "f").toPandas()
-        if got["source"].nunique() > 1:
-            order = np.lexsort([got["f"].map(lambda x: float(np.sum(x))).to_numpy(), got["source"].to_numpy().astype(str)])  # the same order every time
-            model = fit(np.stack([np.asarray(x, dtype=np.float32) for x in got["f"]])[order], got["source"].to_numpy()[order].tolist())
-            places = [t.domains.index(x) for x in model.labels]
-            model_shared = spark.sparkContext.broadcast(model)
-            soft = cut(soft_docs.mapInPandas(_believed(shared, model_shared, places, features), f"id {kind}, n_tokens long, p array<double>"))
-            wide = len(t.domains)
-            soft = soft.select("id", "n_tokens", F.expr(f"transform(sequence(0, {wide - 1}), k -> coalesce(get(p, k), 0D))").alias("p"))
-
-    # projected gradient: start at the rate each source needs by itself
-    scale = np.divide(t.total[:, None] * t.weights, have, out=np.zeros_like(t.weights), where=have > 0)
-    caps = np.where(t.weights > 0, t.caps, 0)
-    wanted = t.total[:, None] * t.weights
-    one = np.eye(len(t.domains))
-    gram = np.diag(have)
+    got = sized.where("f is not null").select("source", "f").toPandas()  # the sample
+    if got["source"].nunique() > 1:
+        order = np.lexsort([got["f"].map(lambda x: float(np.sum(x))).to_numpy(), got["source"].to_numpy().astype(str)])  # the same order every time
+        model = fit(np.stack([np.asarray(x, dtype=np.float32) for x in got["f"]])[order], got["source"].to_numpy()[order].tolist())
+        places = [domains.index(x) for x in model.labels]
+        believed = docs.where("source = ''").mapInPandas(_believed(shared, spark.sparkContext.broadcast(model), places, features), f"id {kind}, n_tokens long, p array<double>")
+        soft = believed.where("n_tokens > 0").select("id", "n_tokens", F.expr(f"transform(sequence(0, {wide - 1}), k -> coalesce(get(p, k), 0D))").alias("p"))
+
+    # cells: the sources, and what posteriors have in common
+    none = F.lit(None)
+    rows = sized.select("id", "source", "n_tokens", F.col("source").alias("cell"), none.cast("array<double>").alias("p"))
     if soft is not None:
-        pairs = soft.select("n_tokens", F.posexplode("p").alias("i", "a"), "p").where("a > 0").select("i", (F.col("n_tokens") * F.col("a")).alias("w"), F.posexplode("p").alias("j", "b"))
-        for r in pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("b")).alias("g")).collect():  # a number for each two sources of the settings
-            gram[r["i"], r["j"]] += r["g"]
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        by_source = _rates(one, scale, caps, steps).T
-        totals = by_source * have
-        if soft is not None:
-            sums = soft.mapInPandas(_totals(scale, caps, steps, len(t.mixes), len(t.domains)), "m int, d int, t double").groupBy("m", "d").agg(F.sum("t").alias("t")).collect()
-            for r in sums:
-                totals[r["m"], r["d"]] += r["t"]
-        error = np.divide(totals - wanted, wanted, out=np.zeros_like(wanted), where=wanted > 0)
-        if not error.size or np.abs(error).max() < TOLERANCE:
-            break
-        steps.append(_step(gram, np.where(wanted > 0, totals - wanted, 0.0), wanted > 0))
-
-    # rows without a source are rounded by a hash of their id; what they miss or exceed the labelled rows make up for
-    picked, made = None, np.zeros_like(wanted)
+        top = F.array_max("p")
+        first = F.array_position("p", top)
+        rest = F.transform("p", lambda x, i: F.when(i == F.col("first") - 1, -1.0).otherwise(x))
+        celled = soft.withColumn("first", first).withColumn("next", F.array_position(rest, F.array_max(rest)))
+        cell = F.concat_ws("|", F.lit(""), F.col("first") - 1, F.col("next") - 1, F.least(F.floor(top * LEVELS), F.lit(LEVELS - 1)))
+        rows = rows.unionByName(celled.select("id", none.cast("string").alias("source"), "n_tokens", cell.alias("cell"), "p"))
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("id", F.lit("bucket")), F.lit(buckets)).cast("int"), "size_class": F.floor(F.log2("n_tokens")).cast("int")})
     if soft is not None:
-        u = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        picked = soft.withColumn("u", u).mapInPandas(_soft_copies(scale, caps, steps, t.mixes), f"mix_name string, id {kind}, source string, n_tokens long, copies int, p array<double>")
-        for r in picked.select("mix_name", F.posexplode("p").alias("d", "share"), (F.col("n_tokens") * F.col("copies")).alias("w")).groupBy("mix_name", "d").agg(F.sum(F.col("w") * F.col("share")).alias("t")).collect():
-            made[t.mixes.index(r["mix_name"]), r["d"]] = r["t"]
-    rates = np.clip(np.divide(wanted - made, have, out=np.zeros_like(wanted), where=have > 0), 0, caps)
-    cuts = _cuts(t, rates, sizes, buckets)
-    chosen = None
+        rows = cut(rows)
+    share = [F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"v{d}") for d in range(wide)]
+    sizes = rows.groupBy("cell", "size_class", "bucket").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), *share).toPandas()  # cells, times size classes (about 30), times buckets, at most
+
+    cells = sorted(sizes["cell"].unique())
+    likely = {c: int(c.split("|")[1]) if c.startswith("|") else domains.index(c) for c in cells}
+    sums = sizes.groupby("cell")[["t", *[f"v{d}" for d in range(wide)]]].sum()
+    totals = np.array([sums.loc[c].to_numpy()[1:] if c.startswith("|") else sums.loc[c, "t"] * np.eye(wide)[likely[c]] for c in cells]).reshape(len(cells), wide).astype(float)
+    have = np.array([hard.get(d, 0.0) for d in domains])
+    scale = np.divide(t.total[:, None] * t.weights, have, out=np.zeros_like(t.weights), where=have > 0)
+    caps = np.where(t.weights > 0, t.caps, 0)
+    rates: dict[tuple[int, str], tuple[float, float]] = {}
+    for m in range(len(t.mixes)):
+        most = np.array([caps[m, likely[c]] for c in cells])
+        start = np.array([scale[m, likely[c]] for c in cells])
+        fitted, _ = fit_rates(totals, t.total[m] * t.weights[m], most, np.minimum(start, most))
+        rates |= {(m, c): (float(r), float(k)) for c, r, k in zip(cells, fitted, most)}
+
+    cuts = _cuts(t.mixes, rates, likely, sizes, buckets)
     if cuts:
-        plan = spark.createDataFrame(cuts, "mix_name string, source string, size_class int, base int, at int, left double")
-        each = sized.join(F.broadcast(plan), ["source", "size_class"])  # at most a row for each setting and size class
-        edge = each.where("bucket = at").withColumn("so_far", F.sum("n_tokens").over(_by_id()))
-        edge = edge.withColumn("copies", F.col("base") + F.when(F.col("so_far") <= F.col("left"), 1).otherwise(0))
-        rest = each.where("bucket <> at").withColumn("copies", F.col("base") + F.when(F.col("bucket") < F.col("at"), 1).otherwise(0))
-        columns = ["mix_name", "id", "source", "n_tokens", F.col("copies").cast("int").alias("copies")]
-        chosen = edge.select(*columns).unionByName(rest.select(*columns)).where("copies > 0")
-    if chosen is None:
-        chosen = spark.createDataFrame([], f"mix_name string, id {kind}, source string, n_tokens long, copies int")
-    parts = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("tokens"), F.count(F.lit(1)).cast("double").alias("docs"))
-    if soft is not None:
-        shared_out = picked.select("mix_name", F.posexplode("p").alias("d", "share"), (F.col("n_tokens") * F.col("copies")).alias("w"))
-        label = F.element_at(F.array(*map(F.lit, t.domains)), F.col("d") + 1)
-        parts = parts.unionByName(shared_out.where("share > 0").groupBy("mix_name", label.alias("source")).agg(F.sum(F.col("w") * F.col("share")).alias("tokens"), F.sum("share").alias("docs")))
-        chosen = chosen.unionByName(picked.drop("p"))
-    wants = [(mix, s, float(t.shares[m, d] / t.shares[m].sum()) if t.shares[m].sum() else 0.0, float(t.weights[m, d]), float(rates[m, d])) for m, mix in enumerate(t.mixes) for d, s in enumerate(t.domains) if t.shares[m, d] > 0]
+        plan = spark.createDataFrame(cuts, "mix_name string, cell string, size_class int, base int, at int, left double")
+        each = rows.join(F.broadcast(plan), ["cell", "size_class"])  # at most a row for each mix, cell and size class
+        beyond = each.where("bucket <> at").withColumn("copies", F.col("base") + F.when(F.col("bucket") < F.col("at"), 1).otherwise(0))
+        columns = ["mix_name", "id", "source", "n_tokens", F.col("copies").cast("int").alias("copies"), "p"]
+        chosen = _edge(each, edge_rows).select(*columns).unionByName(beyond.select(*columns)).where("copies > 0")
+    else:
+        chosen = spark.createDataFrame([], f"mix_name string, id {kind}, source string, n_tokens long, copies int, p array<double>")
+    label = F.element_at(F.array(*map(F.lit, domains)), F.col("d") + 1)
+    made = (F.col("n_tokens") * F.col("copies")).cast("double")
+    parts = chosen.where("source is not null").groupBy("mix_name", "source").agg(F.sum(made).alias("tokens"), F.count(F.lit(1)).cast("double").alias("docs"))
+    spread = chosen.where("source is null").select("mix_name", made.alias("w"), F.posexplode("p").alias("d", "share")).where("share > 0")
+    parts = parts.unionByName(spread.groupBy("mix_name", label.alias("source")).agg(F.sum(F.col("w") * F.col("share")).alias("tokens"), F.sum("share").alias("docs")))
+    wants = [
+        (mix, s, float(t.shares[m, d] / t.shares[m].sum()) if t.shares[m].sum() else 0.0, float(t.weights[m, d]), rates.get((m, s), (0.0, 0.0))[0])
+        for m, mix in enumerate(t.mixes) for d, s in enumerate(t.domains) if t.shares[m, d] > 0
+    ]
     want = spark.createDataFrame(wants, "mix_name string, source string, target_share double, wanted_share double, rate double")
     got_tokens = parts.where("source <> ''").groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
     whole = got_tokens.groupBy("mix_name").agg(F.sum("tokens").alias("mix_tokens"))
+    reached = F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0))
+    status = (
+        F.when(F.col("target_share").isNull(), "not asked")
+        .when(F.coalesce("wanted_share", F.lit(0.0)) <= 0, "no documents")
+        .when(F.abs(reached - F.col("wanted_share")) <= share_tolerance, "reached")
+        .otherwise("missed")
+    )
     report = (
         want.join(got_tokens, ["mix_name", "source"], "full")
         .join(whole, "mix_name", "left")
         .select(
-            "mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("wanted_share", F.lit(0.0)).alias("wanted_share"),
-            F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0.0)).alias("tokens"),
-            F.coalesce("docs", F.lit(0.0)).alias("docs"), F.coalesce("rate", F.lit(0.0)).alias("rate"),
-            F.when(F.col("target_share").isNull(), "not asked").when(F.col("wanted_share") > 0, "reached").otherwise("no documents").alias("status"),
+            "mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("wanted_share", F.lit(0.0)).alias("wanted_share"), reached.alias("reached_share"),
+            F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce("docs", F.lit(0.0)).alias("docs"), F.coalesce("rate", F.lit(0.0)).alias("rate"), status.alias("status"),
         )
     )
-    return Mixed(chosen.withColumnRenamed("id", id), report)
-
-
-def _by_id():
-    return Window.partitionBy("mix_name", "source", "size_class").orderBy(F.xxhash64("id", F.lit("edge")), "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Mixed(chosen.drop("p").withColumnRenamed("id", id), report)

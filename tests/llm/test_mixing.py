@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm.encoding import VOCABULARY
-from codeloom.llm.mixing import _rates, _step, features_of, fit, mix_sources
+from codeloom.llm.mixing import features_of, fit, fit_rates, mix_sources, sample_threshold
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 WORDS = {"wiki": "page section anchor heading link", "code": "return value index loop error", "log": "added fixed removed release version"}
@@ -23,10 +23,10 @@ def docs(n=900, unknown=0.1, seed=1):
     return rows, truth
 
 
-def mix(spark, rows, targets):
+def mix(spark, rows, targets, **more):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     t = spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int")
-    return mix_sources(d, t)
+    return mix_sources(d, t, **more)
 
 
 def test_shares_are_reached_within_caps(spark):
@@ -68,23 +68,46 @@ def test_held_out_accuracy():
     assert np.mean([a == b for a, b in zip(guess, y[400:])]) > 0.95
 
 
-def test_rates_stay_in_bounds_and_steps_lower_the_error():
+def test_fitted_rates_reach_the_constrained_optimum():
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([1, 1, 1], size=200)
-    tokens = rng.integers(1, 50, size=200)
-    caps = np.array([[3.0, 3.0, 3.0]])
-    have = (tokens[:, None] * p).sum(axis=0)
-    wanted = np.array([0.6, 0.3, 0.1]) * have.sum() * 0.5
-    scale = (wanted / have)[None]
-    gram = (p * tokens[:, None]).T @ p
-    steps, errors = [], []
-    for _ in range(800):
-        r = _rates(p, scale, caps, steps)
-        assert (r >= 0).all() and (r <= 3 + 1e-9).all()
-        miss = ((r[:, 0] * tokens)[:, None] * p).sum(axis=0) - wanted
-        errors.append(np.abs(miss / wanted).max())
-        steps.append(_step(gram, miss[None], np.ones((1, 3), dtype=bool)))
-    assert errors[-1] < 0.02 < 0.3 < errors[0] and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:]))
+    cells = np.vstack([np.diag([5000.0, 300.0, 20.0]), rng.dirichlet([1, 1, 1], size=30) * rng.integers(1, 50, size=(30, 1))])
+    caps = np.full(33, 3.0)
+    wanted = np.array([900.0, 500.0, 55.0])
+    rates, done = fit_rates(cells, wanted, caps, np.minimum(3.0, np.full(33, 0.2)))
+    assert done and (rates >= 0).all() and (rates <= caps + 1e-12).all() and np.abs(rates @ cells / wanted - 1).max() < 1e-6
+    # out of reach: no single rate can be moved for a smaller error
+    wanted = np.array([900.0, 5000.0, 55.0])
+    rates, done = fit_rates(cells, wanted, caps, np.full(33, 0.2))
+    error = lambda r: (((r @ cells - wanted) / wanted) ** 2).sum()
+    assert done and rates[1] == 3.0
+    for k in range(33):
+        for step in (-1e-4, 1e-4):
+            other = rates.copy()
+            other[k] = np.clip(other[k] + step, 0, 3)
+            assert error(other) >= error(rates) - 1e-9
+    assert fit_rates(np.zeros((0, 3)), wanted, np.zeros(0), np.zeros(0))[1] and not fit_rates(cells, wanted, caps, np.full(33, 0.2), steps=1)[1]
+
+
+def test_samples_of_any_number_of_rows():
+    for n in (1, 600, 10**6, 10**9, 10**13):
+        t = sample_threshold(600, n)
+        expected = (t + (1 << 63) + 1) / 2**64 * n
+        assert -(1 << 63) <= t < 1 << 63 and abs(expected - min(n, 600)) < 1e-3 * 600
+    assert sample_threshold(600, 0) == (1 << 63) - 1
+
+
+def test_a_share_out_of_reach_is_reported(spark):
+    rows, _ = docs(300, 0)
+    rows.append((9000, "page " * 60_000, "wiki"))  # no part of this one can be taken
+    only = [r for r in rows if r[0] == 9000 or (r[2] or "").strip().lower() != "wiki"]
+    report = {r["source"]: r for r in mix(spark, only, [("m", "wiki", 1.0, 1), ("m", "log", 9.0, 2)]).report.collect()}
+    assert {r["status"] for r in report.values()} == {"missed"} and abs(report["wiki"]["wanted_share"] - 0.1) < 1e-9
+
+
+def test_rows_of_cut_buckets_go_by_parts(spark):
+    rows, _ = docs()
+    one, two = (mix(spark, rows, [("m", "wiki", 2.0, 3), ("m", "code", 1.0, 2)], buckets=1, edge_rows=n) for n in (7, 10**6))
+    assert {tuple(r) for r in one.rows.collect()} == {tuple(r) for r in two.rows.collect()}
 
 
 def test_nulls_in_any_column_and_repeated_rows(spark):
