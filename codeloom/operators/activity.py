@@ -8,15 +8,30 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import round_half_up, week_start
 
 
-def paired_payments(ledger: DataFrame, by: str = "page") -> DataFrame:
-    """Payments with package_at, the last package before them in ledger order that had debts; only payments not older than it.
+def carried_last(df: DataFrame, order: str, value: Column, name: str, unit: int = 4096) -> DataFrame:
+    """df with one more column: the last value that isn't null up to each row in order of the whole number `order`, over all rows.
 
-    ledger: seq, page, kind (`package` or `payment`), ts, debt_count. Order is that of seq, not of time. The running value is
-    kept per page, so the ledger isn't brought into one task.
+    Blocks of `unit` numbers keep their last value, these are carried on from block to block, and each block looks through its own
+    rows, so that the rows are not sorted in one task. A row without order has none.
     """
-    w = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.last(F.when((F.col("kind") == "package") & (F.col("debt_count") > 0), F.col("ts")), ignorenulls=True).over(w)
-    return ledger.withColumn("package_at", at).where("kind = 'payment' and package_at is not null and ts >= package_at")
+    blocked = df.withColumns({"__block": F.floor(F.col(order) / unit), "__value": value})
+    lasts = blocked.where(F.col("__value").isNotNull() & F.col("__block").isNotNull()).groupBy("__block").agg(F.max(F.struct(F.col(order).alias("o"), F.col("__value").alias("v"))).alias("m"))
+    every = blocked.select("__block").distinct().join(lasts, "__block", "left")
+    before = every.select("__block", F.last("m.v", ignorenulls=True).over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return blocked.join(before, "__block", "left").withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(inside), "__before")).drop("__block", "__value", "__before")
+
+
+def paired_payments(ledger: DataFrame, unit: int = 4096) -> DataFrame:
+    """Payments with package_at, the time of the last package before them in ledger order, of whatever page, that had debts; only
+    payments not older than it.
+
+    ledger: seq, kind, ts, debt_count. Writes (`payment`) and resolved debts (`resolved`) both pay for a `package`. Order is that of
+    seq, not of time. unit: how many numbers of seq make a block, see carried_last.
+    """
+    opened = F.when((F.col("kind") == "package") & (F.col("debt_count") > 0), F.col("ts"))
+    paired = carried_last(ledger, "seq", opened, "package_at", unit)
+    return paired.where("kind in ('payment', 'resolved') and package_at is not null and ts >= package_at")
 
 
 def activity_totals(ledger: DataFrame) -> DataFrame:

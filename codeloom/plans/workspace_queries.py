@@ -732,17 +732,18 @@ def round_robin_symbols(spark, d):
 
 # ---- activity over events
 
-_LEDGER = """led AS (SELECT event_id AS seq, ts, 'u' || user_id AS page, CASE event_type WHEN 'signup' THEN 'package' WHEN 'purchase' THEN 'payment' ELSE event_type END AS kind, floor(value)::BIGINT AS tokens, (props::JSON ->> 'k')::BIGINT % 3 AS debt_count FROM events)"""
+_LEDGER = """led AS (SELECT event_id AS seq, ts, 'u' || user_id AS page, CASE event_type WHEN 'signup' THEN 'package' WHEN 'purchase' THEN 'payment' WHEN 'click' THEN 'resolved' ELSE event_type END AS kind, floor(value)::BIGINT AS tokens, (props::JSON ->> 'k')::BIGINT % 3 AS debt_count FROM events)"""
 
 
 def _ledger(spark, d):
-    kind = F.when(F.col("event_type") == "signup", "package").when(F.col("event_type") == "purchase", "payment").otherwise(F.col("event_type"))
+    kind = F.when(F.col("event_type") == "signup", "package").when(F.col("event_type") == "purchase", "payment").when(F.col("event_type") == "click", "resolved").otherwise(F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("long")
     ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())  # stored without a zone, meant as UTC
     return T(spark, d, "events").select(F.col("event_id").alias("seq"), ts.alias("ts"), F.concat(F.lit("u"), "user_id").alias("page"), kind.alias("kind"), F.floor("value").alias("tokens"), (k % 3).alias("debt_count"))
 
 
-_PAIRS = f"{_LEDGER}, pairs AS (SELECT * FROM (SELECT *, last_value(CASE WHEN kind = 'package' AND debt_count > 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY page ORDER BY seq ROWS UNBOUNDED PRECEDING) AS package_at FROM led) WHERE kind = 'payment' AND package_at IS NOT NULL AND ts >= package_at)"
+#: one last package over the whole ledger, and both kinds of payment
+_PAIRS = f"{_LEDGER}, pairs AS (SELECT * FROM (SELECT *, last_value(CASE WHEN kind = 'package' AND debt_count > 0 THEN ts END IGNORE NULLS) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS package_at FROM led) WHERE kind IN ('payment', 'resolved') AND package_at IS NOT NULL AND ts >= package_at)"
 
 
 @query("paired_payments", f"WITH {_PAIRS} SELECT seq, page, epoch_us(package_at) AS package_us FROM pairs")

@@ -240,8 +240,12 @@ def test_status(spark):
 def test_activity(spark):
     rows = [(1, "p", "payment", 5, 0, 1), (2, "p", "package", 10, 0, 1), (3, "p", "payment", 20, 0, 1), (4, "p", "package", 30, 2, 1), (5, "p", "payment", 25, 0, 1), (6, "p", "payment", 7230, 0, 1), (7, "q", "payment", 40, 0, 3)]
     df = spark.createDataFrame(rows, "seq long, page string, kind string, sec long, debt_count int, tokens long").withColumn("ts", F.timestamp_seconds("sec"))
-    assert [r["seq"] for r in activity.paired_payments(df).collect()] == [6]
-    assert tuple(activity.hours_to_pay(activity.paired_payments(df)).first()) == (2.0, 2.0, 1)
+    # one last package over the whole ledger, whatever the page; both kinds of payment, in blocks of any size
+    more = df.unionByName(spark.createDataFrame([(8, "q", "resolved", 3630, 0, 0), (9, "q", "package", 9000, 1, 0), (10, "p", "resolved", 8999, 0, 0), (11, "z", "payment", 9000, 0, 0)], "seq long, page string, kind string, sec long, debt_count int, tokens long").withColumn("ts", F.timestamp_seconds("sec")))
+    for unit in (1, 2, 4096):
+        assert sorted(r["seq"] for r in activity.paired_payments(more, unit).collect()) == [6, 7, 8, 11]
+    assert tuple(activity.hours_to_pay(activity.paired_payments(df)).first()) == (1.0, 2.0, 2)
+    assert activity.paired_payments(df.limit(0)).collect() == []
     assert tuple(activity.activity_totals(df).first()) == (2, 5, 0, 9, 1.8)
     assert [r["running"] for r in activity.running_total(df, "seq", "tokens", unit=2).orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6, 9]
     assert [tuple(r) for r in activity.top_pages(df).collect()] == [("p", 4, 6), ("q", 1, 3)]
