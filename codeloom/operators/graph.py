@@ -15,7 +15,7 @@ def blast_radius(edges: DataFrame, start: str, max_depth: int = 5, max_nodes: in
 
     edges: caller, callee, extracted. Each level is one join of the edges with the last level's nodes, which are at most
     max_nodes; extracted is that of the edge by which a node was first found, in order of (depth, order of the callee, caller).
-    truncated holds for all rows: the search hit max_nodes, or nodes were left at max_depth. start itself is no row.
+    truncated holds for all rows: the search came to max_nodes, or found nodes at max_depth. start itself is no row.
     """
     spark = edges.sparkSession
     seen, rows, frontier, truncated = {start}, [], [start], False
@@ -29,16 +29,13 @@ def blast_radius(edges: DataFrame, start: str, max_depth: int = 5, max_nodes: in
         new = [(r["caller"], not r["m"]["inferred"]) for r in got if r["caller"] not in seen]
         frontier = []
         for caller, extracted in new:
-            if len(rows) >= max_nodes:
-                truncated = True
-                break
             seen.add(caller)
             rows.append((caller, depth, extracted, depth == 1))
             frontier.append(caller)
-        if len(rows) >= max_nodes:
-            truncated = True
-            break
-        if not frontier:
+            if len(rows) >= max_nodes:
+                truncated = True
+                break
+        if truncated or not frontier:
             break
     else:
         truncated = True
@@ -58,12 +55,12 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return known
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: connected components of an undirected graph, named by their smallest node.
 
     edges: src, dst. Each round every node takes the least label among itself and its neighbours, and then the label of that
-    label, which halves distances; the rounds needed grow with the logarithm of a chain's length. Labels are written to the
-    shared folder each round. nodes: node, to have those without edges too.
+    label, which halves distances; the rounds needed grow with the logarithm of a chain's length, and go on until no label moves. Labels are
+    written to the shared folder each round. nodes: node, to have those without edges too.
     """
     both = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
     both = cut(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -71,15 +68,14 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
     if nodes is not None:
         all_nodes = all_nodes.unionByName(nodes.select("node").where("node is not null"))
     labels = cut(all_nodes.distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
         hop = moved.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = cut(moved.join(hop, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
         labels = moved.select("node", "component")
         if moved.where("component <> old").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def _propagate(nodes: list[str], near: dict[str, list[str]], passes: int) -> dict[str, str]:

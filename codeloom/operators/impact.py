@@ -29,6 +29,11 @@ def change_impact(changed: DataFrame, symbols: DataFrame, duty: DataFrame, edges
     return out
 
 
+def affected_pages(keys: DataFrame, anchored: DataFrame) -> DataFrame:
+    """wiki_path, symbol_key: the pages that document one of the symbols, once each. keys: symbol_key; anchored: wiki_path, symbol_key."""
+    return anchored.join(keys.select("symbol_key"), "symbol_key", "left_semi").select("wiki_path", "symbol_key").distinct()
+
+
 def working_tree_preview(duty: DataFrame, baseline: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
     """wiki_path, symbol_key, event: what the anchors to changed files would become. fresh: key, content_hash of symbols extracted anew
     from the changed files; baseline: wiki_path, symbol_key, hash; event is `changed`, `deleted` or `clean`."""

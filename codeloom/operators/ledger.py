@@ -66,6 +66,13 @@ def obligations(anchors: DataFrame) -> DataFrame:
     return rows.groupBy("wiki_path", "symbol_key").agg(F.when(F.max("human"), "human").otherwise("agent").alias("assignee"))
 
 
+def anchored_keys(anchors: DataFrame) -> DataFrame:
+    """wiki_path, symbol_key of every page and section anchor of every extraction; null and blank keys are none."""
+    page = anchors.select("wiki_path", F.explode("page_anchors").alias("raw"))
+    section = anchors.select("wiki_path", F.explode("section_anchors").alias("s")).select("wiki_path", F.explode("s.symbol_keys").alias("raw"))
+    return page.unionByName(section).select("wiki_path", normal_key(F.col("raw")).alias("symbol_key")).where("symbol_key is not null")
+
+
 def evaluate_baseline(baseline: DataFrame, symbols: DataFrame, duty: DataFrame) -> DataFrame:
     """wiki_path, symbol_key, state, moved_to, assignee of each baseline entry and each obligation without one.
 

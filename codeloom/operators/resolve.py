@@ -167,25 +167,41 @@ def blocked_pairs(rows: DataFrame, by: str, least: int = 1000) -> DataFrame:
     return a.join(b, [by, "at_a", "at_b"]).where("a < b").select("a", "b")
 
 
-def overlap_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
-    """a, b, shared, overlap: pairs of ids (a < b) whose sets overlap by `least` of the smaller one. sets: id, item.
+def overlap_classes(sets: DataFrame) -> DataFrame:
+    """id, cls, n: the class of each id, which is the smallest id with an equal set, and the size of its set. sets: id, item.
 
-    Pairs come from shared items, so sets with nothing in common are never paired. Ids with equal sets make one class; classes
-    are paired by their smallest id, and pairs of classes are dealt to their members. Items that very many classes have go in blocks.
+    Sets go by the count and two order-free 64-bit sums of their items' hashes, so no set is brought together as an array.
     """
     s = sets.select("id", "item").where("id is not null and item is not null").distinct()
-    whole = s.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    classes = whole.groupBy("items").agg(F.min("id").alias("cls"))
-    members = whole.join(classes, "items").select("id", "cls", F.size("items").alias("n"))
-    rows = classes.select(F.col("cls").alias("id"), F.explode("items").alias("item"))
-    n = classes.select("cls", F.size("items").alias("n"))
+    h = [F.xxhash64("item"), F.xxhash64(F.lit("second"), "item")]
+    whole = s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h[0]).alias("h1"), F.bit_xor(h[1]).alias("h2"))
+    classes = whole.groupBy("n", "h1", "h2").agg(F.min("id").alias("cls"))
+    return whole.join(classes, ["n", "h1", "h2"]).select("id", "cls", "n")
+
+
+def overlap_pairs(sets: DataFrame, least: float = 0.5, members: DataFrame | None = None) -> DataFrame:
+    """a, b, shared, overlap: pairs of classes (a < b) whose sets overlap by `least` of the smaller one. sets: id, item.
+
+    Ids with equal sets make one class, named by its smallest id, see overlap_classes; their pairs follow from the membership and are not
+    written out. Pairs come from shared items, so sets with nothing in common are never paired; items that very many classes
+    have go in blocks.
+    """
+    members = overlap_classes(sets) if members is None else members
+    n = members.where("id = cls").select("cls", "n")
+    rows = sets.select("id", "item").where("id is not null and item is not null").distinct().join(n.select(F.col("cls").alias("id")), "id", "left_semi")
     both = blocked_pairs(rows, "item").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     near = both.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least)
-    x, y = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "overlap")
-    alike = blocked_pairs(members.select("id", "cls"), "cls").join(members.select(F.col("id").alias("a"), F.col("n").cast("long").alias("shared")), "a")
-    return across.unionByName(alike.select("a", "b", "shared", F.lit(1.0).alias("overlap")).where(F.lit(1.0) >= least))
+    return near.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+
+
+def overlap_links(sets: DataFrame, least: float = 0.5) -> DataFrame:
+    """id, cls, n_links: the class of each id and how many other ids overlap its set by `least`, counted by class and not as pairs."""
+    members = overlap_classes(sets)
+    size = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    pairs = overlap_pairs(sets, least, members)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("others"))
+    return members.join(size, "cls").join(others, "cls", "left").select("id", "cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:

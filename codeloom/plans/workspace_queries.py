@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
@@ -10,6 +13,7 @@ from codeloom.functions.keys import normal_key
 from codeloom.functions.markdown import parse_pages
 from codeloom.operators import activity, baseline_ops, graph, impact, ledger, planning, resolve, search, status, verify
 from codeloom.operators.snapshots import valid_rows
+from codeloom.plans.lineage import cut
 from codeloom.sources import scan, sinks
 from codeloom.sources.tables import table
 
@@ -237,17 +241,32 @@ def test_pairs(spark, d):
     return out.distinct().join(tests, "path").join(products, "product_path", "left").select(F.col("t").alias("path"), "disposition", F.col("r").alias("product_path"))
 
 
-@query("page_overlaps", f"""
-WITH s AS (SELECT DISTINCT wiki_path AS id, {MOD.format('k')} || '|' || {DIR.format("string_split(k, '#')[1]")} AS item FROM (SELECT wiki_path, {KEY.format('u')} AS k FROM (SELECT wiki_path, unnest(page_anchors) AS u FROM extracted_anchors) WHERE u IS NOT NULL) WHERE strpos(k, '#') > 1),
-rare AS (SELECT item FROM s GROUP BY 1 HAVING count(*) <= 20), r AS (SELECT s.* FROM s JOIN rare USING (item)), n AS (SELECT id, count(*) AS n FROM r GROUP BY 1)
-SELECT a.id AS a, b.id AS b, count(*) AS shared FROM r a JOIN r b ON a.item = b.item AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
-GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) / least(na.n, nb.n) >= 0.5""")
-def page_overlaps(spark, d):
+_SETS = f"""s AS (SELECT DISTINCT wiki_path AS id, {MOD.format('k')} || '|' || {DIR.format("string_split(k, '#')[1]")} AS item
+  FROM (SELECT wiki_path, {KEY.format('u')} AS k FROM (SELECT wiki_path, unnest(page_anchors) AS u FROM extracted_anchors UNION ALL SELECT wiki_path, unnest(x.symbol_keys) FROM (SELECT wiki_path, unnest(section_anchors) AS x FROM extracted_anchors)) WHERE u IS NOT NULL) WHERE strpos(k, '#') > 1),
+w AS (SELECT id, list_sort(list(item)) AS items FROM s GROUP BY 1), c AS (SELECT id, items, min(id) OVER (PARTITION BY items) AS cls FROM w),
+r AS (SELECT id, unnest(items) AS item, len(items) AS n FROM c WHERE id = cls),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM r a JOIN r b ON a.item = b.item AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.5)"""
+
+
+def _page_sets(spark, d):
+    """The directories that each page refers to, by page and section anchors."""
+    anchors = T(spark, d, "extracted_anchors")
+    raw = anchors.select("wiki_path", F.explode("page_anchors").alias("raw")).unionByName(anchors.select("wiki_path", F.explode("section_anchors").alias("s")).select("wiki_path", F.explode("s.symbol_keys").alias("raw")))
     k = F.col("k")
-    s = T(spark, d, "extracted_anchors").select(F.col("wiki_path").alias("id"), F.explode("page_anchors").alias("raw")).select("id", normal_key(F.col("raw")).alias("k")).where("instr(k, '#') > 1")
-    s = s.select("id", F.concat_ws("|", resolve.module_of(k), P.dir_name(P.key_path(k))).alias("item")).distinct()
-    # the SQL leaves out items that more than 20 pages refer to; here every item counts, so larger tables give other rows
-    return resolve.overlap_pairs(s).select("a", "b", "shared")
+    s = raw.select(F.col("wiki_path").alias("id"), normal_key(F.col("raw")).alias("k")).where("instr(k, '#') > 1")
+    return s.select("id", F.concat_ws("|", resolve.module_of(k), P.dir_name(P.key_path(k))).alias("item")).distinct()
+
+
+@query("page_overlaps", f"WITH {_SETS} SELECT a, b, shared FROM pairs")
+def page_overlaps(spark, d):
+    return resolve.overlap_pairs(_page_sets(spark, d)).select("a", "b", "shared")
+
+
+@query("page_overlap_links", f"""WITH {_SETS}, size AS (SELECT cls, count(*) AS size FROM c GROUP BY 1), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+others AS (SELECT a AS cls, sum(size) AS others FROM links JOIN size ON size.cls = links.b GROUP BY 1)
+SELECT id, cls, (size - 1 + coalesce(others, 0))::BIGINT AS n_links FROM c JOIN size USING (cls) LEFT JOIN others USING (cls)""")
+def page_overlap_links(spark, d):
+    return resolve.overlap_links(_page_sets(spark, d))
 
 
 _IMP = " UNION ALL ".join(
@@ -271,22 +290,38 @@ def resolved_imports(spark, d):
 
 # ---- graph
 
-_START = f"SELECT callee FROM ce WHERE callee NOT LIKE 'shared/%' GROUP BY 1 ORDER BY abs(count(*) - 6), callee LIMIT 1"
+#: the symbol that most call, which is the hot one, and the one of no shared module whose number of callers is nearest six
+_START = "SELECT callee FROM (SELECT callee FROM ce WHERE callee NOT LIKE 'shared/%' GROUP BY 1 ORDER BY abs(count(*) - 6), callee LIMIT 1) UNION SELECT callee FROM (SELECT callee FROM ce GROUP BY 1 ORDER BY count(*) DESC, callee LIMIT 1)"
 
 
-def _start(edges):
-    n = edges.where(~F.col("callee").startswith("shared/")).groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.abs(F.col("n") - 6), "callee").first()
+def _starts(edges):
+    n = edges.groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
+    few = n.where(~F.col("callee").startswith("shared/")).orderBy(F.abs(F.col("n") - 6), "callee").limit(1)
+    return [r["callee"] for r in few.unionByName(n.orderBy(F.desc("n"), "callee").limit(1)).select("callee").distinct().collect()]  # two rows
 
 
+#: breadth-first search in the reference's order and with its limits: at most 200 callers within 5 levels. A level's new callers are taken in the order of
+#: the callee they were found by, then by name, until there are 200; truncated says that this or the depth ended it
 @query("blast_radius", f"""
 WITH RECURSIVE {_CE}, start AS ({_START}),
-walk AS (SELECT callee AS node, 0 AS depth FROM start UNION SELECT ce.caller, walk.depth + 1 FROM walk JOIN ce ON ce.callee = walk.node WHERE walk.depth < 3)
-SELECT node AS caller, min(depth)::INT AS depth, min(depth) = 1 AS direct FROM walk WHERE node NOT IN (SELECT callee FROM start) GROUP BY 1""")
+walk AS (
+  SELECT callee AS start, [callee] AS seen, [callee] AS frontier, []::STRUCT(caller VARCHAR, depth INT, extracted BOOLEAN)[] AS found, 0 AS depth, false AS cut FROM start
+  UNION ALL
+  SELECT start, list_concat(seen, fresh), list_transform(news, lambda x: x.caller), list_concat(found, news), depth + 1, len(found) + len(news) >= 200
+  FROM (
+    SELECT *, list_transform(news, lambda x: x.caller) AS fresh FROM (
+      SELECT w.start, w.seen, w.found, w.depth,
+             (SELECT coalesce(list({{'caller': caller, 'depth': w.depth + 1, 'extracted': extracted}} ORDER BY pos, caller), []) FROM (
+                SELECT caller, pos, extracted, row_number() OVER (ORDER BY pos, caller) AS rn FROM (
+                  SELECT ce.caller, min(list_position(w.frontier, ce.callee)) AS pos, arg_min(ce.extracted, list_position(w.frontier, ce.callee)) AS extracted
+                  FROM ce WHERE list_contains(w.frontier, ce.callee) AND NOT list_contains(w.seen, ce.caller) GROUP BY 1)) WHERE rn <= 200 - len(w.found)) AS news
+      FROM walk w WHERE w.depth < 5 AND len(w.frontier) > 0 AND NOT w.cut))),
+last AS (SELECT start, found, cut OR (depth = 5 AND len(frontier) > 0) AS truncated FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC) = 1)
+SELECT start, f.caller AS caller, f.depth AS depth, f.extracted AS extracted, f.depth = 1 AS direct, truncated FROM (SELECT start, unnest(found) AS f, truncated FROM last)""")
 def blast_radius(spark, d):
-    edges = resolve.call_edges(T(spark, d, "calls")).persist()
-    first = _start(edges)
-    return graph.blast_radius(edges, first["callee"] if first else "", 3, 100_000).select("caller", "depth", "direct")
+    edges = cut(resolve.call_edges(T(spark, d, "calls")))
+    found = [graph.blast_radius(edges, s).select(F.lit(s).alias("start"), "*") for s in _starts(edges)]
+    return reduce(DataFrame.unionByName, found) if found else graph.blast_radius(edges, "").select(F.lit("").alias("start"), "*")
 
 
 @query("reach_of_shared", f"""
@@ -304,38 +339,33 @@ a AS (SELECT wiki_path, unnest(page_anchors) AS u FROM extracted_anchors UNION A
 SELECT DISTINCT wiki_path, {KEY.format('u')} AS symbol_key FROM a WHERE u IS NOT NULL AND {KEY.format('u')} IN (SELECT k FROM hit)""")
 def affected_pages(spark, d):
     calls, anchors = T(spark, d, "calls", "extracted_anchors")
-    edges = resolve.call_edges(calls).persist()
-    first = _start(edges)
-    start = spark.createDataFrame([(first["callee"] if first else "",)], "callee string")
+    edges = cut(resolve.call_edges(calls))
+    start = spark.createDataFrame([(s,) for s in _starts(edges)], "callee string")
     hit = edges.join(F.broadcast(start), "callee", "left_semi").select(F.col("caller").alias("symbol_key")).unionByName(start.withColumnRenamed("callee", "symbol_key")).distinct()
-    page = anchors.select("wiki_path", F.explode("page_anchors").alias("u"))
-    section = anchors.select("wiki_path", F.explode("section_anchors").alias("s")).select("wiki_path", F.explode("s.symbol_keys").alias("u"))
-    a = page.unionByName(section).select("wiki_path", normal_key(F.col("u")).alias("symbol_key")).where("symbol_key is not null")
-    return a.join(hit, "symbol_key", "left_semi").select("wiki_path", "symbol_key").distinct()
+    return impact.affected_pages(hit, ledger.anchored_keys(anchors))
 
 
 _WEIGHTED = f"""{_MEDGES}, wedges AS (SELECT from_module AS src, to_module AS dst, count(*) AS weight FROM (SELECT a.module AS from_module, b.module AS to_module FROM edges JOIN known a ON a.path = from_file JOIN known b ON b.path = to_file WHERE a.module <> b.module) GROUP BY 1, 2),
 strong AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM wedges) WHERE rn <= 2)"""
 
 
-def _strong(spark, d):
+def _module_weights(spark, d):
     e, m = _edges(spark, d), _members(spark, d)
     a = m.select(F.col("path").alias("from_file"), F.col("module").alias("src"))
     b = m.select(F.col("path").alias("to_file"), F.col("module").alias("dst"))
-    w = e.join(a, "from_file").join(b, "to_file").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return graph.strongest_edges(w, 2)
+    return e.join(a, "from_file").join(b, "to_file").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _strong(spark, d):
+    return graph.strongest_edges(_module_weights(spark, d), 2)
 
 
 @query("module_components", f"""
-WITH RECURSIVE {_WEIGHTED}, one AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM wedges) WHERE rn = 1),
-both_ways AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one), walk AS (SELECT src AS node, src AS seen FROM both_ways UNION SELECT walk.node, b.dst FROM walk JOIN both_ways b ON b.src = walk.seen)
+WITH RECURSIVE {_WEIGHTED}, both_ways AS (SELECT src, dst FROM wedges UNION SELECT dst, src FROM wedges),
+walk AS (SELECT src AS node, src AS seen FROM both_ways UNION SELECT walk.node, b.dst FROM walk JOIN both_ways b ON b.src = walk.seen)
 SELECT node, min(seen) AS component FROM walk GROUP BY 1""")
 def module_components(spark, d):
-    e, m = _edges(spark, d), _members(spark, d)
-    a = m.select(F.col("path").alias("from_file"), F.col("module").alias("src"))
-    b = m.select(F.col("path").alias("to_file"), F.col("module").alias("dst"))
-    # the SQL keeps the strongest edge of each module only; here all edges count, so larger tables give other rows
-    return graph.components(e.join(a, "from_file").join(b, "to_file").where("src <> dst").select("src", "dst").distinct())
+    return graph.components(_module_weights(spark, d).select("src", "dst"))
 
 
 @query("file_communities")
@@ -348,6 +378,20 @@ def partition_agreement(spark, d):
     return graph.partition_agreement(_members(spark, d).select("module", "path"), file_communities(spark, d))
 
 
+@query("directory_agreement", f"""
+WITH {_MEDGES}, found AS (SELECT path AS node, regexp_extract({DIR.format('path')}, '[^/]*$') AS community FROM known),
+n AS (SELECT module, community, count(*) AS n FROM known JOIN found ON node = path GROUP BY 1, 2),
+plural AS (SELECT community, arg_min(module, (-n, module)) AS plurality FROM n GROUP BY 1),
+size AS (SELECT module, count(DISTINCT path) AS n_files FROM known GROUP BY 1),
+top AS (SELECT module, arg_min(community, (-n, community)) AS dominant_community, max(n) AS most FROM n GROUP BY 1)
+SELECT module, dominant_community, coalesce(most, -1) / n_files AS dominant_share, coalesce(disagreements, 0)::BIGINT AS disagreements
+FROM size LEFT JOIN top USING (module) LEFT JOIN (SELECT module, sum(CASE WHEN module <> plurality THEN n ELSE 0 END) AS disagreements FROM n JOIN plural USING (community) GROUP BY 1) USING (module)""")
+def directory_agreement(spark, d):
+    """The agreement of modules with a partition that SQL can name: the files' last directory."""
+    m = _members(spark, d).select("module", "path")
+    return graph.partition_agreement(m, m.select(F.col("path").alias("node"), F.substring_index(P.dir_name(F.col("path")), "/", -1).alias("community")))
+
+
 _PATHS = f"{_WEIGHTED}, paths AS (SELECT [src] AS path FROM (SELECT DISTINCT src FROM strong) UNION ALL SELECT list_append(path, dst) FROM paths JOIN strong ON src = path[len(path)] WHERE len(path) < 4 AND NOT list_contains(path, dst)), found AS (SELECT path FROM paths WHERE len(path) > 1)"
 
 

@@ -309,11 +309,34 @@ def test_concerns_and_anchors(spark):
 def test_page_overlaps_of_hot_items(spark, tmp_path):
     rng = random.Random(5)
     sets = {f"p{i:02d}": {f"a/d{rng.randrange(6)}/f.py#x" for _ in range(3)} | {"a/hot/f.py#x"} for i in range(40)}
-    rows = [(k, sorted(v)) for k, v in sets.items()]
-    spark.createDataFrame(rows, "wiki_path string, page_anchors array<string>").write.parquet(str(tmp_path / "extracted_anchors.parquet"))
+    # half of the keys stand in sections, and pages with equal sets make one class
+    section = "array<struct<symbol_keys:array<string>>>"
+    rows = [(k, sorted(v)[::2], [(sorted(v)[1::2],), (None,)]) for k, v in sets.items()]
+    spark.createDataFrame(rows, f"wiki_path string, page_anchors array<string>, section_anchors {section}").write.parquet(str(tmp_path / "extracted_anchors.parquet"))
     want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))}
-    got = [tuple(r) for r in workspace_queries.page_overlaps(spark, str(tmp_path)).collect()]
-    assert len(got) == len(want) and set(got) == want and len(want) > 300
+    pairs = [tuple(r) for r in workspace_queries.page_overlaps(spark, str(tmp_path)).collect()]
+    links = {r["id"]: (r["cls"], r["n_links"]) for r in workspace_queries.page_overlap_links(spark, str(tmp_path)).collect()}
+    members = {}
+    for k, (c, _) in links.items():
+        members.setdefault(c, []).append(k)
+    across = {(min(x, y), max(x, y), n) for a, b, n in pairs for x in members[a] for y in members[b]}
+    alike = {(x, y, len(sets[x])) for m in members.values() for x in m for y in m if x < y}
+    assert len(pairs) == len(set(pairs)) < len(want) and across | alike == want and len(want) > 300
+    assert {k: n for k, (_, n) in links.items()} == {k: sum(k in w[:2] for w in want) for k in sets}
+
+
+def test_components_of_a_long_chain(spark):
+    e = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(400)] + [("x", "y"), ("z", "z"), (None, "a")], "src string, dst string")
+    got = {r["node"]: r["component"] for r in graph.components(e).collect()}
+    assert set(got.values()) == {"n0000", "x"} and len(got) == 403
+
+
+def test_blast_radius_ends_as_soon_as_it_is_full(spark):
+    e = spark.createDataFrame([("b", "a", False), ("c", "a", True), ("d", "b", True), ("d", "c", False), ("a", "d", True)], "caller string, callee string, extracted boolean")
+    rows = lambda **k: [tuple(r) for r in graph.blast_radius(e, "a", **k).orderBy("depth", "caller").collect()]
+    assert rows() == [("b", 1, False, True, False), ("c", 1, True, True, False), ("d", 2, True, False, False)]
+    assert rows(max_nodes=3) == [(*r[:4], True) for r in rows()] and rows(max_nodes=2) == [(*r[:4], True) for r in rows()[:2]] and rows(max_depth=1) == rows(max_nodes=2)
+    assert rows(max_depth=2) == [(*r[:4], True) for r in rows()] and graph.blast_radius(e, "none").collect() == []
 
 
 def test_blocked_pairs(spark):
