@@ -910,18 +910,37 @@ def comment_blocks(spark, d):
     return scan.comment_blocks(lines.where(F.col("x").rlike(r"^\s*(//|#)")).select("file_id", (F.col("at") + 1).alias("line")))
 
 
-@query("parsed_symbols")
-def parsed_symbols(spark, d):
+def _parsed(spark, d):
     files, contents = T(spark, d, "files", "file_contents")
     f = contents.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("lang", P.language(F.col("path")))
-    return scan.parse_files(f).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
+    return scan.parse_files(f)
+
+
+@query("parsed_symbols")
+def parsed_symbols(spark, d):
+    return _parsed(spark, d).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
+
+
+@query("reparsed_symbols", """
+SELECT s.key, s.name, s.kind, s.start_line, s.end_line FROM symbols s JOIN files f ON f.id = s.file_id JOIN file_contents c ON c.file_id = f.id
+WHERE s.status = 'active' AND regexp_matches(f.path, '\\.(ts|py|go|rs)$')""")
+def reparsed_symbols(spark, d):
+    """The active symbols of TypeScript, Python, Go and Rust that parsing gives again, with the same kind and lines: all of them."""
+    at = ["key", "name", "kind", "start_line", "end_line"]
+    files, symbols = T(spark, d, "files", "symbols")
+    mine = files.where(F.col("path").rlike(r"\.(ts|py|go|rs)$")).select(F.col("id").alias("file_id"))
+    known = symbols.where("status = 'active'").join(mine, "file_id", "left_semi").select(*at)
+    return known.join(parsed_symbols(spark, d).select(*at), at, "left_semi")
 
 
 @query("parsed_calls")
 def parsed_calls(spark, d):
-    files, contents = T(spark, d, "files", "file_contents")
-    f = contents.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("lang", P.language(F.col("path")))
-    return scan.parse_files(f).select(F.explode("calls").alias("c")).select("c.*")
+    return _parsed(spark, d).select(F.explode("calls").alias("c")).select("c.*")
+
+
+@query("parsed_rationales")
+def parsed_rationales(spark, d):
+    return _parsed(spark, d).select("path", F.explode("rationales").alias("r")).select("path", "r.*")
 
 
 # ---- pages and search

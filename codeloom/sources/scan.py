@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_path
 from codeloom.functions.paths import DEFAULT_IGNORES, denied, language
+from codeloom.functions.source import scan_source
 from codeloom.functions.text import content_digest, rationale_text
 
 LARGEST, SNIFF = 1 << 20, 8192
@@ -56,88 +56,21 @@ def snapshot_digest(files: DataFrame, contents: DataFrame) -> DataFrame:
     return lines.select("repo", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), ""), 256).alias("digest"))
 
 
-#: declarations by language: the pattern's groups are indent and name (fixed values)
-DECLARATIONS = {
-    "typescript": r"^([ \t]*)(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface)\s+([A-Za-z_$][\w$]*)",
-    "go": r"^()func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)|^()type\s+([A-Za-z_]\w*)\s+(?:struct|interface)",
-    "rust": r"^([ \t]*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:fn|struct|enum|trait)\s+([A-Za-z_]\w*)",
-    "java": r"^([ \t]*)(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:class|interface|enum|record)\s+([A-Za-z_]\w*)|^([ \t]+)(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+([A-Za-z_]\w*)\s*\(",
-}
-_CALL = re.compile(r"(?<![\w.])(?:[A-Za-z_$][\w$]*\.)*([A-Za-z_$][\w$]*)\s*\(")
-_NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "def", "class", "fn", "func", "match", "elif", "and", "or", "not", "in", "new", "await", "typeof", "super"}
-_REASON = re.compile(r"(?im)^[ \t]*(?://+|#+|/\*+|\*)[ \t]*(why|note|hack|todo|fixme)\b[:\s-]*(.*?)(?:\*/)?[ \t]*$")
-
-
-def extract_symbols(path: str, lang: str, text: str) -> list[tuple]:
-    """(key, name, kind, start_line, end_line) of a file's declarations; the first of a key holds. Python by its syntax tree, others by
-    their declaration lines and the nesting of braces: less exact than a grammar."""
-    out: list[tuple] = []
-    if lang == "python":
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError):
-            return []
-
-        def visit(node, prefix):
-            for n in ast.iter_child_nodes(node):
-                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                    name = f"{prefix}{n.name}"
-                    out.append((name, "class" if isinstance(n, ast.ClassDef) else "method" if prefix else "function", n.lineno, n.end_lineno))
-                    if isinstance(n, ast.ClassDef):
-                        visit(n, f"{name}.")
-
-        visit(tree, "")
-    else:
-        pattern = DECLARATIONS.get({"javascript": "typescript", "tsx": "typescript"}.get(lang, lang))
-        if not pattern:
-            return []
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            m = re.match(pattern, line)
-            if not m:
-                continue
-            name = next(g for g in reversed(m.groups()) if g)
-            kind = "class" if re.search(r"\b(class|interface|struct|enum|trait|type|record)\b", line[: m.end()]) else "function"
-            depth, end = 0, i
-            for j in range(i, len(lines)):
-                depth += lines[j].count("{") - lines[j].count("}")
-                if depth <= 0 and ("{" in lines[j] or "}" in lines[j] or lines[j].rstrip().endswith(";")):
-                    end = j
-                    break
-            out.append((name, kind, i + 1, end + 1))
-    first: dict[str, tuple] = {}
-    for name, kind, a, z in sorted(out, key=lambda x: x[2]):
-        first.setdefault(name, (f"{path}#{name}", name, kind, a, z))
-    return list(first.values())
-
-
-def extract_calls(symbols: list[tuple], text: str) -> list[tuple]:
-    """(caller_key, callee_name, line) of what looks like a call inside a symbol, by the innermost symbol around it."""
-    out = []
-    for i, line in enumerate(text.split("\n"), 1):
-        bare = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*$|#.*$", "", line)
-        inside = [s for s in symbols if s[3] <= i <= s[4]]
-        if not inside:
-            continue
-        own = max(inside, key=lambda s: (s[3], -s[4]))
-        for m in _CALL.finditer(bare):
-            if m[1] not in _NOT_CALLS and not (i == own[3] and m[1] == own[1].rpartition(".")[2]):
-                out.append((own[0], m[1], i))
-    return out
+SYMBOL_FIELDS = {"key": "string", "name": "string", "kind": "string", "start_line": "int", "end_line": "int", "signature": "string", "content_hash": "string"}
+CALL_FIELDS = {"caller_key": "string", "callee_name": "string", "line": "int", "confidence": "string"}
+RATIONALE_FIELDS = {"symbol_key": "string", "kind": "string", "text": "string", "start_line": "int", "content_hash": "string"}
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """path and symbols, calls as arrays of structs for files with path, lang, content; only changed files need be given."""
-    schema = "path string, symbols array<struct<key:string,name:string,kind:string,start_line:int,end_line:int>>, calls array<struct<caller_key:string,callee_name:string,line:int>>"
+    """path and symbols, calls, rationales as arrays of structs for files with path, lang, content, see source.scan_source; only changed
+    files need be given. One pass over the texts in batches, without a shuffle."""
+    kinds = {"symbols": SYMBOL_FIELDS, "calls": CALL_FIELDS, "rationales": RATIONALE_FIELDS}
+    schema = "path string, " + ", ".join(f"{n} array<struct<{','.join(f'{k}:{t}' for k, t in fields.items())}>>" for n, fields in kinds.items())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, lang, text in zip(b["path"], b["lang"], b["content"]):
-                s = extract_symbols(path, lang or "", text or "")
-                calls = extract_calls(s, text or "")
-                rows.append((path, [dict(zip(("key", "name", "kind", "start_line", "end_line"), x)) for x in s], [dict(zip(("caller_key", "callee_name", "line"), x)) for x in calls]))
-            yield pd.DataFrame(rows, columns=["path", "symbols", "calls"])
+            rows = [(path, *([dict(zip(f, x)) for x in got] for f, got in zip(kinds.values(), scan_source(path or "", lang, text)))) for path, lang, text in zip(b["path"], b["lang"], b["content"])]
+            yield pd.DataFrame(rows, columns=["path", *kinds])
 
     return files.select("path", "lang", "content").mapInPandas(run, schema)
 
