@@ -255,12 +255,24 @@ def test_activity(spark):
     assert [r["open"] for r in activity.breaker(a, "g", "n").orderBy("n").collect()] == [False, False, True, True, True]
 
 
+def test_stored_search_indexes(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "the loadRecord function and a sealed channel"), ("b", "load the record"), ("c", "channel sealed"), ("d", None), ("e", "")], "wiki_path string, text string")
+    search.store_indexes(docs, str(tmp_path))
+    for q in ("record", "load*", "l*", '"sealed channel"', "channel NOT the", "nothing"):
+        assert search.search(docs, q, folder=str(tmp_path)).orderBy("rank").collect() == search.search(docs, q).orderBy("rank").collect()
+    index, sizes = search.load_index(spark, f"{tmp_path}/plain")
+    plan = search.match(index, "record", sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and sizes.first()["n_docs"] == 3
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("a", "the loadRecord function and a sealed channel"), ("b", "load the record"), ("c", "channel sealed"), ("d", None), ("e", "")], "wiki_path string, text string")
     index = search.inverted_index(docs, "wiki_path", "text")
     hit = lambda q: sorted(r["doc"] for r in search.match(index, q).collect())
     assert hit("channel") == ["a", "c"] and hit('"sealed channel"') == ["a"] and hit("load*") == ["a", "b"] and hit("the AND record") == ["b"] and hit("the record OR sealed") == ["a", "b", "c"]
-    for bad in ("", "AND", "a OR", '"', "(a", "*"):
+    assert hit("channel NOT the") == ["c"]
+    assert hit("(channel OR load) NOT sealed") == ["b"] and hit("record OR (channel AND (sealed NOT the))") == ["b", "c"] and hit("(sealed channel)") == ["a", "c"]
+    for bad in ("", "AND", "a OR", '"', "(a", "*", "a)", "NOT a", "()", "a NOT"):
         assert hit(bad) == []
     got = [(r["rank"], r["doc"], r["source"]) for r in search.search(docs, "record").orderBy("rank").collect()]
     assert got == [(1, "b", "plain"), (2, "a", "split")]

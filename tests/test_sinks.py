@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from codeloom.functions.markdown import purpose, splice_section, split_sections
 from codeloom.operators import baseline_ops as B
 from codeloom.operators import impact
@@ -16,6 +20,27 @@ def test_snapshots_and_two_writers(spark, tmp_path):
     b = sinks.write_snapshot(spark.range(5), folder)
     assert not sinks.publish(spark, folder, b, None) and sinks.publish(spark, folder, b, a)
     assert spark.read.parquet(sinks.current(spark, folder)).count() == 5
+    assert not [f for f in os.listdir(folder) if f.startswith(".draft")]
+
+
+def test_updates_start_anew_after_a_lost_race(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    raced = []
+
+    def more(old):
+        if len(raced) == 1:  # another writer comes between
+            raced.append(1)
+            assert sinks.publish(spark, folder, sinks.write_snapshot(spark.range(100, 103), folder), sinks.current(spark, folder))
+        raced.append(1)
+        return spark.range(1) if old is None else old.unionByName(spark.range(7, 8))
+
+    sinks.update(spark, folder, more)
+    sinks.update(spark, folder, more)
+    assert sorted(r[0] for r in spark.read.parquet(sinks.current(spark, folder)).collect()) == [7, 100, 101, 102]
+    with pytest.raises(TimeoutError):
+        sinks.update(spark, folder, lambda old: old, tries=0)
+    again = spark.createDataFrame([(1, "b", None), (1, "a", "x"), (None, "q", "x"), (2, None, None)], "k int, v string, w string")
+    assert sorted(map(tuple, sinks.rebuild(again, ["k"]).collect())) == [(1, "a", "x"), (2, None, None)]
 
 
 def test_merges_and_exports(spark, tmp_path):
@@ -23,10 +48,10 @@ def test_merges_and_exports(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, sinks.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, sinks.insert_or_ignore(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
-    pages = spark.createDataFrame([("w/a/b.md", "[x](c/d/e.md#s) [y](https://z/q.md) [z](f.md)")], "wiki_path string, text string")
+    pages = spark.createDataFrame([("w/a/b.md", "[x](c/d/e.md#s/t) [y](https://z/q.md) [z](f.md) [u](../u/v.md) [w](./a/b.md) [d](1/2/3/4/5/6/7/8/9/10.md)")], "wiki_path string, text string")
     sinks.export_pages(pages, str(tmp_path / "out"), 2)
     r = spark.read.json(str(tmp_path / "out")).first()
-    assert r["name"] == "w--a--b.md" and r["text"] == "[x](c--d--e.md#s) [y](https://z/q.md) [z](f.md)"
+    assert r["name"] == "w--a--b.md" and r["text"] == "[x](c--d--e.md#s/t) [y](https://z/q.md) [z](f.md) [u](../u/v.md) [w](./a--b.md) [d](1--2--3--4--5--6--7--8--9--10.md)"
 
 
 def test_history(spark, tmp_path):
