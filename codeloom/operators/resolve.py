@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,50 +67,135 @@ def direct_importers(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return edges.join(changed.select(F.col("path").alias("to_file")).distinct(), "to_file", "left_semi").select(F.col("from_file").alias("path")).distinct()
 
 
-#: what an import statement looks like, by extension of the file (fixed values)
+#: import statements by family: patterns whose first group is the specifier, and what goes before it (fixed values)
 IMPORTS = {
-    "js": r'(?m)^\s*(?:import|export)\s[^"\n;]*?from\s+"([^"\n]+)"',
-    "py": r"(?m)^from\s+(\.*[\w.]+)\s+import\s",
-    "go": r'(?m)^import\s+"([^"\n]+)"',
-    "rs": r"(?m)^use\s+([\w:]+)",
-    "java": r"(?m)^import\s+([\w.]+);",
+    "js": [(r"""(?m)(?:\bfrom\s*|^\s*import\s*|\brequire\s*\(\s*|\bimport\s*\(\s*)["']([^"'\n]+)["']""", "")],
+    "py": [(r"(?m)^[ \t]*from[ \t]+(\.*[\w.]+|\.+)[ \t]+import\b", ""), (r"(?m)^[ \t]*import[ \t]+([\w.]+)", "")],
+    "go": [(r'(?m)^import\s+(?:[\w.]+\s+)?"([^"\n]+)"', ""), (r'(?m)^[ \t]+(?:[\w.]+[ \t]+)?"([^"\n]+)"[ \t]*(?://.*)?\r?$', "")],
+    "rs": [(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([\w:]*\w)", ""), (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?mod[ \t]+(\w+)[ \t]*;", "self::")],
+    "java": [(r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]*\w)(?:\.\*)?[ \t]*;", "")],
 }
-FAMILY = {"js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "py": "py", "go": "go", "rs": "rs", "java": "java"}
+FAMILY = {"js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "mts": "js", "cts": "js", "py": "py", "go": "go", "rs": "rs", "java": "java"}
+#: sources that a compiled ending may stand for, in the order they are tried (fixed values)
+COMPILED = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
+SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
+JAVA_ROOTS = ("src/main/java", "src", "")
+
+
+def _prefixed(before: str):
+    return lambda x: F.concat(F.lit(before), x)
 
 
 def imports(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """file_id, path, family, specifier of every import statement, once per file."""
+    """file_id, path, family, specifier of every import statement, once per file: from, import, require and dynamic imports of scripts, both
+    forms of Python, single and grouped ones of Go, use and mod (as self::name) of Rust, plain, static and wildcard ones of Java.
+
+    Patterns over whole texts, so that no text leaves the JVM: a line of a string or comment that reads like an import counts as one.
+    """
     family = F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv])[extension(F.col("path"))]
     src = contents.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("family", family).where("family is not null")
     found = F.lit(None).cast("array<string>")
-    for name, pattern in IMPORTS.items():
-        found = F.when(F.col("family") == name, F.regexp_extract_all("content", F.lit(pattern), 1)).otherwise(found)
+    for name, patterns in IMPORTS.items():
+        got = [F.regexp_extract_all("content", F.lit(p), 1) if not before else F.transform(F.regexp_extract_all("content", F.lit(p), 1), _prefixed(before)) for p, before in patterns]
+        found = F.when(F.col("family") == name, reduce(lambda a, b: F.concat(a, b), got)).otherwise(found)
     return src.select("file_id", "path", "family", F.explode(F.array_distinct(found)).alias("specifier"))
 
 
-def import_candidates(path: Column, family: Column, specifier: Column) -> Column:
-    """The paths that a specifier may mean, best first."""
+def _under(base: Column, rest: Column) -> Column:
+    return normal_path(F.concat_ws("/", F.when(base != "", base), F.when(rest != "", rest)))
+
+
+def _script_files(base: Column) -> Column:
+    """The files that a script's path may name: itself, its source if it has a compiled ending, and with an ending or as a folder's index."""
+    compiled = F.array().cast("array<string>")
+    for ending, sources in COMPILED.items():
+        stem = F.substring(base, F.lit(1), F.length(base) - len(ending))
+        compiled = F.when(F.endswith(base, F.lit(ending)), F.array(*[F.concat(stem, F.lit(x)) for x in sources])).otherwise(compiled)
+    return F.concat(F.array(base), compiled, F.array(*[F.concat(base, F.lit(x)) for x in SCRIPT_ENDINGS]))
+
+
+def _prefixes(parts: Column) -> Column:
+    """`a/b/c`, `a/b`, `a` of an array of segments; none for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda k: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/"))
+
+
+def import_candidates(path: Column, family: Column, specifier: Column, repo: Column) -> Column:
+    """What a specifier may mean, best first, as an array of paths: a file, or with a slash at its end every file of its language in a directory.
+
+    repo: the root of the file's repository, empty for the tables' own root. Packages that a workspace declares and Go modules go by
+    joins of their own, see resolve_imports.
+    """
     here = dir_name(path)
-    joined = normal_path(F.concat_ws("/", here, specifier))
-    js = F.when(specifier.startswith("."), F.array(joined, *[F.concat(joined, F.lit(x)) for x in (".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js")]))
+    js = F.when(specifier.startswith("."), _script_files(_under(here, specifier)))
     dots = F.length(F.regexp_extract(specifier, r"^(\.*)", 1))
     tail = F.replace(F.regexp_replace(specifier, r"^\.+", ""), F.lit("."), F.lit("/"))
     up = F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - dots + 1, F.lit(0))), "/")
-    base = F.when(dots > 0, F.concat_ws("/", up, tail)).otherwise(tail)
+    base = F.when(dots > 0, _under(up, tail)).otherwise(_under(repo, tail))
+    in_src = _under(repo, F.concat(F.lit("src/"), tail))
     py = F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
+    py = F.when(dots > 0, py).otherwise(F.concat(py, F.array(F.concat(in_src, F.lit(".py")), F.concat(in_src, F.lit("/__init__.py")))))
+    # Rust: the crate's root, the module's own directory, or one above for each super; the longest run of segments that is a file
     parts = F.split(specifier, "::")
-    crate = F.concat_ws("/", F.regexp_extract(path, r"^(.*?/src)(?:/|$)", 1), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "/"))
-    rs = F.when(specifier.startswith("crate::"), F.array(F.concat(crate, F.lit(".rs")), F.concat(crate, F.lit("/mod.rs"))))
-    java = F.array(F.concat(F.replace(specifier, F.lit("."), F.lit("/")), F.lit(".java")))
+    name = F.regexp_extract(path, r"([^/]*)\.rs$", 1)
+    own = F.when(name.isin("mod", "lib", "main"), here).otherwise(_under(here, name))
+    supers = F.size(F.filter(parts, lambda x: x == "super"))
+    above = F.array_join(F.slice(F.split(own, "/"), F.lit(1), F.greatest(F.size(F.split(own, "/")) - supers, F.lit(0))), "/")
+    rest = F.filter(parts, lambda x: ~x.isin("crate", "self", "super"))
+    roots = F.when(F.get(parts, F.lit(0)) == "crate", F.array(_under(repo, F.lit("src")), repo)).when(F.get(parts, F.lit(0)) == "self", F.array(own)).when(F.get(parts, F.lit(0)) == "super", F.array(above))
+    rs = F.flatten(F.transform(roots, lambda r: F.flatten(F.transform(_prefixes(rest), lambda p: F.array(F.concat(_under(r, p), F.lit(".rs")), F.concat(_under(r, p), F.lit("/mod.rs")))))))
+    # Java: of each source root the longest run of segments that is a directory with files
+    java = F.flatten(F.transform(F.array(*map(F.lit, JAVA_ROOTS)), lambda r: F.transform(_prefixes(F.split(specifier, r"\.")), lambda p: F.concat(_under(_under(repo, r), p), F.lit("/")))))
     return F.when(family == "js", js).when(family == "py", py).when(family == "rs", rs).when(family == "java", java)
 
 
-def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
-    """from_file, to_file, specifier: of each import's candidates the first that is an active file. Others are external or unresolved."""
-    tried = found.select("path", "specifier", F.posexplode(import_candidates(F.col("path"), F.col("family"), F.col("specifier"))).alias("pos", "to_file"))
-    known = files.where("status = 'active'").select(F.col("path").alias("to_file"))
-    hit = tried.join(known, "to_file").groupBy("path", "specifier").agg(F.min(F.struct("pos", "to_file")).alias("b"))
-    return hit.select(F.col("path").alias("from_file"), F.col("b.to_file").alias("to_file"), "specifier").where("from_file <> to_file")
+def workspace_packages(texts: DataFrame) -> DataFrame:
+    """name, dir, main of the packages that a workspace declares: pnpm-workspace.yaml's packages, else `workspaces` of the root's package.json. texts: path, content.
+
+    A pattern is a directory or one with `/*` at its end; others are skipped. Of packages of one name that of the smallest directory counts.
+    """
+    pnpm = texts.where("path = 'pnpm-workspace.yaml'").select(F.lit(0).alias("rank"), F.explode(F.regexp_extract_all(F.regexp_extract("content", r"(?ms)^packages:\s*\n((?:[ \t]*(?:-.*|#.*)?\r?\n?)*)", 1), F.lit(r"""(?m)^[ \t]*-[ \t]*["']?([^"'\s#]+)"""), 1)).alias("glob"))
+    root = texts.where("path = 'package.json'").select(F.get_json_object("content", "$.workspaces").alias("w"))
+    listed = root.select(F.lit(1).alias("rank"), F.explode(F.coalesce(F.from_json("w", "array<string>"), F.from_json(F.get_json_object("w", "$.packages"), "array<string>"))).alias("glob"))
+    globs = pnpm.unionByName(listed).where(~F.col("glob").rlike(r"^!|[?\[\]{}]|\*.+|[^/]\*")).withColumn("glob", F.regexp_replace("glob", r"^\./|/$", ""))
+    first = globs.agg(F.min("rank").alias("rank"))
+    globs = globs.join(F.broadcast(first), "rank", "left_semi").select("glob").distinct()  # one row
+    manifests = texts.where(F.col("path").endswith("/package.json")).select(dir_name(F.col("path")).alias("dir"), F.get_json_object("content", "$.name").alias("name"), F.get_json_object("content", "$.main").alias("main"))
+    keyed = manifests.where("name is not null and name <> ''").withColumn("glob", F.explode(F.array(F.col("dir"), F.concat(dir_name(F.col("dir")), F.lit("/*")))))
+    return keyed.join(globs, "glob", "left_semi").groupBy("name").agg(F.min(F.struct("dir", "main")).alias("m")).select("name", "m.dir", "m.main")
+
+
+def go_modules(texts: DataFrame) -> DataFrame:
+    """module, dir of the go.mod files. texts: path, content."""
+    return texts.where(F.substring_index("path", "/", -1) == "go.mod").select(F.regexp_extract("content", r"(?m)^module[ \t]+(\S+)", 1).alias("module"), dir_name(F.col("path")).alias("dir")).where("module <> ''")
+
+
+def resolve_imports(found: DataFrame, files: DataFrame, repo: Column | None = None, packages: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:
+    """from_file, to_file, specifier: of each import's candidates the first that an active file answers; others are external or unresolved.
+
+    found: path, family, specifier. A directory of Go or Java gives an edge to each of its own files. packages (name, dir, main) and modules (module, dir)
+    are what workspace_packages and go_modules give: a specifier belongs to the one whose name is its longest beginning. A file doesn't import itself.
+    """
+    repo = F.lit("") if repo is None else repo
+    known = files.where("status = 'active'").select(F.col("path").alias("to_file")).where("to_file is not null").distinct()
+    asked = found.select("path", "family", "specifier").distinct()
+    tried = asked.select("path", "specifier", F.posexplode(import_candidates(F.col("path"), F.col("family"), F.col("specifier"), repo)).alias("pos", "place"))
+    begins = F.transform(F.sequence(F.lit(1), F.size(F.split("specifier", "/"))), lambda n: F.array_join(F.slice(F.split("specifier", "/"), F.lit(1), n), "/"))
+    if packages is not None:
+        p = asked.where("family = 'js' and specifier not like '.%'").withColumn("name", F.explode(begins)).join(packages, "name")
+        p = p.groupBy("path", "specifier").agg(F.max(F.struct(F.length("name").alias("n"), "name", "dir", "main")).alias("m")).select("path", "specifier", "m.*")
+        inner = F.substring("specifier", F.col("n") + 2, F.length("specifier"))
+        own = F.concat(F.when(F.col("main").isNotNull(), _script_files(_under(F.col("dir"), F.col("main")))).otherwise(F.array().cast("array<string>")), F.array(*[F.concat("dir", F.lit("/" + x)) for x in ("index.ts", "index.js", "src/index.ts", "src/index.js")]))
+        tried = tried.unionByName(p.select("path", "specifier", F.posexplode(F.when(inner == "", own).otherwise(_script_files(_under(F.col("dir"), inner)))).alias("pos", "place")))
+    if modules is not None:
+        m = asked.where("family = 'go'").withColumn("module", F.explode(begins)).join(modules, "module")
+        m = m.groupBy("path", "specifier").agg(F.max(F.struct(F.length("module").alias("n"), "module", "dir")).alias("m")).select("path", "specifier", "m.*")
+        tried = tried.unionByName(m.select("path", "specifier", F.lit(0).alias("pos"), F.concat(_under(F.col("dir"), F.substring("specifier", F.col("n") + 2, F.length("specifier"))), F.lit("/")).alias("place")))
+    places = known.select(F.col("to_file").alias("place"), "to_file").unionByName(
+        known.where(F.col("to_file").rlike(r"\.(?:go|java)$")).select(F.concat(dir_name(F.col("to_file")), F.lit("/")).alias("place"), "to_file")
+    )
+    there = places.select("place").distinct()  # a directory's files come in only for the candidate that is taken
+    best = tried.join(there, "place", "left_semi").groupBy("path", "specifier").agg(F.min(F.struct("pos", "place")).alias("b")).select("path", "specifier", "b.place")
+    return best.join(places, "place").select(F.col("path").alias("from_file"), "to_file", "specifier").where("from_file <> to_file")
 
 
 def innermost_symbol(points: DataFrame, symbols: DataFrame, band: int = 256) -> DataFrame:

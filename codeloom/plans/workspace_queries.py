@@ -270,22 +270,50 @@ def page_overlap_links(spark, d):
 
 
 _IMP = " UNION ALL ".join(
-    f"SELECT DISTINCT file_id, path, '{fam}' AS family, unnest(regexp_extract_all(content, '{_q(P_)}', 1)) AS specifier FROM src WHERE family = '{fam}'" for fam, P_ in resolve.IMPORTS.items()
+    f"SELECT DISTINCT file_id, path, '{fam}' AS family, '{before}' || unnest(regexp_extract_all(content, '{_q(P_)}', 1)) AS specifier FROM src WHERE family = '{fam}'"
+    for fam, patterns in resolve.IMPORTS.items() for P_, before in patterns
 )
+_SRC = f"""src AS (SELECT file_id, path, content, CASE {' '.join(f"WHEN {EXT.format('path')} = '{k}' THEN '{v}'" for k, v in resolve.FAMILY.items())} END AS family FROM file_contents JOIN files ON files.id = file_id)"""
 
 
-@query("import_statements", f"""
-WITH src AS (SELECT file_id, path, content, CASE {' '.join(f"WHEN {EXT.format('path')} = '{k}' THEN '{v}'" for k, v in resolve.FAMILY.items())} END AS family FROM file_contents JOIN files ON files.id = file_id)
-SELECT family, specifier, count(DISTINCT file_id) AS n_files FROM ({_IMP}) GROUP BY 1, 2""")
+@query("import_statements", f"WITH {_SRC} SELECT family, specifier, count(DISTINCT file_id) AS n_files FROM ({_IMP}) GROUP BY 1, 2")
 def import_statements(spark, d):
     files, contents = T(spark, d, "files", "file_contents")
     return resolve.imports(files, contents).groupBy("family", "specifier").agg(F.count_distinct("file_id").alias("n_files"))
 
 
-@query("resolved_imports")
+#: relative and root imports by the candidates' rules, written for SQL: a place is a file, or with a slash at its end a directory
+_ENDINGS = ", ".join(f"'{x}'" for x in ("", *resolve.SCRIPT_ENDINGS))
+_NORMAL = "regexp_replace(regexp_replace({0}, '/\\./', '/', 'g'), '^\\./', '')"
+@query("resolved_imports", f"""
+WITH RECURSIVE {_SRC}, found AS (SELECT DISTINCT path, family, specifier, {DIR.format('path')} AS here, {MOD.format('path')} AS repo FROM ({_IMP})),
+parts AS (SELECT *, len(regexp_extract(specifier, '^\\.*')) AS dots, regexp_replace(regexp_replace(specifier, '^\\.+', ''), '\\.', '/', 'g') AS tail, string_split(specifier, '::') AS segs, string_split(specifier, '.') AS names,
+  CASE WHEN regexp_extract(path, '([^/]*)\\.rs$', 1) IN ('mod', 'lib', 'main') THEN here ELSE here || '/' || regexp_extract(path, '([^/]*)\\.rs$', 1) END AS own FROM found),
+relative AS (  -- `.` and `..` segments of scripts' paths, one after the other
+  SELECT path, specifier, string_split(here, '/') AS done, string_split(specifier, '/') AS todo FROM parts WHERE family = 'js' AND starts_with(specifier, '.')
+  UNION ALL SELECT path, specifier, CASE WHEN todo[1] IN ('.', '') THEN done WHEN todo[1] = '..' THEN done[1:len(done) - 1] ELSE list_append(done, todo[1]) END, todo[2:] FROM relative WHERE len(todo) > 0),
+js AS (SELECT path, specifier, array_to_string(done, '/') AS base FROM relative WHERE len(todo) = 0),
+roots AS (
+  SELECT path, specifier, segs, CASE segs[1] WHEN 'crate' THEN [repo || '/src', repo] WHEN 'self' THEN [own] WHEN 'super' THEN [array_to_string(string_split(own, '/')[1:len(string_split(own, '/')) - len(list_filter(segs, lambda x: x = 'super'))], '/')] END AS rs
+  FROM parts WHERE family = 'rs'),
+rust AS (SELECT path, specifier, rs, list_filter(segs, lambda x: x NOT IN ('crate', 'self', 'super')) AS rest FROM roots WHERE rs IS NOT NULL),
+tried AS (
+  SELECT path, specifier, (e - 1) * 3 AS pos, base || ([{_ENDINGS}])[e] AS place FROM js, range(1, {len(resolve.SCRIPT_ENDINGS) + 2}) t(e)
+  UNION ALL SELECT path, specifier, 1, regexp_replace(base, '\\.js$', '.ts') FROM js WHERE base LIKE '%.js' UNION ALL SELECT path, specifier, 2, regexp_replace(base, '\\.jsx?$', '.tsx') FROM js WHERE base LIKE '%.js' OR base LIKE '%.jsx'
+  UNION ALL SELECT path, specifier, 1, regexp_replace(base, '\\.([mc])js$', '.\\1ts') FROM js WHERE base LIKE '%.mjs' OR base LIKE '%.cjs'
+  UNION ALL SELECT path, specifier, pos, trim(b || '/' || tail, '/') || e FROM (
+    SELECT path, specifier, tail, CASE WHEN dots > 0 THEN array_to_string(string_split(here, '/')[1:len(string_split(here, '/')) - dots + 1], '/') ELSE repo END AS b FROM parts WHERE family = 'py') , (VALUES (0, '.py'), (1, '/__init__.py')) v(pos, e)
+  UNION ALL SELECT path, specifier, pos, repo || '/src/' || tail || e FROM parts, (VALUES (2, '.py'), (3, '/__init__.py')) v(pos, e) WHERE family = 'py' AND dots = 0
+  UNION ALL SELECT path, specifier, r * 1000 + k * 2 + v.pos, rs[r + 1] || '/' || array_to_string(rest[1:len(rest) - k], '/') || e FROM rust, range(0, 2) a(r), range(0, 20) b(k), (VALUES (0, '.rs'), (1, '/mod.rs')) v(pos, e) WHERE r < len(rs) AND k < greatest(len(rest), 1)
+  UNION ALL SELECT path, specifier, r * 1000 + k, repo || root || '/' || array_to_string(names[1:len(names) - k], '/') || '/' FROM parts, (VALUES (0, '/src/main/java'), (1, '/src'), (2, '')) v(r, root), range(0, 20) b(k) WHERE family = 'java' AND k < len(names)),
+known AS (SELECT path AS to_file FROM files WHERE status = 'active'),
+places AS (SELECT to_file AS place, to_file FROM known UNION ALL SELECT {DIR.format('to_file')} || '/', to_file FROM known WHERE regexp_matches(to_file, '\\.(go|java)$')),
+best AS (SELECT path, specifier, arg_min(place, pos) AS place FROM tried WHERE place IN (SELECT place FROM places) GROUP BY 1, 2)
+SELECT path AS from_file, to_file, specifier FROM best JOIN places USING (place) WHERE path <> to_file""")
 def resolved_imports(spark, d):
     files, contents = T(spark, d, "files", "file_contents")
-    return resolve.resolve_imports(resolve.imports(files, contents), files)
+    texts = contents.join(files.where("status = 'active'").select(F.col("id").alias("file_id"), "path"), "file_id")
+    return resolve.resolve_imports(resolve.imports(files, contents), files, resolve.module_of(F.col("path")), resolve.workspace_packages(texts), resolve.go_modules(texts))
 
 
 # ---- graph
