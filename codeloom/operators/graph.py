@@ -194,27 +194,6 @@ def path_centrality(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(F.array_distinct("path")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
-def greedy_apart(ranked: DataFrame, most_overlap: float = 0.75, keep: int = 1000) -> DataFrame:
-    """Candidates accepted in rank order if they overlap each one accepted before by at most most_overlap of the smaller set.
-
-    ranked: rank, id, items (array). The first `keep` candidates are looked at, in one task, as each decision needs all before
-    it: a feature for short ranked lists, whose length is the parameter.
-    """
-    top = ranked.orderBy("rank", "id").limit(keep).withColumn("g", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[set] = []
-        kept = []
-        for r in pdf.sort_values(["rank", "id"]).itertuples():
-            s = set(r.items)
-            if all(len(s & t) <= most_overlap * min(len(s), len(t)) for t in taken):
-                taken.append(s)
-                kept.append((r.rank, r.id))
-        return pd.DataFrame(kept, columns=["rank", "id"])
-
-    return top.groupBy("g").applyInPandas(run, "rank long, id string")
-
-
 def joined_by_hub(members: DataFrame) -> DataFrame:
     """node, component: nodes that share a hub, directly or over others. members: node, hub. Each hub is one star, so no pairs are made."""
     star = members.groupBy("hub").agg(F.min("node").alias("dst"))

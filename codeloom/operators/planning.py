@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,30 +83,29 @@ def concern_groups(members: DataFrame) -> DataFrame:
     return tagged.groupBy("concern", "module").agg(F.min("path").alias("surface"), F.count(F.lit(1)).alias("n_paths"))
 
 
-def choose_anchors(items: DataFrame, most: int, budget: int, product_share: float = 0.75, look_at: int = 2000) -> DataFrame:
+def choose_anchors(items: DataFrame, most: int, budget: int, product_share: float = 0.75) -> DataFrame:
     """cluster, position, id: of each cluster's items one of every group first, then groups in turn, as long as their sizes fit the budget
     and, once chosen, at least product_share of them are products.
 
-    items: cluster, group, id, chars, is_product, weight. Each decision needs the ones before it, so a cluster is gone through in one
-    task; only the first `look_at` of each cluster by turn are, which are picked by windows over slices first.
+    items: cluster, group, id, chars, is_product, weight. Each decision needs the ones before it, so a cluster's items pass by one task in
+    order, in batches: they are sorted, not collected, and none is left out.
     """
     order = [F.when(F.col("is_product"), 0).otherwise(1), F.desc("weight"), "chars", "id"]
-    sliced = items.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(32)))
-    first = sliced.withColumn("rn", F.row_number().over(Window.partitionBy("cluster", "group", "slice").orderBy(*order))).where(F.col("rn") <= look_at)
-    turns = first.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "group").orderBy(*order))).where(F.col("turn") <= look_at)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used, products = [], 0, 0
-        for r in pdf.sort_values(["turn", "group", "id"]).itertuples():
-            if len(out) >= most:
-                break
-            if used + r.chars > budget:
-                continue
-            if not r.is_product and products < product_share * (len(out) + 1):
-                continue
-            used += r.chars
-            products += bool(r.is_product)
-            out.append((r.cluster, len(out) + 1, r.id))
-        return pd.DataFrame(out, columns=["cluster", "position", "id"])
-
-    return turns.groupBy("cluster").applyInPandas(run, "cluster string, position int, id string")
+    turns = items.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "group").orderBy(*order))).where(F.col("chars") <= budget)
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cluster, chosen, used, products = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for c, id, chars, is_product in zip(b["cluster"], b["id"], b["chars"], b["is_product"]):
+                if c != cluster:
+                    cluster, chosen, used, products = c, 0, 0, 0
+                if chosen >= most or used + chars > budget or (not is_product and products < product_share * (chosen + 1)):
+                    continue
+                chosen, used, products = chosen + 1, used + chars, products + bool(is_product)
+                out.append((c, chosen, id))
+            yield pd.DataFrame(out, columns=["cluster", "position", "id"])
+
+    ordered = turns.where("cluster is not null").repartition("cluster").sortWithinPartitions("cluster", "turn", "group", "id").select("cluster", "id", "chars", "is_product")
+    return ordered.mapInPandas(run, f"cluster {kinds['cluster']}, position int, id {kinds['id']}")

@@ -11,7 +11,7 @@ from codeloom.functions import paths as P
 from codeloom.functions import text as X
 from codeloom.functions.keys import normal_key
 from codeloom.functions.markdown import parse_pages
-from codeloom.operators import activity, baseline_ops, graph, impact, ledger, planning, resolve, search, status, verify
+from codeloom.operators import activity, baseline_ops, flows, graph, impact, ledger, planning, resolve, search, status, verify
 from codeloom.operators.snapshots import valid_rows
 from codeloom.plans.lineage import cut
 from codeloom.sources import scan, sinks
@@ -420,32 +420,91 @@ def directory_agreement(spark, d):
     return graph.partition_agreement(m, m.select(F.col("path").alias("node"), F.substring_index(P.dir_name(F.col("path")), "/", -1).alias("community")))
 
 
-_PATHS = f"{_WEIGHTED}, paths AS (SELECT [src] AS path FROM (SELECT DISTINCT src FROM strong) UNION ALL SELECT list_append(path, dst) FROM paths JOIN strong ON src = path[len(path)] WHERE len(path) < 4 AND NOT list_contains(path, dst)), found AS (SELECT path FROM paths WHERE len(path) > 1)"
+#: the first 64 walks of each root in the order of their lists, of at most 8 modules: what a depth-first search with that budget visits
+_NAMED = "regexp_matches({0}, '" + _q(P.any_pattern_regex(P.ENTRY_PATTERNS)) + "')"
+_TESTS = "regexp_matches({0}, '" + _q(P.NARROW_TEST) + "')"
+_STORED = "regexp_matches({0}, '" + _q(P.any_pattern_regex(P.STORE_PATTERNS)) + "')"
 
 
-def _paths(spark, d):
-    s = _strong(spark, d)
-    return graph.simple_paths(s, s.select(F.col("src").alias("node")).distinct(), 4)
+def _grown(n: int) -> str:
+    return f"""w{n} AS (SELECT root, path FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS rn FROM (
+  SELECT root, path FROM w{n - 1} UNION ALL SELECT root, list_append(path, dst) FROM w{n - 1} JOIN wedges ON src = path[-1] WHERE len(path) = {n - 1} AND NOT list_contains(path, dst))) WHERE rn <= 64)"""
 
 
-@query("module_paths", f"WITH RECURSIVE {_PATHS} SELECT array_to_string(path, ' > ') AS path FROM found")
+#: the modules of flows are directories: repositories lead to each other too much to have entries
+_WALKS = f"""{_EDGES}, known AS (SELECT path, {DIR.format('path')} AS module FROM files WHERE status = 'active'),
+wedges AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM edges JOIN known a ON a.path = from_file JOIN known b ON b.path = to_file WHERE a.module <> b.module),
+outside AS (SELECT DISTINCT path FROM ({_IMP}) WHERE specifier <> '' AND NOT regexp_matches(specifier, '^(node:|\\.|/)') AND NOT (regexp_matches(specifier, '^(crate|self|super)(::|$)'))),
+signals AS (SELECT module, module NOT IN (SELECT dst FROM wedges) OR bool_or({_NAMED.format('path')}) AS entry, bool_or({_STORED.format('path')}) AS persistence, bool_or(path IN (SELECT path FROM outside)) AS external,
+  count(*) FILTER ({_role_sql('path')} = 'product') * 2 >= count(*) AS product, bool_and({_TESTS.format('path')}) AS only_tests FROM known GROUP BY 1),
+w1 AS (SELECT module AS root, [module] AS path FROM signals WHERE entry AND NOT only_tests),
+{", ".join(_grown(n) for n in range(2, 9))},
+found AS (SELECT DISTINCT path FROM w8 WHERE len(path) > 1 AND len(list_filter(path, lambda m: m IN (SELECT module FROM signals WHERE persistence OR external))) > 0)"""
+_WALKS = _WALKS.replace("AND len(list_filter(path, lambda m: m IN (SELECT module FROM signals WHERE persistence OR external))) > 0", "AND list_has_any(path, (SELECT coalesce(list(module), []) FROM signals WHERE persistence OR external))")
+
+
+def _flow_parts(spark, d):
+    files, contents = T(spark, d, "files", "file_contents")
+    members = files.where("status = 'active'").select(P.dir_name(F.col("path")).alias("module"), "path")
+    a, b = (members.select(F.col("path").alias(end), F.col("module").alias(m)) for end, m in (("from_file", "src"), ("to_file", "dst")))
+    edges = cut(_edges(spark, d).join(a, "from_file").join(b, "to_file").where("src <> dst").select("src", "dst").distinct())
+    said = resolve.imports(files, contents).where("not specifier rlike '^(crate|self|super)(::|$)'").select("path", "specifier")
+    return edges, flows.module_signals(members, edges, said)
+
+
+def _walks(spark, d):
+    edges, signals = _flow_parts(spark, d)
+    return flows.qualified_walks(edges, signals)
+
+
+@query("module_signals", f"WITH {_SRC}, {_WALKS.split(chr(10) + "w1 AS")[0].rstrip(",")} SELECT * FROM signals")
+def module_signals(spark, d):
+    return _flow_parts(spark, d)[1]
+
+
+@query("module_paths", f"WITH {_SRC}, {_WALKS} SELECT array_to_string(path, ' > ') AS path FROM found")
 def module_paths(spark, d):
-    return _paths(spark, d).select(F.array_join("path", " > ").alias("path"))
+    return _walks(spark, d).select(F.array_join("path", " > ").alias("path"))
 
 
-@query("best_module_paths", f"""WITH RECURSIVE {_PATHS} SELECT entry, sink, path FROM (SELECT path[1] AS entry, path[len(path)] AS sink, array_to_string(path, ' > ') AS path, row_number() OVER (PARTITION BY path[1], path[len(path)] ORDER BY len(path) DESC, path) AS rn FROM found) WHERE rn = 1""")
+@query("best_module_paths", f"""WITH {_SRC}, {_WALKS} SELECT entry, sink, path FROM (SELECT path[1] AS entry, path[len(path)] AS sink, array_to_string(path, ' > ') AS path, row_number() OVER (PARTITION BY path[1], path[len(path)] ORDER BY len(path) DESC, path) AS rn FROM found) WHERE rn = 1""")
 def best_module_paths(spark, d):
-    return graph.best_paths(_paths(spark, d)).select("entry", "sink", F.array_join("path", " > ").alias("path"))
+    return graph.best_paths(_walks(spark, d)).select("entry", "sink", F.array_join("path", " > ").alias("path"))
+
+
+_MAXIMAL = "maximal AS (SELECT path FROM found p WHERE NOT EXISTS (SELECT 1 FROM found q WHERE len(q.path) > len(p.path) AND q.path[1:len(p.path)] = p.path))"
 
 
-@query("maximal_module_paths", f"WITH RECURSIVE {_PATHS} SELECT array_to_string(path, ' > ') AS path FROM found p WHERE NOT EXISTS (SELECT 1 FROM found q WHERE len(q.path) > len(p.path) AND q.path[1:len(p.path)] = p.path)")
+@query("maximal_module_paths", f"WITH {_SRC}, {_WALKS}, {_MAXIMAL} SELECT array_to_string(path, ' > ') AS path FROM maximal")
 def maximal_module_paths(spark, d):
-    return graph.maximal_paths(_paths(spark, d)).select(F.array_join("path", " > ").alias("path"))
+    return graph.maximal_paths(_walks(spark, d)).select(F.array_join("path", " > ").alias("path"))
 
 
-@query("path_centrality", f"WITH RECURSIVE {_PATHS} SELECT node, count(*) AS n_paths FROM (SELECT unnest(list_distinct(path)) AS node FROM found) GROUP BY 1")
+@query("path_centrality", f"WITH {_SRC}, {_WALKS} SELECT node, count(*) AS n_paths FROM (SELECT unnest(list_distinct(path)) AS node FROM found) GROUP BY 1")
 def path_centrality(spark, d):
-    return graph.path_centrality(_paths(spark, d))
+    return graph.path_centrality(_walks(spark, d))
+
+
+@query("ranked_flows", f"""WITH {_SRC}, {_WALKS}, {_MAXIMAL},
+best AS (SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY path[1], path[len(path)] ORDER BY len(path) DESC, path) AS rn FROM maximal) WHERE rn = 1),
+base AS (SELECT path, regexp_replace(regexp_replace(lower(path[1] || '-to-' || path[len(path)]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM best),
+slugged AS (SELECT path, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS n FROM base)),
+mine AS (SELECT slug, unnest(path) AS node FROM slugged), walked AS (SELECT array_to_string(path, ' > ') AS walk, unnest(path) AS node FROM found),
+central AS (SELECT slug, count(DISTINCT walk) AS centrality FROM mine JOIN walked USING (node) GROUP BY 1),
+product AS (SELECT slug, count(*) AS n_product FROM mine JOIN signals ON module = node WHERE product GROUP BY 1)
+SELECT row_number() OVER (ORDER BY coalesce(n_product, 0) DESC, centrality DESC, slug) AS rank, slug, array_to_string(path, ' > ') AS path, coalesce(n_product, 0) AS n_product, centrality
+FROM slugged JOIN central USING (slug) LEFT JOIN product USING (slug)""")
+def ranked_flows(spark, d):
+    edges, signals = _flow_parts(spark, d)
+    return flows.rank_flows(flows.qualified_walks(edges, signals), signals).withColumn("path", F.array_join("path", " > "))
+
+
+@query("chosen_flows")
+def chosen_flows(spark, d):
+    """Flows in rank order that share at most three quarters of their modules with one chosen before."""
+    edges, signals = _flow_parts(spark, d)
+    candidates = flows.rank_flows(flows.qualified_walks(edges, signals), signals)
+    return flows.greedy_apart(candidates.select("rank", F.col("slug").alias("id"), F.col("path").alias("items")))
 
 
 @query("module_hubs", f"WITH {_MEDGES} SELECT to_module AS dst, count(DISTINCT from_module) AS n FROM medges GROUP BY 1")
