@@ -29,9 +29,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command in ("status", "verify", "baseline", "changes", "orphans", "communities"):
         found = getattr(w, a.command)()
     else:
-        from codeloom.plans import general_queries, workspace_queries
+        from codeloom.plans import general_queries, record_queries, workspace_queries
 
-        known = general_queries.QUERIES | workspace_queries.QUERIES
+        known = general_queries.QUERIES | workspace_queries.QUERIES | record_queries.QUERIES
         if a.command not in known:
             p.error(f"no such command or query: {a.command}")
         found = known[a.command](spark, a.directory)

@@ -152,6 +152,12 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right)
 
 
+def set_differences(left: DataFrame, right: DataFrame, item: str, sides: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """item, side: what only one of two sets has, and which one. Null items are none."""
+    a, b = (x.select(item).where(F.col(item).isNotNull()).distinct() for x in (left, right))
+    return a.join(b, item, "left_anti").withColumn("side", F.lit(sides[0])).unionByName(b.join(a, item, "left_anti").withColumn("side", F.lit(sides[1])))
+
+
 def undocumented(symbols: DataFrame, duty: DataFrame) -> DataFrame:
     """Keys of active symbols that no page promises to document."""
     return symbols.where("status = 'active'").select(F.col("key").alias("symbol_key")).distinct().join(duty.select("symbol_key").distinct(), "symbol_key", "left_anti")

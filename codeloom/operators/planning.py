@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import dir_name, matches_any, path_role
@@ -76,9 +76,11 @@ def cluster_cap(members: DataFrame, most: int = 6, least_product: int = 2) -> Da
     return members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(most, least_product)).drop("rn")
 
 
-def concern_groups(members: DataFrame) -> DataFrame:
-    """concern, module, surface, n_paths: modules with paths of deployment, or of tests and fixtures; surface is the first such path. members: module, path."""
-    rules = {"Deployment": matches_any(F.col("path"), DEPLOYMENT_PATTERNS), "Testing": path_role(F.col("path")).isin("fixture", "test")}
+def concern_groups(members: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    """concern, module, surface, n_paths: modules with paths of a concern; surface is the first such path. members: module, path.
+    rules: by concern the condition on path; default: paths of deployment, and of tests and fixtures."""
+    if rules is None:
+        rules = {"Deployment": matches_any(F.col("path"), DEPLOYMENT_PATTERNS), "Testing": path_role(F.col("path")).isin("fixture", "test")}
     tagged = members.select("module", "path", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("concern"))
     return tagged.groupBy("concern", "module").agg(F.min("path").alias("surface"), F.count(F.lit(1)).alias("n_paths"))
 

@@ -213,6 +213,13 @@ def innermost_symbol(points: DataFrame, symbols: DataFrame, band: int = 256) ->
     return points.join(best, ["file_id", "line"], "left")
 
 
+def rationales_of_files(rationales: DataFrame, files: DataFrame) -> DataFrame:
+    """path, place, line, kind, text of rationales of active files, ordered by path and line; place numbers them within a file. rationales: file_id, line, kind, text."""
+    j = rationales.join(files.where("status = 'active'").select(F.col("id").alias("file_id"), "path"), "file_id")
+    w = Window.partitionBy("path").orderBy("line", "kind", "text")
+    return j.withColumn("place", F.row_number().over(w)).select("path", "place", "line", "kind", "text").orderBy("path", "place")
+
+
 def next_symbol(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """points (file_id, end_line, and others) with next_key: the active symbol that starts on the line after end_line; the smallest key of several."""
     s = symbols.where("status = 'active'").groupBy("file_id", (F.col("start_line") - 1).alias("end_line")).agg(F.min("key").alias("next_key"))

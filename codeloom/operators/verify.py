@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_key
 from codeloom.functions.paths import resolve_relative
+from codeloom.operators.baseline_ops import validate
 
 
 def page_anchor_rows(pages: DataFrame) -> DataFrame:
@@ -59,9 +60,23 @@ def missing_pages(stored: DataFrame, pages: DataFrame) -> DataFrame:
     return stored.select("wiki_path").distinct().join(pages.select("wiki_path").distinct(), "wiki_path", "left_anti").select("wiki_path", F.lit("missing_wiki_path").alias("issue"), F.lit("").alias("detail"))
 
 
-def verify_pages(pages: DataFrame, symbols: DataFrame, stored_pages: DataFrame, stored_blocks: DataFrame | None = None) -> DataFrame:
-    """wiki_path, issue, detail of every check."""
+def baseline_problems(baseline: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Entries of a baseline that can't be read, `unsupported_baseline_algorithm` or `invalid_documentation_baseline`, and, if there are none
+    of these, entries that no page has an anchor for. baseline: as baseline_ops has it; anchored: wiki_path, symbol_key."""
+    faults = validate(baseline)
+    code = F.when(F.col("issue") == "unknown_extraction", "unsupported_baseline_algorithm").otherwise("invalid_documentation_baseline")
+    unread = faults.select("wiki_path", code.alias("issue"), F.concat_ws(": ", F.coalesce("symbol_key", F.lit("")), F.col("issue")).alias("detail"))
+    whole = faults.agg(F.count(F.lit(1)).alias("faults")).where("faults = 0")  # one row, or none if the baseline can't be read
+    lost = baseline.select("wiki_path", "symbol_key").distinct().join(anchored.select("wiki_path", "symbol_key"), ["wiki_path", "symbol_key"], "left_anti")
+    lost = lost.withColumn("faults", F.lit(0).cast("long")).join(F.broadcast(whole), "faults", "left_semi")
+    return unread.unionByName(lost.select("wiki_path", F.lit("baseline_entry_without_anchor").alias("issue"), F.col("symbol_key").alias("detail")))
+
+
+def verify_pages(pages: DataFrame, symbols: DataFrame, stored_pages: DataFrame, stored_blocks: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """wiki_path, issue, detail of every check; blocks and a baseline are checked where they are given."""
     checks = [broken_anchors(pages, symbols), think_blocks(pages), malformed_heads(pages), broken_links(pages), missing_pages(stored_pages, pages)]
     if stored_blocks is not None:
         checks.append(altered_blocks(stored_blocks, pages))
+    if baseline is not None:
+        checks.append(baseline_problems(baseline, page_anchor_rows(pages)))
     return reduce(DataFrame.unionByName, checks)

@@ -182,9 +182,12 @@ def cross_module_callees(spark, d):
     return resolve.cross_module_callees(calls, files)
 
 
-@query("importers_of_stale_files", f"WITH {_EDGES} SELECT DISTINCT from_file AS path FROM edges WHERE to_file IN (SELECT path FROM files WHERE mtime > indexed_at)")
+@query("importers_of_stale_files", f"WITH {_EDGES} SELECT DISTINCT from_file AS path FROM edges WHERE to_file IN (SELECT path FROM files JOIN file_contents c ON c.file_id = files.id WHERE size <> octet_length(encode(content)))")
 def importers_of_stale_files(spark, d):
-    return resolve.direct_importers(_edges(spark, d), T(spark, d, "files").where("mtime > indexed_at").select("path"))
+    """Files that import one whose content isn't as long as its record says."""
+    files, contents = T(spark, d, "files", "file_contents")
+    stale = files.join(contents.select(F.col("file_id").alias("id"), F.octet_length("content").alias("now")), "id").where("size <> now").select("path")
+    return resolve.direct_importers(_edges(spark, d), stale)
 
 
 @query("innermost_callers", """
@@ -669,20 +672,15 @@ def baseline_accepted(spark, d):
     return baseline_ops.accept(b, b.where(F.length("symbol_key") % 2 == 0).select("wiki_path", "symbol_key"), _active(spark, d))
 
 
-@query("baseline_issues", f"WITH {_BOOT} SELECT wiki_path, symbol_key, 'unknown_extraction' AS issue FROM boot WHERE extraction IS NULL AND false UNION ALL SELECT wiki_path, symbol_key, 'malformed_hash' FROM boot WHERE NOT regexp_full_match(hash, '[0-9a-f]{{64}}')")
-def baseline_issues(spark, d):
-    return baseline_ops.validate(_bootstrap(spark, d))
-
-
 @query("change_impact", f"""
-WITH {_EDGES}, {_DUTY}, changed AS (SELECT path FROM files WHERE id % 50 = 0),
+WITH {_EDGES}, {_DUTY}, changed AS (SELECT path FROM files WHERE id % 20 = 0),
 s AS (SELECT DISTINCT key AS name FROM symbols WHERE status = 'active' AND string_split(key, '#')[1] IN (SELECT path FROM changed)),
 p AS (SELECT DISTINCT wiki_path AS name FROM duty WHERE symbol_key IN (SELECT name FROM s)), i AS (SELECT DISTINCT from_file AS name FROM edges WHERE to_file IN (SELECT path FROM changed)),
 u AS (SELECT 'symbol' AS what, name, 50 AS most FROM s UNION ALL SELECT 'page', name, 20 FROM p UNION ALL SELECT 'importer', name, 25 FROM i)
 SELECT what, name, rn, total FROM (SELECT what, name, most, row_number() OVER (PARTITION BY what ORDER BY name) AS rn, count(*) OVER (PARTITION BY what) AS total FROM u) WHERE rn <= most""")
 def change_impact(spark, d):
     files, symbols, anchors = T(spark, d, "files", "symbols", "extracted_anchors")
-    return impact.change_impact(files.where("id % 50 = 0").select("path"), symbols, ledger.obligations(anchors), _edges(spark, d))
+    return impact.change_impact(files.where("id % 20 = 0").select("path"), symbols, ledger.obligations(anchors), _edges(spark, d))
 
 
 @query("search_records")
@@ -839,12 +837,15 @@ def folder_coverage(spark, d):
     return planning.folder_coverage(u)
 
 
+#: patterns for which the test tables have cases
+_CONCERNS = {"Deployment": ["**/build/**", "**/dist/**", "**/target/**"], "Testing": ["**/test/**", "**/*_test.*"]}
+
+
 @query("concern_groups", f"""
 SELECT concern, {MOD.format('path')} AS module, min(path) AS surface, count(*) AS n_paths FROM (
-  SELECT 'Deployment' AS concern, path FROM files WHERE status = 'active' AND regexp_matches(path, '{_q(P.any_pattern_regex(planning.DEPLOYMENT_PATTERNS))}')
-  UNION ALL SELECT 'Testing', path FROM files WHERE status = 'active' AND {_role_sql('path')} IN ('fixture', 'test')) GROUP BY 1, 2""")
+  {" UNION ALL ".join(f"SELECT '{n}' AS concern, path FROM files WHERE status = 'active' AND regexp_matches(path, '{_q(P.any_pattern_regex(p))}')" for n, p in _CONCERNS.items())}) GROUP BY 1, 2""")
 def concern_groups(spark, d):
-    return planning.concern_groups(_members(spark, d))
+    return planning.concern_groups(_members(spark, d), {n: P.matches_any(F.col("path"), p) for n, p in _CONCERNS.items()})
 
 
 @query("chosen_anchors")
@@ -939,16 +940,17 @@ _SPLIT = r"regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')
 @query("text_scalars", f"""
 SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS digest, ceil(length(text) / 4)::BIGINT AS tokens,
   greatest(512, least(4096, ceil((256 + 16 * (doc_id % 9) + ceil(length(text) / 40)) / 256) * 256))::BIGINT AS budget,
-  regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS label FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+  regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS label FROM documents WHERE text IS NOT NULL""")
 def text_scalars(spark, d):
     t = F.col("text")
-    docs = T(spark, d, "documents").where("text is not null").where(t.rlike(r"^[\x00-\x7F]*$"))
+    docs = T(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", X.content_digest(t).alias("digest"), X.token_estimate(t).alias("tokens"), X.output_budget(F.length(t), F.col("doc_id") % 9, 256, 16, 512, 4096).alias("budget"), X.normal_label(t).alias("label"))
 
 
-@query("identifier_parts", f"SELECT DISTINCT name, CASE WHEN len(parts) > 1 THEN name || ' ' || array_to_string(parts, ' ') ELSE name END AS parts FROM (SELECT name, list_filter(string_split_regex({_SPLIT.format('name')}, '[_ ]+'), lambda x: x <> '') AS parts FROM symbols WHERE kind = 'function')")
+@query("identifier_parts", f"SELECT DISTINCT name, CASE WHEN len(parts) > 1 THEN name || ' ' || array_to_string(parts, ' ') ELSE name END AS parts FROM (SELECT name, list_filter(string_split_regex({_SPLIT.format('name')}, '[_ ]+'), lambda x: x <> '') AS parts FROM (SELECT unnest(string_split(name, '.')) AS name FROM symbols))")
 def identifier_parts(spark, d):
-    return T(spark, d, "symbols").where("kind = 'function'").select("name", X.split_identifiers(F.col("name")).alias("parts")).distinct()
+    names = T(spark, d, "symbols").select(F.explode(F.split("name", r"\.")).alias("name"))
+    return names.select("name", X.split_identifiers(F.col("name")).alias("parts")).distinct()
 
 
 @query("heading_slugs", "SELECT DISTINCT h, trim(regexp_replace(regexp_replace(lower(h), '[^a-z0-9_\\s-]', '', 'g'), '\\s+', '-', 'g'), '-') AS slug, regexp_replace(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS module_slug FROM (SELECT unnest(section_anchors).heading_text AS h FROM extracted_anchors)")

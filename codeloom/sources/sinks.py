@@ -67,6 +67,11 @@ def current(spark: SparkSession, folder: str) -> str | None:
     return spark.read.text(f"{folder}/{names[-1]}").first()[0] if names else None
 
 
+def write_part(df: DataFrame, folder: str, part: int) -> None:
+    """Writes a numbered part of a table; writing it again, as a stream does after a failure, puts it in place of the first time's."""
+    df.write.mode("overwrite").parquet(f"{folder}/part={part}")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of old that new has no key of, and all of new. Of several new rows with one key any one is taken."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)

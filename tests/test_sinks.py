@@ -4,7 +4,7 @@ import pytest
 
 from codeloom.functions.markdown import purpose, splice_section, split_sections
 from codeloom.operators import baseline_ops as B
-from codeloom.operators import impact
+from codeloom.operators import impact, ledger, resolve, verify
 from codeloom.sources import history, sinks
 from pyspark.sql import functions as F
 
@@ -82,6 +82,23 @@ def test_baseline_operations(spark):
     assert B.validate(b).collect() == [] and B.canonical_lines(b).first()[0].startswith('{"wiki_path":"w","symbol_key":"a.ts#f"')
 
 
+def test_problems_of_a_baseline(spark):
+    b = spark.createDataFrame([("w", "a.ts#f", H, "ts-v1", "accepted"), ("w", "a.ts#g", H, "ts-v1", "inferred")], ENTRY)
+    anchored = spark.createDataFrame([("w", "a.ts#f"), ("v", "a.ts#g")], "wiki_path string, symbol_key string")
+    assert {tuple(r) for r in verify.baseline_problems(b, anchored).collect()} == {("w", "baseline_entry_without_anchor", "a.ts#g")}
+    bad = b.unionByName(spark.createDataFrame([("w", "b.ts#x", H, "ts-v9", "accepted"), ("", "b.ts#x", H, "ts-v1", "accepted")], ENTRY))
+    assert {tuple(r)[:2] for r in verify.baseline_problems(bad, anchored).collect()} == {("w", "unsupported_baseline_algorithm"), ("", "invalid_documentation_baseline")}
+    assert verify.baseline_problems(b.limit(0), anchored.limit(0)).collect() == []
+
+
+def test_sets_and_order_of_rationales(spark):
+    a, b = (spark.createDataFrame(x, "k string") for x in ([("x",), ("y",), ("y",), (None,)], [("y",), ("z",), (None,)]))
+    assert {tuple(r) for r in ledger.set_differences(a, b, "k").collect()} == {("x", "left"), ("z", "right")} and ledger.set_differences(a.limit(0), b.limit(0), "k").collect() == []
+    r = spark.createDataFrame([(2, 5, "todo", "b"), (2, 1, "why", "a"), (1, 9, "note", "c"), (3, 1, "hack", "d"), (None, 1, "hack", "e")], "file_id long, line int, kind string, text string")
+    f = spark.createDataFrame([(1, "b.ts", "active"), (2, "a.ts", "active"), (3, "c.ts", "deleted")], "id long, path string, status string")
+    assert [tuple(x)[:3] for x in resolve.rationales_of_files(r, f).collect()] == [("a.ts", 1, 1), ("a.ts", 2, 5), ("b.ts", 1, 9)]
+
+
 def test_previews(spark):
     duty = spark.createDataFrame([("w", "a#f", "agent"), ("w", "a#g", "agent"), ("w", "b#h", "agent")], "wiki_path string, symbol_key string, assignee string")
     base = spark.createDataFrame([("w", "a#f", "1"), ("w", "a#g", "2")], "wiki_path string, symbol_key string, hash string")
