@@ -66,12 +66,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384, rounds: int = 6) -> DataFrame:
-    """Keys added, removed or changed per snapshot against the one before it by number.
+def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384, rounds: int = 6, broadcast_keys: int = 500_000) -> DataFrame:
+    """snapshot_no, key, change_kind: keys added, removed or changed per snapshot against the one before it by number, see change_kinds.
+
+    Found keys are 128 bits; their spelling comes from the rows that hold them. Where at most broadcast_keys were found, the rows of other keys are
+    left out before any is shuffled; beyond that all spellings are, with the same result.
+    """
+    kinds = cut(change_kinds(snapshots, bucket_rows, cells, rounds))
+    keys = kinds.select("k1", "k2").distinct()
+    names = snapshots.where("key is not null").select(normal_key(F.col("key")).alias("key")).where("key is not null")
+    names = names.select("key", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
+    if kinds.count() <= broadcast_keys:
+        names = names.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    return kinds.join(names.distinct(), ["k1", "k2"]).select("snapshot_no", "key", "change_kind")
 
-    snapshots: snapshot_no, id, delivered_at, key, content_hash, status; other columns are not read.
-    Returns snapshot_no, key (in the spelling of symbols.key), change_kind.
 
+def change_kinds(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384, rounds: int = 6) -> DataFrame:
+    """snapshot_no, k1, k2, change_kind: changes by the 128-bit hash of the key.
+
+    snapshots: snapshot_no, id, delivered_at, key, content_hash, status; other columns are not read.
     A key is present in a snapshot if a valid row with it is active. If several active rows of a snapshot have the
     same key, the smallest and the greatest of their hashes are compared. A missing hash equals a missing hash.
     The first snapshot has no changes; an empty table gives no rows. bucket_rows: rows per bucket, at most about;
@@ -89,7 +102,7 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int =
     )
     sizes = {r["snapshot_no"]: r["count"] for r in rows.groupBy("snapshot_no").count().collect()}  # one row per snapshot
     numbers = sorted({r["snapshot_no"] for r in snapshots.select("snapshot_no").where("snapshot_no is not null").distinct().collect()})
-    schema = "snapshot_no int, key string, change_kind string"
+    schema = "snapshot_no int, k1 long, k2 long, change_kind string"
     if len(numbers) < 2:
         return spark.createDataFrame([], schema)
     buckets = max(1, -(-max(sizes.values(), default=1) // bucket_rows))
@@ -135,12 +148,8 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int =
     for f in found[1:]:
         all_found = all_found.unionByName(f)
     kinds = all_found.groupBy("step", "k1", "k2").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"))
-    kinds = kinds.select(
-        "step", "k1", "k2", F.when(F.col("lo") == F.col("hi"), F.when(F.col("hi") == 1, "added").otherwise("removed")).otherwise("changed").alias("change_kind")
-    )
-    names = snapshots.where("key is not null").select(normal_key(F.col("key")).alias("key")).where("key is not null").distinct()
-    names = names.select("key", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
-    return kinds.join(names, ["k1", "k2"]).select(F.col("step").alias("snapshot_no"), "key", "change_kind")
+    kind = F.when(F.col("lo") == F.col("hi"), F.when(F.col("hi") == 1, "added").otherwise("removed")).otherwise("changed")
+    return kinds.select(F.col("step").alias("snapshot_no"), "k1", "k2", kind.alias("change_kind"))
 
 
 def _tables(rows: DataFrame, width: int, by: tuple[str, ...] = ("snapshot_no", "bucket")) -> DataFrame:

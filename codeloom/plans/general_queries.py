@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codeloom.operators.orphans import direct_symbol_orphans, orphan_report, workspace_orphans
-from codeloom.operators.snapshots import snapshot_changes
+from codeloom.operators.snapshots import change_kinds, snapshot_changes
 from codeloom.sources.tables import table
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ def p3_found(spark, d):
 
 
 def p3_summary(spark, d):
-    return p3_found(spark, d).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_keys"))
+    return change_kinds(table(spark, d, "symbol_snapshots")).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
 def _orphans(spark, d):
