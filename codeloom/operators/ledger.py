@@ -32,6 +32,69 @@ def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def grammar_changes(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """ext, grammar, changed: for each ending whether its grammar came, went, is another one or was built anew. Both: ext, grammar, artifact.
+
+    Without an old state, as in records from before it was kept, changed is null: only files without symbols are read again then.
+    """
+    if old is None:
+        return new.select("ext", "grammar", F.lit(None).cast("boolean").alias("changed"))
+    o = old.select("ext", F.col("grammar").alias("was"), F.col("artifact").alias("was_artifact"))
+    j = o.join(new.select("ext", "grammar", "artifact"), "ext", "full")
+    changed = ~F.col("was").eqNullSafe(F.col("grammar")) | (F.col("grammar").isNotNull() & ~F.col("was_artifact").eqNullSafe(F.col("artifact")))
+    return j.select("ext", "grammar", changed.alias("changed"))
+
+
+def file_plan(files: DataFrame, found: DataFrame, symbols: DataFrame, grammars: DataFrame | None = None) -> DataFrame:
+    """path, action, reactivated of an index run over what a walk found: `add`, `update`, `unchanged`, `reprocess` (same content, but its
+    grammar changed), `migrate` (only the way of hashing line ends differs from the record), `delete`, or `gone` (deleted before).
+
+    files: id, path, content_hash, lang, status; found: path, lang, content; symbols: file_id, status; grammars: as grammar_changes gives
+    them, null if no grammar changed. A file that was deleted and is back is reactivated and read again, whatever its content. A path is on record once.
+    """
+    from codeloom.functions.paths import extension
+    from codeloom.functions.text import content_digest, expand_eol
+
+    text = F.col("content")
+    now = found.select("path", F.col("lang").alias("now_lang"), content_digest(text).alias("now"), F.sha2(text, 256).alias("raw"), F.when(~F.contains(text, F.lit("\r\n")), F.sha2(expand_eol(text), 256)).alias("crlf"), F.lit(True).alias("there"))
+    told = symbols.where("status = 'active' and file_id is not null").select(F.col("file_id").alias("id")).distinct().withColumn("told", F.lit(True))
+    was = files.select("id", "path", "content_hash", "lang", (F.col("status") == "active").alias("live")).join(told, "id", "left")
+    j = was.withColumn("known", F.lit(True)).join(now, "path", "full").withColumn("ext", extension(F.col("path")))
+    again = F.lit(False)
+    if grammars is not None:
+        legacy = grammars.agg(F.coalesce(F.max(F.col("changed").isNull()), F.lit(False)).alias("legacy")).withColumn("one", F.lit(1))
+        j = j.join(F.broadcast(grammars), "ext", "left").withColumn("one", F.lit(1)).join(F.broadcast(legacy), "one")  # a row for each ending with a grammar, and one row
+        silent = F.col("grammar").isNotNull() & F.col("told").isNull()
+        # without an old state only silent files are read again
+        again = silent | (~F.col("legacy") & (F.coalesce("changed", F.lit(False)) | ~F.col("lang").eqNullSafe(F.col("now_lang"))))
+    same = F.col("content_hash") == F.col("now")
+    action = (
+        F.when(F.col("known").isNull(), "add")
+        .when(F.col("there").isNull(), F.when(F.col("live"), "delete").otherwise("gone"))
+        .when(same, F.when(F.col("live") & again, "reprocess").otherwise("unchanged"))
+        .when((F.col("content_hash") == F.col("raw")) | (F.col("content_hash") == F.col("crlf")), "migrate")
+        .otherwise("update")
+    )
+    return j.select("path", action.alias("action"), (F.coalesce(F.col("there") & ~F.col("live"), F.lit(False))).alias("reactivated"))
+
+
+def index_counters(plan: DataFrame, verdicts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row with the counters of an index run. plan: as file_plan gives it; verdicts: file_id, verdict of scan_reasons; before, after: key of active symbols."""
+    n = {"added": "add", "updated": "update", "deleted": "delete", "reprocessed_grammar": "reprocess"}
+    files = plan.agg(
+        F.count_if(F.col("action").isin("add", "update", "unchanged", "reprocess", "migrate")).alias("scanned"),
+        *[F.count_if(F.col("action") == a).alias(c) for c, a in n.items()],
+        F.count_if(F.col("action").isin("unchanged", "migrate")).alias("unchanged"),
+        F.count_if(F.col("reactivated")).alias("reactivated"),
+    )
+    skipped = verdicts.agg(F.count_if(F.col("verdict") == "binary").alias("skipped_binary"), F.count_if(F.col("verdict") == "too large").alias("skipped_too_large"))
+    a, b = before.select("key").distinct(), after.select("key").distinct()
+    moved = b.withColumn("now", F.lit(1)).unionByName(a.withColumn("now", F.lit(-1))).groupBy("key").agg(F.sum("now").alias("n"))
+    symbols = moved.agg(F.count_if(F.col("n") > 0).alias("symbols_added"), F.count_if(F.col("n") < 0).alias("symbols_deleted"))
+    one = F.lit(1).alias("one")
+    return files.select(one, "*").join(skipped.select(one, "*"), "one").join(symbols.select(one, "*"), "one").drop("one")  # single rows
+
+
 def next_state(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, content_hash, status after a run: what the walk found is active, what it missed is deleted and keeps its hash."""
     o = old.groupBy("path").agg(F.max("content_hash").alias("old_hash"))

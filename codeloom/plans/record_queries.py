@@ -95,6 +95,46 @@ def walked_files(spark, d):
     return scan.walk(spark, folder).select("path", "size")
 
 
+# ---- an index run over the contents, with a grammar that came and one that was built anew
+
+_GRAMMARS = [("ts", "typescript", "1", "1"), ("py", "python", "1", "2"), ("go", None, None, "1"), ("rs", "rust", "1", "1"), ("java", "java", "1", "1"), ("js", "javascript", "1", "1")]
+_LANGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items())
+_PLAN = f"""
+WITH g AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{ {'go': 'go'}.get(e, g) }', {'true' if e in ('py', 'go') else 'false'})" for e, g, _, _ in _GRAMMARS)}) v(ext, grammar, changed)),
+now AS (SELECT f.path, sha256(replace(content, chr(13) || chr(10), chr(10))) AS h, sha256(content) AS raw, CASE WHEN strpos(content, chr(13) || chr(10)) = 0 THEN sha256(replace(content, chr(10), chr(13) || chr(10))) END AS crlf,
+  CASE {EXT.format('f.path')} {_LANGS} ELSE {EXT.format('f.path')} END AS now_lang FROM file_contents c JOIN files f ON f.id = c.file_id WHERE f.id % 20 <> 0),
+j AS (SELECT coalesce(f.path, n.path) AS path, f.id, f.content_hash, f.lang, f.status = 'active' AND f.id % 7 <> 0 AS live, f.id IN (SELECT file_id FROM symbols WHERE status = 'active') AS told, n.*, n.path IS NOT NULL AS there
+  FROM (SELECT * FROM files WHERE id % 11 <> 0) f FULL JOIN now n ON n.path = f.path),
+plan AS (SELECT j.path, CASE WHEN id IS NULL THEN 'add' WHEN NOT there THEN CASE WHEN live THEN 'delete' ELSE 'gone' END
+  WHEN content_hash = h THEN CASE WHEN live AND ((grammar IS NOT NULL AND NOT told) OR coalesce(changed, false) OR lang IS DISTINCT FROM now_lang) THEN 'reprocess' ELSE 'unchanged' END
+  WHEN content_hash = raw OR content_hash = crlf THEN 'migrate' ELSE 'update' END AS action, coalesce(there AND NOT live, false) AS reactivated FROM j LEFT JOIN g ON g.ext = {EXT.format('j.path')})"""
+
+
+def _plan(spark, d):
+    files, contents, symbols = T(spark, d, "files", "file_contents", "symbols")
+    # the record lacks some files and has others as deleted; the walk lacks the stated set of ids divisible by 20
+    record = files.where("id % 11 <> 0").withColumn("status", F.when(F.col("id") % 7 == 0, "deleted").otherwise(F.col("status")))
+    found = contents.join(files.where("id % 20 <> 0").select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("lang", P.language(F.col("path")))
+    old = spark.createDataFrame([(e, g, a) for e, g, a, _ in _GRAMMARS if g], "ext string, grammar string, artifact string")
+    new = spark.createDataFrame([(e, g or e, a) for e, g, _, a in _GRAMMARS], "ext string, grammar string, artifact string")
+    return ledger.file_plan(record, found, symbols, ledger.grammar_changes(old, new))
+
+
+@query("file_plan", _PLAN + " SELECT * FROM plan")
+def file_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query("index_counters", _PLAN + """, before AS (SELECT DISTINCT key FROM symbols WHERE status = 'deleted'), after AS (SELECT DISTINCT key FROM symbols WHERE status = 'active')
+SELECT count(*) FILTER (action NOT IN ('delete', 'gone')) AS scanned, count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'reprocess') AS reprocessed_grammar,
+  count(*) FILTER (action IN ('unchanged', 'migrate')) AS unchanged, count(*) FILTER (reactivated) AS reactivated,
+  (SELECT count(*) FROM file_contents WHERE octet_length(encode(content)) <= 1048576 AND strpos(substr(content, 1, 8192), chr(0)) > 0) AS skipped_binary, (SELECT count(*) FROM file_contents WHERE octet_length(encode(content)) > 1048576) AS skipped_too_large,
+  (SELECT count(*) FROM after WHERE key NOT IN (SELECT key FROM before)) AS symbols_added, (SELECT count(*) FROM before WHERE key NOT IN (SELECT key FROM after)) AS symbols_deleted FROM plan""")
+def index_counters(spark, d):
+    files, contents, symbols = T(spark, d, "files", "file_contents", "symbols")
+    return ledger.index_counters(_plan(spark, d), scan.scan_reasons(files, contents), symbols.where("status = 'deleted'"), symbols.where("status = 'active'"))
+
+
 # ---- versions, merges and exports
 
 @query("published_symbols", "SELECT key, status, content_hash FROM symbols WHERE status = 'active'")

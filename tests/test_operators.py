@@ -263,6 +263,46 @@ def test_stored_search_indexes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and sizes.first()["n_docs"] == 3
 
 
+def test_file_plans_and_counters(spark):
+    import hashlib
+
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    files = spark.createDataFrame([
+        (1, "same.ts", h("a\n"), "typescript", "active"), (2, "new.ts", h("old"), "typescript", "active"), (3, "gone.ts", h("x"), "typescript", "active"), (4, "back.ts", h("b"), "typescript", "deleted"), (5, "raw.ts", h("a\r\nb"), "typescript", "active"),
+        (6, "flip.ts", h("c\r\nd"), "typescript", "active"), (7, "old.ts", h("q"), "typescript", "deleted"), (8, "silent.go", h("g"), "go", "active"), (9, "built.py", h("p"), "python", "active"), (10, "label.md", h("m"), "md", "active"), (11, "renamed.md", h("m"), "prose", "active"),
+    ], "id long, path string, content_hash string, lang string, status string")
+    found = spark.createDataFrame([("same.ts", "typescript", "a\r\n"), ("new.ts", "typescript", "new"), ("back.ts", "typescript", "b"), ("raw.ts", "typescript", "a\r\nb"), ("flip.ts", "typescript", "c\nd"), ("added.ts", "typescript", "n"), ("silent.go", "go", "g"), ("built.py", "python", "p"), ("label.md", "md", "m"), ("renamed.md", "md", "m")], "path string, lang string, content string")
+    symbols = spark.createDataFrame([(i, "active") for i in (1, 2, 3, 9)] + [(8, "deleted"), (None, "active")], "file_id long, status string")
+    g = lambda *rows: spark.createDataFrame(list(rows), "ext string, grammar string, artifact string")
+    new = g(("ts", "ts", "1"), ("go", "go", "1"), ("py", "py", "2"))
+    plan = lambda x: {r["path"]: r["action"] for r in ledger.file_plan(files, found, symbols, x).collect()}
+    base = {"same.ts": "unchanged", "new.ts": "update", "gone.ts": "delete", "back.ts": "unchanged", "raw.ts": "migrate", "flip.ts": "migrate", "old.ts": "gone", "added.ts": "add", "silent.go": "unchanged", "built.py": "unchanged", "label.md": "unchanged", "renamed.md": "unchanged"}
+    assert plan(None) == base
+    assert plan(ledger.grammar_changes(g(("ts", "ts", "1"), ("py", "py", "1")), new)) == base | {"silent.go": "reprocess", "built.py": "reprocess", "renamed.md": "reprocess"}
+    assert plan(ledger.grammar_changes(None, new)) == base | {"silent.go": "reprocess"}
+    verdicts = spark.createDataFrame([(1, "binary"), (2, "too large"), (3, "kept")], "file_id long, verdict string")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    got = ledger.index_counters(ledger.file_plan(files, found, symbols), verdicts, keys("a", "b", "b"), keys("b", "c", "d")).first().asDict()
+    assert got == {"scanned": 10, "added": 1, "updated": 1, "deleted": 1, "reprocessed_grammar": 0, "unchanged": 8, "reactivated": 1, "skipped_binary": 1, "skipped_too_large": 1, "symbols_added": 2, "symbols_deleted": 1}
+    assert ledger.file_plan(files.limit(0), found.limit(0), symbols.limit(0)).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from codeloom.plans.lineage import shared_folder
+
+    seen = []
+    folder = lambda: N(isEmpty=lambda: not seen, get=lambda: seen[-1])
+    session = lambda master, named: N(sparkContext=N(master=master, getConf=lambda: N(get=lambda k, d: named), _jsc=N(sc=lambda: N(getCheckpointDir=folder)), setCheckpointDir=seen.append), conf=N(get=lambda k, d: None))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
+    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared" and seen == ["hdfs:///shared"]
+    seen.clear()
+    assert "codeloom-" in shared_folder(session("local[4]", None))
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("a", "the loadRecord function and a sealed channel"), ("b", "load the record"), ("c", "channel sealed"), ("d", None), ("e", "")], "wiki_path string, text string")
     index = search.inverted_index(docs, "wiki_path", "text")
