@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.rules import judge
 from codeloom.operators.graph import components
+from codeloom.plans.lineage import cut
 
 #: directories that hold what others wrote (fixed values, compared without case)
 VENDOR_DIRS = ("vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "jspm_packages", "external", "externals", "site-packages", "pods", "godeps")
@@ -69,6 +70,7 @@ def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame,
 
     contents: file_id, content. places: file_id, repo, vendor (whether it lies in a vendor directory). catalog: content and any
     other columns. Lines are taken as a set, equal sets are looked at once, however many files have them. Only line hashes are shuffled.
+    The result is written to the shared folder, and nothing stays cached.
     """
     kept = F.array_sort(line_hashes(F.col("content")))
     sets = contents.select("file_id", kept.alias("hs")).where(F.size("hs") > 0).join(places.select("file_id", "repo", "vendor"), "file_id")
@@ -106,7 +108,10 @@ def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame,
     best = best.join(other, "set", "left")
     found = sets.select("file_id", "set", "repo").join(best, "set")
     foreign = F.when(F.col("b.origin") != F.coalesce("repo", F.lit("?")), F.col("b.share")).otherwise(F.col("second"))
-    return found.select("file_id", foreign.alias("containment")).where("containment is not null")
+    out = cut(found.select("file_id", foreign.alias("containment")).where("containment is not null"))
+    for cached in (sets, refs, hits, met):
+        cached.unpersist()
+    return out
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
