@@ -134,14 +134,16 @@ def import_candidates(path: Column, family: Column, specifier: Column, repo: Col
     in_src = _under(repo, F.concat(F.lit("src/"), tail))
     py = F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
     py = F.when(dots > 0, py).otherwise(F.concat(py, F.array(F.concat(in_src, F.lit(".py")), F.concat(in_src, F.lit("/__init__.py")))))
-    # Rust: the crate's root, the module's own directory, or one above for each super; the longest run of segments that is a file
+    # Rust: the crate's root, which is the src around the file or the repository's, the module's own directory, or one above for each super; the longest run of segments that is a file
     parts = F.split(specifier, "::")
     name = F.regexp_extract(path, r"([^/]*)\.rs$", 1)
     own = F.when(name.isin("mod", "lib", "main"), here).otherwise(_under(here, name))
     supers = F.size(F.filter(parts, lambda x: x == "super"))
     above = F.array_join(F.slice(F.split(own, "/"), F.lit(1), F.greatest(F.size(F.split(own, "/")) - supers, F.lit(0))), "/")
     rest = F.filter(parts, lambda x: ~x.isin("crate", "self", "super"))
-    roots = F.when(F.get(parts, F.lit(0)) == "crate", F.array(_under(repo, F.lit("src")), repo)).when(F.get(parts, F.lit(0)) == "self", F.array(own)).when(F.get(parts, F.lit(0)) == "super", F.array(above))
+    around = F.regexp_extract(path, r"^(.*?(?:^|/)src)(?:/|$)", 1)
+    around = F.when(around != "", around).otherwise(_under(repo, F.lit("src")))
+    roots = F.when(F.get(parts, F.lit(0)) == "crate", F.array(around, _under(repo, F.lit("src")), repo)).when(F.get(parts, F.lit(0)) == "self", F.array(own)).when(F.get(parts, F.lit(0)) == "super", F.array(above))
     rs = F.flatten(F.transform(roots, lambda r: F.flatten(F.transform(_prefixes(rest), lambda p: F.array(F.concat(_under(r, p), F.lit(".rs")), F.concat(_under(r, p), F.lit("/mod.rs")))))))
     # Java: of each source root the longest run of segments that is a directory with files
     java = F.flatten(F.transform(F.array(*map(F.lit, JAVA_ROOTS)), lambda r: F.transform(_prefixes(F.split(specifier, r"\.")), lambda p: F.concat(_under(_under(repo, r), p), F.lit("/")))))

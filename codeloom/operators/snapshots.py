@@ -36,8 +36,13 @@ def valid_rows(snapshots: DataFrame) -> DataFrame:
 
 
 def _peel(cells: dict[int, list[int]], width: int, hash_cells) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """Recovered (k1, k2, value, sign) of one bucket, and whether every cell came out as nothing."""
+    """Recovered (k1, k2, value, sign) of one bucket, and whether every cell came out as nothing and the bucket's digest came out again.
+
+    The digest is the signed sum of a part of the check sums: each row stands once in the first third of the table, so it is the
+    sum over that before anything is peeled, and it must be that of the recovered rows.
+    """
     found, queue = [], list(cells)
+    digest = sum(c[5] for i, c in cells.items() if i < width // HASHES)
     while queue:
         c = cells.get(queue.pop())
         if c is None or abs(c[0]) != 1:
@@ -47,6 +52,7 @@ def _peel(cells: dict[int, list[int]], width: int, hash_cells) -> tuple[list[tup
         if own != check or part * sign != total:
             continue
         found.append((k1, k2, v, sign))
+        digest -= sign * part
         for i in at:
             d = cells.setdefault(i, [0, 0, 0, 0, 0, 0])
             d[0] -= sign
@@ -59,7 +65,7 @@ def _peel(cells: dict[int, list[int]], width: int, hash_cells) -> tuple[list[tup
                 queue.append(i)
             else:
                 del cells[i]
-    return found, not cells
+    return found, not cells and digest == 0
 
 
 def _signed(x: int) -> int:
@@ -72,7 +78,7 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int =
     Found keys are 128 bits; their spelling comes from the rows that hold them. Where at most broadcast_keys were found, the rows of other keys are
     left out before any is shuffled; beyond that all spellings are, with the same result.
     """
-    kinds = cut(change_kinds(snapshots, bucket_rows, cells, rounds))
+    kinds = change_kinds(snapshots, bucket_rows, cells, rounds)
     keys = kinds.select("k1", "k2").distinct()
     names = snapshots.where("key is not null").select(normal_key(F.col("key")).alias("key")).where("key is not null")
     names = names.select("key", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
@@ -82,7 +88,7 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = 2048, cells: int =
 
 
 def change_kinds(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384, rounds: int = 6) -> DataFrame:
-    """snapshot_no, k1, k2, change_kind: changes by the 128-bit hash of the key.
+    """snapshot_no, k1, k2, change_kind: changes by the 128-bit hash of the key, written to the shared folder; nothing stays cached.
 
     snapshots: snapshot_no, id, delivered_at, key, content_hash, status; other columns are not read.
     A key is present in a snapshot if a valid row with it is active. If several active rows of a snapshot have the
@@ -94,16 +100,17 @@ def change_kinds(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384
     spark = snapshots.sparkSession
     named = valid_rows(snapshots).where((F.col("status") == "active") & F.col("key").isNotNull())
     value = F.xxhash64(F.coalesce("content_hash", F.lit("-")))
-    rows = (
+    cached = (
         named.groupBy("snapshot_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
         .agg(F.min(value).alias("a"), F.max(value).alias("z"))
         .select("snapshot_no", "k1", "k2", F.xxhash64("a", "z").alias("v"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    sizes = {r["snapshot_no"]: r["count"] for r in rows.groupBy("snapshot_no").count().collect()}  # one row per snapshot
+    sizes = {r["snapshot_no"]: r["count"] for r in cached.groupBy("snapshot_no").count().collect()}  # one row per snapshot
     numbers = sorted({r["snapshot_no"] for r in snapshots.select("snapshot_no").where("snapshot_no is not null").distinct().collect()})
     schema = "snapshot_no int, k1 long, k2 long, change_kind string"
     if len(numbers) < 2:
+        cached.unpersist()
         return spark.createDataFrame([], schema)
     buckets = max(1, -(-max(sizes.values(), default=1) // bucket_rows))
     # the step from a snapshot to the next one by number, as (number, step, sign)
@@ -111,7 +118,7 @@ def change_kinds(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384
         [(n, n, 1) for n in numbers[1:]] + [(n, after, -1) for n, after in zip(numbers, numbers[1:])],
         "snapshot_no int, step int, sign int",
     )
-    rows = rows.withColumn("snapshot_no", F.col("snapshot_no").cast("int")).withColumn("bucket", F.pmod(F.col("k1"), F.lit(buckets)).cast("int"))
+    rows = cached.withColumn("snapshot_no", F.col("snapshot_no").cast("int")).withColumn("bucket", F.pmod(F.col("k1"), F.lit(buckets)).cast("int"))
     found, width, todo = [], cells, None
     for _ in range(rounds):
         mine = rows if todo is None else None
@@ -149,7 +156,9 @@ def change_kinds(snapshots: DataFrame, bucket_rows: int = 2048, cells: int = 384
         all_found = all_found.unionByName(f)
     kinds = all_found.groupBy("step", "k1", "k2").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"))
     kind = F.when(F.col("lo") == F.col("hi"), F.when(F.col("hi") == 1, "added").otherwise("removed")).otherwise("changed")
-    return kinds.select(F.col("step").alias("snapshot_no"), "k1", "k2", kind.alias("change_kind"))
+    out = cut(kinds.select(F.col("step").alias("snapshot_no"), "k1", "k2", kind.alias("change_kind")))
+    cached.unpersist()
+    return out
 
 
 def _tables(rows: DataFrame, width: int, by: tuple[str, ...] = ("snapshot_no", "bucket")) -> DataFrame:

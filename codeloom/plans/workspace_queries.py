@@ -297,7 +297,7 @@ relative AS (  -- `.` and `..` segments of scripts' paths, one after the other
   UNION ALL SELECT path, specifier, CASE WHEN todo[1] IN ('.', '') THEN done WHEN todo[1] = '..' THEN done[1:len(done) - 1] ELSE list_append(done, todo[1]) END, todo[2:] FROM relative WHERE len(todo) > 0),
 js AS (SELECT path, specifier, array_to_string(done, '/') AS base FROM relative WHERE len(todo) = 0),
 roots AS (
-  SELECT path, specifier, segs, CASE segs[1] WHEN 'crate' THEN [repo || '/src', repo] WHEN 'self' THEN [own] WHEN 'super' THEN [array_to_string(string_split(own, '/')[1:len(string_split(own, '/')) - len(list_filter(segs, lambda x: x = 'super'))], '/')] END AS rs
+  SELECT path, specifier, segs, CASE segs[1] WHEN 'crate' THEN [coalesce(nullif(regexp_extract(path, '^(.*?(^|/)src)(/|$)', 1), ''), repo || '/src'), repo || '/src', repo] WHEN 'self' THEN [own] WHEN 'super' THEN [array_to_string(string_split(own, '/')[1:len(string_split(own, '/')) - len(list_filter(segs, lambda x: x = 'super'))], '/')] END AS rs
   FROM parts WHERE family = 'rs'),
 rust AS (SELECT path, specifier, rs, list_filter(segs, lambda x: x NOT IN ('crate', 'self', 'super')) AS rest FROM roots WHERE rs IS NOT NULL),
 tried AS (
@@ -307,7 +307,7 @@ tried AS (
   UNION ALL SELECT path, specifier, pos, trim(b || '/' || tail, '/') || e FROM (
     SELECT path, specifier, tail, CASE WHEN dots > 0 THEN array_to_string(string_split(here, '/')[1:len(string_split(here, '/')) - dots + 1], '/') ELSE repo END AS b FROM parts WHERE family = 'py') , (VALUES (0, '.py'), (1, '/__init__.py')) v(pos, e)
   UNION ALL SELECT path, specifier, pos, repo || '/src/' || tail || e FROM parts, (VALUES (2, '.py'), (3, '/__init__.py')) v(pos, e) WHERE family = 'py' AND dots = 0
-  UNION ALL SELECT path, specifier, r * 1000 + k * 2 + v.pos, rs[r + 1] || '/' || array_to_string(rest[1:len(rest) - k], '/') || e FROM rust, range(0, 2) a(r), range(0, 20) b(k), (VALUES (0, '.rs'), (1, '/mod.rs')) v(pos, e) WHERE r < len(rs) AND k < greatest(len(rest), 1)
+  UNION ALL SELECT path, specifier, r * 1000 + k * 2 + v.pos, rs[r + 1] || '/' || array_to_string(rest[1:len(rest) - k], '/') || e FROM rust, range(0, 3) a(r), range(0, 20) b(k), (VALUES (0, '.rs'), (1, '/mod.rs')) v(pos, e) WHERE r < len(rs) AND k < greatest(len(rest), 1)
   UNION ALL SELECT path, specifier, r * 1000 + k, repo || root || '/' || array_to_string(names[1:len(names) - k], '/') || '/' FROM parts, (VALUES (0, '/src/main/java'), (1, '/src'), (2, '')) v(r, root), range(0, 20) b(k) WHERE family = 'java' AND k < len(names)),
 known AS (SELECT path AS to_file FROM files WHERE status = 'active'),
 places AS (SELECT to_file AS place, to_file FROM known UNION ALL SELECT {DIR.format('to_file')} || '/', to_file FROM known WHERE regexp_matches(to_file, '\\.(go|java)$')),
@@ -848,7 +848,16 @@ def concern_groups(spark, d):
     return planning.concern_groups(_members(spark, d), {n: P.matches_any(F.col("path"), p) for n, p in _CONCERNS.items()})
 
 
-@query("chosen_anchors")
+@query("chosen_anchors", f"""
+WITH RECURSIVE items AS (SELECT {MOD.format('f.path')} AS cluster, s.kind, s.key AS id, s.end_line - s.start_line + 1 AS chars, {_role_sql('f.path')} = 'product' AS is_product FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.status = 'active' AND f.status = 'active'),
+turns AS (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY CASE WHEN is_product THEN 0 ELSE 1 END, chars, id) AS turn FROM items),
+ord AS (SELECT cluster, id, chars, is_product, row_number() OVER (PARTITION BY cluster ORDER BY turn, kind, id) AS n FROM turns WHERE chars <= 400),
+step AS (
+  SELECT DISTINCT cluster, 0::BIGINT AS n, 0 AS chosen, 0::BIGINT AS used, 0 AS products, NULL::VARCHAR AS id FROM ord
+  UNION ALL SELECT cluster, n, chosen + ok, used + ok * chars, products + ok * is_product::INT, CASE WHEN ok = 1 THEN id END FROM (
+    SELECT o.cluster, o.n, s.chosen, s.used, s.products, o.id, o.chars, o.is_product, CASE WHEN s.chosen < 12 AND s.used + o.chars <= 400 AND (o.is_product OR s.products >= 0.75 * (s.chosen + 1)) THEN 1 ELSE 0 END AS ok
+    FROM step s JOIN ord o ON o.cluster = s.cluster AND o.n = s.n + 1))
+SELECT cluster, chosen AS position, id FROM step WHERE id IS NOT NULL""")
 def chosen_anchors(spark, d):
     """Of each module's symbols those that fit a page's anchors: kinds in turn, products first, within a budget of lines."""
     s, f = T(spark, d, "symbols", "files")
