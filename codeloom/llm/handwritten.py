@@ -75,7 +75,9 @@ def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame,
     kept = F.array_sort(line_hashes(F.col("content")))
     sets = contents.select("file_id", kept.alias("hs")).where(F.size("hs") > 0).join(places.select("file_id", "repo", "vendor"), "file_id")
     sets = sets.withColumn("set", F.xxhash64("hs")).persist(StorageLevel.MEMORY_AND_DISK)
-    own = sets.groupBy("set").agg(F.first("hs").alias("hs"))
+    # one file stands for each set; sets are dealt by file_id already, so that the arrays needn't move again
+    first = sets.groupBy("set").agg(F.min("file_id").alias("file_id")).select("file_id")
+    own = sets.join(first, "file_id", "left_semi").select("file_id", "set", "hs")
     known = catalog.where("content is not null").select(F.lit("").alias("home"), kept.alias("hs")).where(F.size("hs") > 0)
     taken = sets.where("vendor").select(F.col("repo").alias("home"), "hs")
     refs = known.unionByName(taken).groupBy(F.xxhash64("hs").alias("ref")).agg(F.min("home").alias("home"), F.max("home").alias("far"), F.first("hs").alias("hs"))
@@ -84,19 +86,19 @@ def vendored_copies(contents: DataFrame, places: DataFrame, catalog: DataFrame,
     lines = refs.select("ref", F.explode("hs").alias("h"))
     held = refs.join(reference_families(refs, rare), "ref", "left").select(F.coalesce("family", "ref").alias("family"), F.explode("hs").alias("h"))
     held = held.groupBy("h", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("df"), (F.count(F.lit(1)) <= rare).alias("tells"))
-    hits = own.select("set", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(held.hint("shuffle_hash"), "h")
-    hits = hits.groupBy("set", "n").agg(F.count(F.lit(1)).alias("known"), F.sort_array(F.collect_list(F.struct(~F.col("tells"), "df", "h"))).alias("lines"))
+    hits = own.select("file_id", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(held.hint("shuffle_hash"), "h")
+    hits = hits.groupBy("file_id", "n").agg(F.count(F.lit(1)).alias("known"), F.sort_array(F.collect_list(F.struct(~F.col("tells"), "df", "h"))).alias("lines"))
     told = F.filter("lines", lambda x: ~x["col1"])
     telling = (F.size(told) >= F.least(F.lit(shared), F.col("n"))) & (F.size(told) >= 0.05 * F.col("n"))
     asked = F.when(telling, F.lit(contained)).when(F.col("n") >= least, F.lit(common))
     # how many of the known lines may be missed, and one more; the little that is taken off is for rounding
     hits = hits.withColumns({"told": told, "asked": asked}).withColumn("k", (F.col("known") - F.ceil(F.col("asked") * F.col("n") - 1e-9) + 1).cast("int")).where("k > 0")
     looked = F.when(F.col("asked") == F.lit(contained), F.col("told.h")).otherwise(F.col("lines.h"))
-    hits = hits.select("set", "asked", F.col("told.h").alias("told"), F.slice(looked, F.lit(1), F.col("k")).alias("looked")).persist(StorageLevel.MEMORY_AND_DISK)
-    probes = hits.select("set", F.explode("looked").alias("h"))
-    candidates = probes.join(lines.join(probes.select("h").distinct(), "h", "left_semi"), "h").select("set", "ref").distinct()
+    hits = hits.select("file_id", "asked", F.col("told.h").alias("told"), F.slice(looked, F.lit(1), F.col("k")).alias("looked")).persist(StorageLevel.MEMORY_AND_DISK)
+    probes = hits.select("file_id", F.explode("looked").alias("h"))
+    candidates = probes.join(lines.join(probes.select("h").distinct(), "h", "left_semi"), "h").select("file_id", "ref").distinct()
     # exact containment of the candidates, over all lines
-    pairs = candidates.join(refs.select("ref", "origin", F.col("hs").alias("theirs")), "ref").join(hits.select("set", "asked", "told"), "set").join(own, "set")
+    pairs = candidates.join(refs.select("ref", "origin", F.col("hs").alias("theirs")), "ref").join(hits.select("file_id", "asked", "told"), "file_id").join(own, "file_id")
     evidence = F.size(F.array_intersect("told", "theirs"))
     enough = (evidence >= F.least(F.lit(shared), F.size("hs"))) & (evidence >= 0.05 * F.size("hs"))
     share = F.size(F.array_intersect("hs", "theirs")) / F.size("hs")
