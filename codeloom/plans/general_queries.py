@@ -106,6 +106,6 @@ ORACLE = {
     "p3_found": _P3 + "SELECT snapshot_no, key, change_kind FROM found",
     "p3_summary": _P3 + "SELECT snapshot_no, change_kind, count(*) AS n_keys FROM found GROUP BY ALL",
     "p4_found": _P4 + "SELECT DISTINCT ref_table, ref_month, symbol_key, reason FROM cases WHERE reason IS NOT NULL",
-    "p4_report": _P4_ALL + "SELECT ref_table, ref_month, reason, count(*) AS n_keys, sum(n) AS n_refs FROM all_found WHERE kind = 'direct' AND parent_table = 'symbols' AND ref_table IN ('calls', 'page_anchors', 'section_anchors') GROUP BY ALL",
-    "p4_cascade": _P4_ALL + "SELECT ref_table, parent_table, ref_month, kind, reason, count(*) AS n_keys, sum(n) AS n_refs, count(above) AS n_above, max(coalesce(above, 0)) AS max_level FROM all_found GROUP BY ALL",
+    "p4_report": _P4_ALL + "SELECT ref_table, ref_month, reason, count(*) AS n_keys, sum(n)::BIGINT AS n_refs FROM all_found WHERE kind = 'direct' AND parent_table = 'symbols' AND ref_table IN ('calls', 'page_anchors', 'section_anchors') GROUP BY ALL",
+    "p4_cascade": _P4_ALL + "SELECT ref_table, parent_table, ref_month, kind, reason, count(*) AS n_keys, sum(n)::BIGINT AS n_refs, count(above) AS n_above, max(coalesce(above, 0)) AS max_level FROM all_found GROUP BY ALL",
 }

@@ -85,7 +85,7 @@ def walked_files(spark, d):
     def write(rows):
         from pyarrow import fs
 
-        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
         for r in rows:
             where.create_dir(f"{base}/{r['path'].rpartition('/')[0]}", recursive=True)
             with where.open_output_stream(f"{base}/{r['path']}") as out:
@@ -286,6 +286,16 @@ def signature_lines(spark, d):
     return s.select("id", F.trim(F.regexp_replace(X.signature_line(F.col("signature")), r"\s+", " ")).alias("line"))
 
 
+_EXCERPT = "text"
+for _pattern, _with, _flags in (("(?s)```.*?```|~~~.*?~~~", " ", "g"), ("`[^`\\n]*`", " ", "g"), ("(?s)<!--.*?-->", " ", "g"), ("(?m)^#{1,6}\\s+.*$", " ", "g"), ("\\[([^\\]]*)\\]\\(([^)]*)\\)", "\\1", "g"), ("[#>*_`|-]+", " ", "g"), ("\\s+", " ", "g")):
+    _EXCERPT = f"regexp_replace({_EXCERPT}, '{_pattern}', '{_with}', '{_flags}')"
+
+
+@query("page_excerpts", f"SELECT doc_id, substr(trim({_EXCERPT}, ' '), 1, 400) AS excerpt FROM documents WHERE text IS NOT NULL")
+def page_excerpts(spark, d):
+    return T(spark, d, "documents").where("text is not null").select("doc_id", X.plain_excerpt(F.col("text")).alias("excerpt"))
+
+
 @query("rationales_in_order", f"""WITH {_RAT}, r AS (SELECT path, line, kind, text FROM rat JOIN files f ON f.id = rat.file_id WHERE kind <> '' AND length(text) >= 20 AND f.status = 'active')
 SELECT path, row_number() OVER (PARTITION BY path ORDER BY line, kind, text) AS place, line, kind, text FROM r""")
 def rationales_in_order(spark, d):

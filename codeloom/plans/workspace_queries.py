@@ -685,7 +685,7 @@ def change_impact(spark, d):
 
 @query("search_records")
 def search_records(spark, d):
-    return sinks.search_records(parse_pages(_pages(spark, d)))
+    return sinks.search_records(parse_pages(_pages(spark, d)), _pages(spark, d))
 
 
 # ---- status, risk and planning

@@ -21,7 +21,7 @@ TAGS = ("why", "note", "hack", "todo", "fixme")
 
 def walk(spark: SparkSession, root: str, ignores: list[str] = DEFAULT_IGNORES) -> DataFrame:
     """path, lang, size, mtime, content of the text files under a folder that a walk keeps, read as binary files in parallel."""
-    prefix = re.sub(r"^file:", "", root).rstrip("/") + "/"
+    prefix = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), prefix, -1)
     return keep_readable(files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"), ignores)

@@ -10,6 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.paths import page_group
+from codeloom.functions.text import plain_excerpt
+
 
 def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -117,7 +120,12 @@ def rewrite_links(text) -> object:
     return F.concat_ws("", F.flatten(F.zip_with(F.split(text, _LINK, -1), F.concat(links, F.array(F.lit(""))), lambda a, b: F.array(a, b))))
 
 
-def search_records(pages: DataFrame) -> DataFrame:
-    """record: a JSON object per parsed page with its path, title and headings, for a viewer's own index."""
+def search_records(pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """record: a JSON object per parsed page with its address, title, group and headings, for a viewer's own index; with texts (wiki_path,
+    text) also the beginning of its prose."""
     heads = F.transform("headings", lambda h: h["text"])
-    return pages.select(F.to_json(F.struct(F.col("wiki_path").alias("url"), F.coalesce("title", "wiki_path").alias("title"), heads.alias("headings"))).alias("record"))
+    fields = [F.coalesce("title", "wiki_path").alias("title"), page_group(F.col("wiki_path")).alias("group"), F.col("wiki_path").alias("url"), heads.alias("headings")]
+    if texts is not None:
+        pages = pages.join(texts.groupBy("wiki_path").agg(F.max(plain_excerpt(F.col("text"))).alias("__excerpt")), "wiki_path", "left")
+        fields.append(F.coalesce("__excerpt", F.lit("")).alias("text"))
+    return pages.select(F.to_json(F.struct(*fields)).alias("record"))
