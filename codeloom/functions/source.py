@@ -37,7 +37,7 @@ _JAVA_TYPES = {"class": "class", "interface": "interface", "enum": "class", "rec
 _MODIFIERS = set("public private protected static final abstract synchronized native default strictfp transient volatile sealed".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -46,7 +46,7 @@ class Token:
     match: int = -1
 
 
-@dataclass
+@dataclass(slots=True)
 class Scope:
     """What a block knows of its place: the class that qualifies names, whether it lies in a function, and the caller of its calls."""
 
@@ -536,7 +536,7 @@ def _python(path: str, text: str) -> tuple[list[Symbol], list[Call], list[Commen
                 calls.append((caller, f.attr, node.lineno, "inferred"))
         body = getattr(node, "body", None)
         if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
-            notes.append((body[0].lineno, body[0].end_lineno, ast.get_source_segment(text, body[0].value) or "", True))
+            notes.append((body[0].lineno, body[0].end_lineno, _segment(lines, body[0].value), True))
         todo += [(c, owner, inside, caller) for c in reversed(list(ast.iter_child_nodes(node)))]
     first: dict[str, Symbol] = {}
     for s in sorted(found, key=lambda s: s[3]):
@@ -544,6 +544,14 @@ def _python(path: str, text: str) -> tuple[list[Symbol], list[Call], list[Commen
     return list(first.values()), calls, sorted(notes)
 
 
+def _segment(lines: list[str], n: ast.AST) -> str:
+    """The text of a node; its columns count bytes."""
+    got = lines[n.lineno - 1 : n.end_lineno]
+    got[-1] = got[-1].encode()[: n.end_col_offset].decode(errors="replace")
+    got[0] = got[0].encode()[n.col_offset :].decode(errors="replace")
+    return "\n".join(got)
+
+
 def _python_comments(text: str) -> list[Comment]:
     out: list[Comment] = []
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +61,33 @@ CALL_FIELDS = {"caller_key": "string", "callee_name": "string", "line": "int", "
 RATIONALE_FIELDS = {"symbol_key": "string", "kind": "string", "text": "string", "start_line": "int", "content_hash": "string"}
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32()}
+
+
+def _nested(rows: list[list[tuple]], fields: dict[str, str]) -> pa.Array:
+    """A list of structs per row, from tuples, column by column."""
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r))
+    columns = list(zip(*[x for r in rows for x in r])) or [() for _ in fields]
+    values = pa.StructArray.from_arrays([pa.array(list(c), _ARROW[t]) for c, t in zip(columns, fields.values())], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """path and symbols, calls, rationales as arrays of structs for files with path, lang, content, see source.scan_source; only changed
-    files need be given. One pass over the texts in batches, without a shuffle."""
+    files need be given. One pass over the texts in Arrow batches, without a shuffle."""
     kinds = {"symbols": SYMBOL_FIELDS, "calls": CALL_FIELDS, "rationales": RATIONALE_FIELDS}
     schema = "path string, " + ", ".join(f"{n} array<struct<{','.join(f'{k}:{t}' for k, t in fields.items())}>>" for n, fields in kinds.items())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(path, *([dict(zip(f, x)) for x in got] for f, got in zip(kinds.values(), scan_source(path or "", lang, text)))) for path, lang, text in zip(b["path"], b["lang"], b["content"])]
-            yield pd.DataFrame(rows, columns=["path", *kinds])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # small results, as texts may be very long
+                b = whole.slice(at, 256)
+                got = [scan_source(path or "", lang, text) for path, lang, text in zip(*(b.column(c).to_pylist() for c in ("path", "lang", "content")))]
+                yield pa.RecordBatch.from_arrays([b.column("path"), *(_nested([g[k] for g in got], f) for k, f in enumerate(kinds.values()))], names=["path", *kinds])
 
-    return files.select("path", "lang", "content").mapInPandas(run, schema)
+    return files.select("path", "lang", "content").mapInArrow(run, schema)
 
 
 def rationales(contents: DataFrame, least: int = 20) -> DataFrame:
