@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 #: language of a file extension (fixed values)
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "tsx", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java"}
 #: extensions that are never read as text (fixed values)
-DENIED_EXTENSIONS = (
-    "zip gz tar 7z rar exe dll so dylib bin dat wasm class jar pyc pyo o a "
-    "png jpg jpeg gif webp ico svg mp4 mov mp3 wav pdf ttf otf woff woff2 eot map"
-).split()
+DENIED_EXTENSIONS = [
+    "zip", "gz", "tar", "7z", "rar", "exe", "dll", "so", "dylib", "bin", "dat", "wasm", "class", "jar", "pyc", "pyo", "o", "a", "png",
+    "jpg", "jpeg", "gif", "webp", "ico", "svg", "mp4", "mov", "mp3", "wav", "pdf", "ttf", "otf", "woff", "woff2", "eot", "map",
+]
 #: lock files, skipped by name without case (fixed values)
-DENIED_NAMES = "package-lock.json pnpm-lock.yaml yarn.lock cargo.lock gemfile.lock poetry.lock go.sum composer.lock".split()
+DENIED_NAMES = [
+    "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "cargo.lock", "gemfile.lock", "poetry.lock", "go.sum", "composer.lock",
+]
 #: directories that a walk never enters (fixed values)
 DEFAULT_IGNORES = [".git/", "node_modules/", "dist/", "coverage/"]
 #: ignore-style patterns of the roles, the first role that matches holds (fixed values)

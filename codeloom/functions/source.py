@@ -25,16 +25,16 @@ _TOKENS = {
 FAMILY = {"typescript": "script", "tsx": "script", "javascript": "script", "go": "go", "rust": "rust", "java": "java"}
 #: words that a bracket may follow without making a call (fixed values)
 _KEYWORDS = {
-    "script": set("if for while switch catch with function return typeof await yield in of instanceof new delete void case do else throw super import constructor async class extends".split()),
-    "go": set("if for switch select func return go defer range case map chan struct interface type var const else".split()),
-    "rust": set("if for while loop match fn return in let mut move ref as impl where unsafe else pub crate self Self dyn".split()),
-    "java": set("if for while switch catch return synchronized new throw try else case assert super this do instanceof".split()),
+    "script": {"if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "await", "yield", "in", "of", "instanceof", "new", "delete", "void", "case", "do", "else", "throw", "super", "import", "constructor", "async", "class", "extends"},
+    "go": {"if", "for", "switch", "select", "func", "return", "go", "defer", "range", "case", "map", "chan", "struct", "interface", "type", "var", "const", "else"},
+    "rust": {"if", "for", "while", "loop", "match", "fn", "return", "in", "let", "mut", "move", "ref", "as", "impl", "where", "unsafe", "else", "pub", "crate", "self", "Self", "dyn"},
+    "java": {"if", "for", "while", "switch", "catch", "return", "synchronized", "new", "throw", "try", "else", "case", "assert", "super", "this", "do", "instanceof"},
 }
-_CONTROL = set("if for while switch catch with await return typeof function new super else do".split())
+_CONTROL = {"if", "for", "while", "switch", "catch", "with", "await", "return", "typeof", "function", "new", "super", "else", "do"}
 #: marks and words after which an expression goes on, so that what follows is no statement of its own (fixed values)
-_GOES_ON = set("= ( [ , : ? => + - * / % & | ^ ! < > . ?. ...".split()) | {"return", "typeof", "new", "await", "yield", "in", "of", "throw", "case", "extends", "void", "delete"}
+_GOES_ON = {"=", "(", "[", ",", ":", "?", "=>", "+", "-", "*", "/", "%", "&", "|", "^", "!", "<", ">", ".", "?.", "..."} | {"return", "typeof", "new", "await", "yield", "in", "of", "throw", "case", "extends", "void", "delete"}
 _JAVA_TYPES = {"class": "class", "interface": "interface", "enum": "class", "record": "class"}
-_MODIFIERS = set("public private protected static final abstract synchronized native default strictfp transient volatile sealed".split())
+_MODIFIERS = {"public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp", "transient", "volatile", "sealed"}
 
 
 @dataclass(slots=True)

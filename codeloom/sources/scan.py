@@ -20,13 +20,30 @@ TAGS = ("why", "note", "hack", "todo", "fixme")
 
 
 def walk(spark: SparkSession, root: str, ignores: list[str] = DEFAULT_IGNORES) -> DataFrame:
-    """path, lang, size, mtime, content of the text files under a folder that a walk keeps, read as binary files in parallel."""
+    """path, lang, size, mtime, content of the text files under a folder that a walk keeps, read as binary files in parallel. What the
+    folder's own .gitignore names is left out too."""
     prefix = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
+    ignores = [*ignores, *ignore_file(spark, root)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), prefix, -1)
     return keep_readable(files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"), ignores)
 
 
+def ignore_file(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of a folder's .gitignore, none if it has no such file. Negations, comments and empty lines are no patterns."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    source = fs.open(path)  # one settings file, which file sources pass over as hidden
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+    return [x.strip() for x in text.splitlines() if x.strip() and not x.startswith(("#", "!"))]
+
+
 def keep_readable(files: DataFrame, ignores: list[str] = DEFAULT_IGNORES) -> DataFrame:
     """Of path, size, mtime, content (binary) the files that are kept: allowed by name, not over 1 MiB, without NUL in the first 8 KiB."""
     text = files.where(denied(F.col("path"), ignores).isNull() & (F.col("size") <= LARGEST))

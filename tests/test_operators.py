@@ -337,6 +337,10 @@ def test_scan(spark, tmp_path):
     (tmp_path / "big.py").write_text("#" * (2 << 20))
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules/x.js").write_text("x")
+    (tmp_path / "made").mkdir()
+    (tmp_path / "made/y.js").write_text("y")
+    (tmp_path / "src/z.gen.ts").write_text("z")
+    (tmp_path / ".gitignore").write_text("# ours\nmade/\n\n*.gen.ts\n!src/a.py\n")
     walked = scan.walk(spark, str(tmp_path))
     assert sorted((r["path"], r["lang"]) for r in walked.collect()) == [("src/a.py", "python"), ("src/b.ts", "typescript")]
     parsed = {r["path"]: r for r in scan.parse_files(walked).collect()}
