@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.keys import normal_key, normal_path
 from codeloom.functions.paths import dir_name, extension, key_path
+from codeloom.plans.lineage import cut
 
 CALLABLE = ("function", "export")
 
@@ -275,6 +276,62 @@ def overlap_classes(sets: DataFrame) -> DataFrame:
     return whole.join(classes, ["n", "h1", "h2"]).select("id", "cls", "n")
 
 
+def blocked_join(small: DataFrame, large: DataFrame, by: str, least: int = 1000) -> DataFrame:
+    """The inner join of small (with an id `a`) and large (with an id `b`) by one column.
+
+    Where a key has more than `least` rows on a side, this side is dealt into blocks by a hash of its id and the other side is copied
+    for each of them, so that no task joins all rows of a hot key.
+    """
+    ends = small.select(by, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(large.select(by, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    n = ends.groupBy(by).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where((F.col("a") > least) | (F.col("b") > least))
+    hot = n.select(by, *(F.greatest(F.lit(1), F.ceil(F.col(c) / least)).cast("int").alias(f"blocks_{c}") for c in "ab"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        blocks = {c: F.coalesce(f"blocks_{c}", F.lit(1)) for c in "ab"}
+        at = F.explode(F.sequence(F.lit(0), blocks[other] - 1)).alias(f"at_{other}")
+        return df.join(hot, by, "left").select(*df.columns, F.pmod(F.xxhash64(own), blocks[own]).cast("int").alias(f"at_{own}"), at)
+
+    return dealt(small, "a", "b").join(dealt(large, "b", "a"), [by, "at_a", "at_b"]).drop("at_a", "at_b")
+
+
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """id, item: the distinct rows without nulls, kept so that classes and pairs don't make them again."""
+    return cut(sets.select("id", "item").where("id is not null and item is not null").distinct())
+
+
+def class_pairs(sets: DataFrame, members: DataFrame, least: float = 0.5, wide: int = 64) -> DataFrame:
+    """a, b, shared, overlap, size_a, size_b: pairs of classes (a < b) whose sets overlap by `least` of the smaller one, with the ids in each
+    class. sets: id, item, as distinct_sets gives them; members: see overlap_classes.
+
+    Items go from rare to frequent. A smaller set that shares k of its n items has one of its first n - k + 1 in common with the larger one,
+    so only these look for larger sets, and what a hot item alone pairs is not made unless it is in the result. Sets of at most `wide`
+    items travel with each of their items: a pair is counted where it is met, at its first shared item, and is not shuffled. Pairs
+    with a larger set beyond that are made at each shared item and counted by a shuffle.
+    """
+    known = members.groupBy(F.col("cls").alias("id")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("size"))
+    rows = sets.join(known, "id")
+    rows = cut(rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("often")), "item"))
+
+    def side(df: DataFrame, c: str, *more: str) -> DataFrame:
+        return df.select("item", F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "size", *more)))
+
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    ends = ["a", "b", "n_a", "n_b", "size_a", "size_b"]
+    listed = F.sort_array(F.collect_list(F.struct("often", "item"))).getField("item")
+    at = rows.where(F.col("n") <= wide).groupBy("id", "n", "size").agg(listed.alias("items")).select("*", F.posexplode("items").alias("at", "item"))
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * (least - 1e-9)))  # not above the true bound
+    met = blocked_join(side(at.where(F.col("at") <= F.col("n") - k), "a", "items"), side(at, "b", "items"), "item").where(once)
+    met = met.select("item", *ends, F.explode(F.array(F.array_intersect("items_a", "items_b"))).alias("common"))  # exploded, so that it is made once
+    met = met.where(F.col("common")[0] == F.col("item")).select(*ends, F.size("common").cast("long").alias("shared"))
+    counted = blocked_join(side(rows, "a"), side(rows.where(F.col("n") > wide), "b"), "item").where(once).groupBy(*ends).agg(F.count(F.lit(1)).alias("shared"))
+    near = met.unionByName(counted).withColumn("overlap", F.col("shared") / F.least("n_a", "n_b")).where(F.col("overlap") >= least)
+
+    def ordered(x: str, y: str) -> Column:
+        return F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x)
+
+    return near.select(ordered("a", "b"), ordered("b", "a"), "shared", "overlap", ordered("size_a", "size_b"), ordered("size_b", "size_a"))
+
+
 def overlap_pairs(sets: DataFrame, least: float = 0.5, members: DataFrame | None = None) -> DataFrame:
     """a, b, shared, overlap: pairs of classes (a < b) whose sets overlap by `least` of the smaller one. sets: id, item.
 
@@ -292,11 +349,12 @@ def overlap_pairs(sets: DataFrame, least: float = 0.5, members: DataFrame | None
 
 def overlap_links(sets: DataFrame, least: float = 0.5) -> DataFrame:
     """id, cls, n_links: the class of each id and how many other ids overlap its set by `least`, counted by class and not as pairs."""
+    sets = distinct_sets(sets)
     members = overlap_classes(sets)
     size = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
-    pairs = overlap_pairs(sets, least, members)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("others"))
+    pairs = class_pairs(sets, members, least)
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("cls"), F.col("size_b").alias("size")), F.struct(F.col("b").alias("cls"), F.col("size_a").alias("size")))))
+    others = ends.groupBy("cls").agg(F.sum("size").alias("others"))
     return members.join(size, "cls").join(others, "cls", "left").select("id", "cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 

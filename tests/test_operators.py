@@ -382,6 +382,64 @@ def test_page_overlaps_of_hot_items(spark, tmp_path):
     assert {k: n for k, (_, n) in links.items()} == {k: sum(k in w[:2] for w in want) for k in sets}
 
 
+def written(spark, job):
+    """What job gives, and the rows that its stages wrote to shuffles."""
+    context = spark.sparkContext
+    scala = context._jsc.sc()
+
+    def stages():
+        scala.listenerBus().waitUntilEmpty()
+        found = scala.statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    out = job()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def hot_sets():
+    """Sets of three that all have one item and few of which share another, so that the hot item alone makes no pair; some of two that it pairs."""
+    rng = random.Random(7)
+    return {f"p{i:04d}": {"hot", f"d{rng.randrange(3000)}"} | ({f"e{i}"} if i % 300 else set()) for i in range(1100)}
+
+
+def overlaps(sets, least=0.5):
+    pairs = ((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b)
+    return {(a, b, n) for a, b, n in pairs if n and n >= least * min(len(sets[a]), len(sets[b]))}
+
+
+def test_links_by_a_hot_item_are_counted_where_they_are_met(spark):
+    sets = hot_sets()
+    df = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "id string, item string")
+    links, n = written(spark, lambda: {r["id"]: r["n_links"] for r in resolve.overlap_links(df).collect()})
+    want = dict.fromkeys(sets, 0)
+    for a, b, _ in overlaps(sets):
+        want[a] += 1
+        want[b] += 1
+    assert links == want and len(set(want.values())) > 2 and n < 100_000  # 605,000 pairs have the hot item
+
+
+@pytest.mark.parametrize("least,wide", [(0.5, 64), (0.5, 4), (0.5, 0), (0.3, 5), (2 / 3, 5), (1.0, 64), (0.0, 5)])
+def test_class_pairs_of_any_size(spark, least, wide):
+    rng = random.Random(3)
+    sets = {f"s{i:02d}": {f"i{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.choice((1, 2, 3, 5, 8, 30)))} for i in range(60)}
+    rows = [(k, x) for k, v in sets.items() for x in v]
+    df = resolve.distinct_sets(spark.createDataFrame([*rows, *rows[:9], (None, "i1"), ("s01", None)], "id string, item string"))
+    members = resolve.overlap_classes(df)
+    cls = {r["id"]: r["cls"] for r in members.collect()}
+    size = {c: sum(x == c for x in cls.values()) for c in cls.values()}
+    got = [tuple(r) for r in resolve.class_pairs(df, members, least, wide).collect()]
+    want = {(a, b, n, n / min(len(sets[a]), len(sets[b])), size[a], size[b]) for a, b, n in overlaps({c: sets[c] for c in size}, least)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_blocked_join(spark):
+    small = spark.createDataFrame([("hot", f"a{i}") for i in range(9)] + [("cold", "a1"), ("none", "a2")], "g string, a string")
+    large = spark.createDataFrame([("hot", f"b{i}", i) for i in range(30)] + [("cold", "b1", 1), ("other", "b2", 2)], "g string, b string, n int")
+    got = [tuple(r) for r in resolve.blocked_join(small, large, "g", 4).select("g", "a", "b", "n").collect()]
+    assert sorted(got) == sorted([("hot", f"a{i}", f"b{j}", j) for i in range(9) for j in range(30)] + [("cold", "a1", "b1", 1)])
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(400)] + [("x", "y"), ("z", "z"), (None, "a")], "src string, dst string")
     got = {r["node"]: r["component"] for r in graph.components(e).collect()}
