@@ -332,19 +332,14 @@ def class_pairs(sets: DataFrame, members: DataFrame, least: float = 0.5, wide: i
     return near.select(ordered("a", "b"), ordered("b", "a"), "shared", "overlap", ordered("size_a", "size_b"), ordered("size_b", "size_a"))
 
 
-def overlap_pairs(sets: DataFrame, least: float = 0.5, members: DataFrame | None = None) -> DataFrame:
+def overlap_pairs(sets: DataFrame, least: float = 0.5) -> DataFrame:
     """a, b, shared, overlap: pairs of classes (a < b) whose sets overlap by `least` of the smaller one. sets: id, item.
 
     Ids with equal sets make one class, named by its smallest id, see overlap_classes; their pairs follow from the membership and are not
-    written out. Pairs come from shared items, so sets with nothing in common are never paired; items that very many classes
-    have go in blocks.
+    written out. Sets with nothing in common are never paired.
     """
-    members = overlap_classes(sets) if members is None else members
-    n = members.where("id = cls").select("cls", "n")
-    rows = sets.select("id", "item").where("id is not null and item is not null").distinct().join(n.select(F.col("cls").alias("id")), "id", "left_semi")
-    both = blocked_pairs(rows, "item").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    near = both.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    return near.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+    sets = distinct_sets(sets)
+    return class_pairs(sets, overlap_classes(sets), least).select("a", "b", "shared", "overlap")
 
 
 def overlap_links(sets: DataFrame, least: float = 0.5) -> DataFrame:

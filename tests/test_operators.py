@@ -419,6 +419,15 @@ def test_links_by_a_hot_item_are_counted_where_they_are_met(spark):
     assert links == want and len(set(want.values())) > 2 and n < 100_000  # 605,000 pairs have the hot item
 
 
+def test_pairs_by_a_hot_item_are_counted_where_they_are_met(spark):
+    sets = hot_sets()
+    df = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "id string, item string")
+    pairs, n = written(spark, lambda: [tuple(r) for r in resolve.overlap_pairs(df).select("a", "b", "shared").collect()])
+    members = {frozenset(v): k for k, v in sorted(sets.items(), reverse=True)}
+    want = overlaps({k: set(v) for v, k in members.items()})
+    assert len(pairs) == len(want) > 1000 and set(pairs) == want and n < 100_000
+
+
 @pytest.mark.parametrize("least,wide", [(0.5, 64), (0.5, 4), (0.5, 0), (0.3, 5), (2 / 3, 5), (1.0, 64), (0.0, 5)])
 def test_class_pairs_of_any_size(spark, least, wide):
     rng = random.Random(3)
